@@ -23,6 +23,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.chat import chat_digest, format_conversations, with_probe
+
+    return chat_digest(format_conversations(with_probe(_read(spark, sf_dir, "conversations"), spark)))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -47,8 +53,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_quality_classifier, op7_exact_top_k, op8_bpe_transducer, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_quality_classifier, op5_chat_formatting, op7_exact_top_k, op8_bpe_transducer, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
+    "op5_chat_formatting": """
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, regexp_replace(text, '([<\\[])(\\\\*)(/?s>|</?SYS>>|/?INST\\]|/?ROLE\\]|END\\])', '\\1\\\\\\2\\3', 'g') AS x,
+                     CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 13 WHEN 'system' THEN 15
+                               ELSE 18 + length(role) END AS marks FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(3 + sum(length(x) + marks) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op7_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
