@@ -15,6 +15,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=3, most=2).select("doc_id", "fingerprint", "component_id")
 
 
+#: Not a secret: these tables are synthetic. Callers of the operator bring their own.
+PII_KEY = "synthetic-tables-only"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.pii import replace_checked
+
+    return replace_checked(_read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.quality import held_out, score, train
 
@@ -53,7 +63,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_quality_classifier, op5_chat_formatting, op7_exact_top_k, op8_bpe_transducer, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii_surrogates, op4_quality_classifier, op5_chat_formatting, op7_exact_top_k, op8_bpe_transducer, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": """
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
