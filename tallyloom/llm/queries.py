@@ -55,6 +55,12 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.lm import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"), order=3, least=2)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.decontaminate import contamination_digest, find_contamination
 
@@ -63,7 +69,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii_surrogates, op4_quality_classifier, op5_chat_formatting, op7_exact_top_k, op8_bpe_transducer, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii_surrogates, op4_quality_classifier, op5_chat_formatting, op7_exact_top_k, op8_bpe_transducer, op9_lm_scoring, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": """
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
