@@ -6,6 +6,7 @@ executor costs nothing but the rerun of its tasks.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,11 @@ class Workspace:
         out._tallyloom_keep = self
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of jobs whose results are cut: it does when the driver's unused objects go."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             at = self._at.pop(id(df), None) if df is not None else None
