@@ -39,6 +39,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_conversations(with_probe(_read(spark, sf_dir, "conversations"), spark)))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.suffix import repeated_spans, span_digest
+
+    return span_digest(repeated_spans(_read(spark, sf_dir, "documents"), 50))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -69,7 +75,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii_surrogates, op4_quality_classifier, op5_chat_formatting, op7_exact_top_k, op8_bpe_transducer, op9_lm_scoring, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii_surrogates, op4_quality_classifier, op5_chat_formatting, op6_suffix_array_dedup, op7_exact_top_k, op8_bpe_transducer, op9_lm_scoring, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": """
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
