@@ -25,6 +25,12 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_checked(_read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.paragraphs import duplicate_paragraphs
+
+    return duplicate_paragraphs(_read(spark, sf_dir, "documents"), 0.8)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.quality import held_out, score, train
 
@@ -75,7 +81,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii_surrogates, op4_quality_classifier, op5_chat_formatting, op6_suffix_array_dedup, op7_exact_top_k, op8_bpe_transducer, op9_lm_scoring, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii_surrogates, op3_paragraph_dedup, op4_quality_classifier, op5_chat_formatting, op6_suffix_array_dedup, op7_exact_top_k, op8_bpe_transducer, op9_lm_scoring, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": """
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
