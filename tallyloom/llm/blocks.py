@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,3 +29,12 @@ def with_columns(rows: pa.RecordBatch, drop: list[str], **new: pa.Array) -> pa.R
     """rows without `drop`, with the new columns behind; a new column replaces one of its name."""
     keep = {n: c for n, c in zip(rows.schema.names, rows.columns, strict=True) if n not in drop and n not in new}
     return pa.RecordBatch.from_arrays([*keep.values(), *new.values()], names=[*keep, *new])
+
+
+def trim() -> None:
+    """Give a worker's freed memory back to the system: workers are reused, and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

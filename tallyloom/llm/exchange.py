@@ -19,13 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.blocks import trim
 from tallyloom.session import ship
 from tallyloom.storage import Workspace
 
 #: Text to a chunk, at least; a corpus of over CHUNKS times that has larger ones, up to MOST_BYTES.
-LEAST_BYTES, CHUNKS, MOST_BYTES = 8 << 20, 4000, 96 << 20
+LEAST_BYTES, CHUNKS, MOST_BYTES = 4 << 20, 8000, 64 << 20
 #: Text to a bucket, about.
 BUCKET_BYTES = 6 << 20
+_CODEC = pa.Codec("zstd", 1)
 
 
 def pack_batch(batch: pa.RecordBatch) -> bytes:
@@ -35,8 +37,8 @@ def pack_batch(batch: pa.RecordBatch) -> bytes:
     return out.getvalue()
 
 
-def unpack_batch(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(io.BytesIO(data)).read_all()
+def unpack_batch(data) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data) if isinstance(data, bytes) else data).read_all()
 
 
 def put_sorted(values: np.ndarray) -> bytes:
@@ -46,14 +48,25 @@ def put_sorted(values: np.ndarray) -> bytes:
     step = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
     planes = step.astype("<u8").view(np.uint8).reshape(-1, 8)
     width = max(1, 8 - int((~planes.any(axis=0)[::-1]).argmin())) if planes.any() else 1
-    return bytes([width]) + planes[:, :width].T.tobytes()
+    return _press(width, planes[:, :width].T.tobytes())
+
+
+def _press(width: int, data: bytes) -> bytes:
+    """Compressed if that is shorter: the upper planes are, by their frequencies, which Spark's codec doesn't use."""
+    small = _CODEC.compress(data, asbytes=True) if len(data) > 64 else data
+    return bytes([width]) + data if len(small) >= len(data) else bytes([width | 128]) + len(data).to_bytes(4, "little") + small
+
+
+def _planes(data: bytes) -> tuple[int, np.ndarray]:
+    width = data[0] & 127
+    raw = _CODEC.decompress(data[5:], int.from_bytes(data[1:5], "little"), asbytes=True) if data[0] & 128 else data[1:]
+    return width, np.frombuffer(raw, np.uint8).reshape(width, -1)
 
 
 def get_sorted(data: bytes) -> np.ndarray:
     if not data:
         return np.empty(0, np.uint64)
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    width, planes = _planes(data)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
@@ -63,12 +76,11 @@ def put_numbers(values: np.ndarray) -> bytes:
     """Unsigned numbers, as many bytes each as the largest needs, byte plane by byte plane."""
     v = values.astype("<u8")
     width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
-    return bytes([width]) + v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return _press(width, v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def get_numbers(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    width, planes = _planes(data)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel().astype(np.int64)
@@ -106,37 +118,42 @@ class Chunks:
 
         self.frame = self.ws.cut(docs.mapInArrow(pack, "chunk string, blob binary"))
 
-    def ask(self, explode: Callable[[pa.Table], Iterator[tuple[int, np.ndarray, np.ndarray]]], answer: Callable, frame: DataFrame | None = None) -> DataFrame:
+    def ask(self, explode: Callable[[pa.Table, dict], Iterator[tuple[int, np.ndarray, np.ndarray]]], answer: Callable, heard: DataFrame | None = None) -> DataFrame:
         """Answers (chunk, kind, keys, values) to every chunk's questions.
 
-        explode: the rows of a chunk -> (kind, ascending distinct keys, values >= 0) for each kind of question.
-        answer: (kind, the askers' keys and values as two lists) -> for each asker the positions of the keys that get an answer, and the
-        answers (>= 0). frame: chunks with further columns, instead of the plain ones; explode then gets the row too.
+        explode: the rows of a chunk, and the earlier answers `heard` (as for `hear`) -> (kind, ascending distinct keys, values
+        >= 0) for each kind of question. answer: (kind, the askers' keys and values as two lists) -> for each asker the positions
+        of the keys that get an answer, and the answers (>= 0).
         """
         buckets = self.buckets
         width = -(-(1 << 64) // buckets)
         edges = np.array([b * width for b in range(1, buckets)], np.uint64)
 
+        def rows_of(chunk: str, table: pa.Table, got: dict) -> list[tuple]:
+            out = []
+            for kind, keys, values in explode(table, got):
+                bounds = np.r_[0, np.searchsorted(keys, edges), len(keys)]
+                for b in np.flatnonzero(np.diff(bounds)).tolist():
+                    a, z = bounds[b], bounds[b + 1]
+                    out.append((b, kind, chunk, put_sorted(keys[a:z]), put_numbers(values[a:z])))
+            return out
+
+        names, schema = ["bucket", "kind", "chunk", "keys", "values"], "bucket int, kind int, chunk string, keys binary, values binary"
+
         def asked(batches):
             for batch in batches:
-                for row in batch.to_pylist():
-                    for kind, keys, values in explode(row):
-                        cut = np.searchsorted(keys, edges)
-                        bounds = np.r_[0, cut, len(keys)]
-                        full = np.flatnonzero(np.diff(bounds))
-                        if not len(full):
-                            continue
-                        parts = [(bounds[b], bounds[b + 1]) for b in full.tolist()]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(full.astype(np.int32)),
-                                pa.array([kind] * len(full), pa.int32()),
-                                pa.array([row["chunk"]] * len(full)),
-                                pa.array([put_sorted(keys[a:b]) for a, b in parts], pa.binary()),
-                                pa.array([put_numbers(values[a:b]) for a, b in parts], pa.binary()),
-                            ],
-                            names=["bucket", "kind", "chunk", "keys", "values"],
-                        )
+                for i in range(batch.num_rows):
+                    rows = rows_of(batch.column(0)[i].as_py(), unpack_batch(batch.column(1)[i].as_buffer()), {})
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=names)
+                    del rows
+                    trim()
+
+        def asked_after(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            known = _by_kind(got)
+            rows = [r for chunk, blob in zip(own["chunk"], own["blob"], strict=True) for r in rows_of(chunk, unpack_batch(blob), known)]
+            trim()
+            return pd.DataFrame(rows, columns=names)
 
         def answered(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -145,28 +162,39 @@ class Chunks:
                 for chunk, k, (at, reply) in zip(part["chunk"], keys, answer(kind, keys, values), strict=True):
                     if len(at):
                         out.append((chunk, kind, put_sorted(k[at]), put_numbers(reply)))
+                del keys, values
+            trim()
             return pd.DataFrame(out, columns=["chunk", "kind", "keys", "values"])
 
-        source = self.frame if frame is None else frame
-        rows = source.mapInArrow(asked, "bucket int, kind int, chunk string, keys binary, values binary")
+        if heard is None:
+            rows = self.frame.mapInArrow(asked, schema)
+        else:
+            rows = self.frame.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(asked_after, schema)
         return rows.groupBy("bucket").applyInPandas(answered, "chunk string, kind int, keys binary, values binary")
 
     def hear(self, answers: DataFrame, read: Callable[[pa.Table, dict[int, tuple[np.ndarray, np.ndarray]]], pd.DataFrame], schema: str) -> DataFrame:
         """read(rows of a chunk, {kind: (ascending keys, answers)}) for every chunk, those without answers too."""
 
         def both(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-            by_kind = {}
-            for kind, part in got.groupby("kind"):
-                keys, values = np.concatenate([get_sorted(k) for k in part["keys"]]), np.concatenate([get_numbers(v) for v in part["values"]])
-                order = np.argsort(keys)
-                by_kind[int(kind)] = (keys[order], values[order])
-            return pd.concat([read(unpack_batch(blob), by_kind) for blob in own["blob"]]) if len(own) else empty
+            known = _by_kind(got)
+            out = pd.concat([read(unpack_batch(blob), known) for blob in own["blob"]]) if len(own) else empty
+            trim()
+            return out
 
         names = [x.split()[0] for x in schema.split(",")]
         empty = pd.DataFrame(columns=names)
         return self.frame.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(both, schema)
 
 
+def _by_kind(got: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    out = {}
+    for kind, part in got.groupby("kind"):
+        keys, values = np.concatenate([get_sorted(k) for k in part["keys"]]), np.concatenate([get_numbers(v) for v in part["values"]])
+        order = np.argsort(keys)
+        out[int(kind)] = (keys[order], values[order])
+    return out
+
+
 def _cuts(batch: pa.RecordBatch, at: int, first: int, most: int) -> Iterator[tuple[int, int]]:
     """Stretches of rows of about `first`, then `most` bytes of text, at least a row each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)

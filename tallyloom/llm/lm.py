@@ -1,8 +1,8 @@
 """Language-model scoring with stupid backoff, as joins between n-grams and their counts (operator 9).
 
-Every chunk of documents explodes into its distinct n-grams of each order with their counts there; the count tables,
-partitioned by hash, sum them over all chunks; joined back to the n-grams of each chunk, they give each token its score, and tokens
-are summed per document. S(w | context) = count(context w) / count(context) if the n-gram was seen at least
+Every chunk of documents explodes into its distinct n-grams with their counts there; the count tables, partitioned by hash,
+sum them over all chunks; joined back to the n-grams of each chunk, they give each token its score, and tokens are summed per
+document. From order 3 on, only n-grams whose two parts are frequent enough are counted: the others can't be. S(w | context) = count(context w) / count(context) if the n-gram was seen at least
 `least` times, else BACKOFF * S(w | shorter context); for a single word count(w) / all tokens. Counts include the document's own.
 
 Words are runs of other than white space, lower-cased. n-grams meet by hash, of as many bits as make a chance meeting rarer than
@@ -65,11 +65,25 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
     kind = kept.schema["id"].dataType.simpleString()
     drop = max(0, 64 - 20 - max(20, (chunks.bytes * order // 5).bit_length()))
 
-    def explode(row):
-        for n, h in enumerate(_grams_of(unpack_batch(row["blob"]), order, drop), 1):
+    def short(table, got):
+        for n, h in enumerate(_grams_of(table, min(order, 2), drop), 1):
             keys, counts = np.unique(h, return_counts=True)
             yield n, keys, counts
 
+    def longer(n):
+        def explode(table, got):
+            # an n-gram can't be there oftener than what it begins and ends with
+            kept = []
+            for text in table.column("text").to_pylist():
+                w = tokens(text)
+                if len(w) >= n:
+                    *_, part, whole = gram_hashes(w, n, drop)
+                    often = look_up(part, got.get(n - 1)) >= least
+                    kept.append(whole[often[:-1] & often[1:]])
+            yield n, *np.unique(np.concatenate(kept) if kept else np.empty(0, np.uint64), return_counts=True)
+
+        return explode
+
     def count(n, keys, values):
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate(values), len(every)).astype(np.int64)
@@ -78,7 +92,11 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
             at = np.flatnonzero(enough[part])
             yield at, total[part][at]
 
-    answers = chunks.ws.cut(chunks.ask(explode, count))
+    answers = chunks.ws.cut(chunks.ask(short, count))
+    chunks.ws.release()
+    for n in range(3, order + 1):
+        answers = answers.unionByName(chunks.ws.cut(chunks.ask(longer(n), count, answers)))
+        chunks.ws.release()
     n_all = chunks.ws.cut(chunks.frame.mapInArrow(_count_tokens, "n long")).agg(F.sum("n")).first()[0] or 1
 
     def read(table, got):

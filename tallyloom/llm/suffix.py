@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.blocks import trim
 from tallyloom.llm.exchange import Chunks, get_numbers, get_sorted, look_up, put_numbers, put_sorted, unpack_batch
 from tallyloom.session import ship
 
@@ -196,8 +197,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     ws, kind = chunks.ws, docs.schema[id_col].dataType.simpleString()
     drop = max(0, 64 - 12 - max(20, (chunks.bytes // 12).bit_length()))
 
-    def asked(row):
-        keys, several = Windows(unpack_batch(row["blob"]), length, drop).asked()
+    def asked(table, _):
+        keys, several = Windows(table, length, drop).asked()
         yield 0, keys, several
 
     def several(_, keys, values):
@@ -232,6 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             lead, rest, least, *_ = _own(Windows(unpack_batch(blob), length, drop), _heard(got))
             edge = _bounds(lead, rest, splitters)
             out += [(b, chunk, put_sorted(lead[a:z]), put_numbers(rest[a:z]), put_numbers(least[a:z])) for b, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
+        trim()
         return pd.DataFrame(out, columns=["bucket", "chunk", "lead", "rest", "least"])
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,6 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 begin, end = s[new], s[np.r_[new[1:] - 1, len(s) - 1]] + length
                 kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True))
                 out.append((id_, len(text), [[a, b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], kept))
+        trim()
         return pd.DataFrame(out, columns=["id", "n_bytes", "spans", "kept"])
 
     both = shared.select("chunk", "kind", "keys", "values").unionByName(verdicts)
