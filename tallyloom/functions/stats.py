@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALPHA = 0.05
 
@@ -30,7 +31,8 @@ def wilson(hits: Column, total: Column, alpha: float = ALPHA) -> tuple[Column, C
     denom = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / denom
     margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / denom
-    return F.coalesce(F.greatest(F.lit(0.0), centre - margin), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + margin), F.lit(0.0))
+    some = total > 0
+    return F.when(some, F.greatest(F.lit(0.0), centre - margin)).otherwise(0.0), F.when(some, F.least(F.lit(1.0), centre + margin)).otherwise(0.0)
 
 
 def upper_tail(z: Column) -> Column:
@@ -41,7 +43,7 @@ def upper_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_tail_exact(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value of |z| with full relative accuracy."""
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: All 29 Unicode white-space code points, which Java's \s alone does not cover.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -65,7 +66,7 @@ def has_non_latin(c: Column) -> Column:
     return c.rlike(r"[^\P{L}\p{IsLatin}]")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def has_non_latin_exact(s: pd.Series) -> pd.Series:
     """An alphabetic character whose Unicode name does not begin with LATIN; unnamed characters don't count."""
 
@@ -91,11 +92,16 @@ def probe(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike("(?iu)" + pattern), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda a: None if a is None else [t if t is None else unicodedata.normalize("NFKC", t) for t in a])
+
+
 # Typographic characters and what they fold to.
 _FOLD_FROM = "‘’“”–—"
 _FOLD_TO = "''\"\"--"
@@ -109,8 +115,11 @@ def fold_for_match(c: Column, exact: bool = False) -> Column:
 def grounding(text: Column, spans: Column, exact: bool = False) -> Column:
     """The share of spans that are not empty and stand in the text; 1 if there are no spans."""
     hay = fold_for_match(F.coalesce(text, F.lit("")), exact)
-    ok = F.transform(spans, lambda s: (fold_for_match(F.coalesce(s, F.lit(""))) != "") & F.contains(hay, fold_for_match(F.coalesce(s, F.lit("")))))
-    return F.when(F.size(spans) > 0, F.size(F.filter(ok, lambda x: x)) / F.size(spans)).otherwise(1.0)
+    raw = nfkc_each(spans) if exact else spans
+    # both go in as a lambda's variable: folded once, and Python workers can't be called inside one
+    both = F.array(F.struct(hay.alias("hay"), F.transform(raw, lambda s: fold_for_match(F.coalesce(s, F.lit("")))).alias("spans")))
+    found = F.transform(both, lambda b: F.size(F.filter(b.spans, lambda s: (s != "") & F.contains(b.hay, s))))[0]
+    return F.when(F.size(spans) > 0, found / F.size(spans)).otherwise(1.0)
 
 
 def strip_code_fences(c: Column) -> Column:

@@ -182,7 +182,7 @@ def test_volume_counts_once_and_trend_guard(spark):
 
 
 def test_search_rules(spark):
-    v = spark.createDataFrame([(0, [1.0, 0, 0], "a"), (1, [0, 1.0, 0], "b"), (2, [0, 0, 1.0], "a"), (3, [-1.0, 0, 0], "b")], "vec_id int, embedding array<double>, label string")
+    v = spark.createDataFrame([(0, [1.0, 0.0, 0.0], "a"), (1, [0.0, 1.0, 0.0], "b"), (2, [0.0, 0.0, 1.0], "a"), (3, [-1.0, 0.0, 0.0], "b")], "vec_id int, embedding array<double>, label string")
     hits = retrieval.search(v, [1.0, 0, 0], 2, F.col("label") == "b").collect()
     assert [h.vec_id for h in hits] == [1, 3] and not hits[0].truncated
     assert retrieval.search(v, [1.0, 0, 0], 3, F.col("label") == "b").first().truncated
