@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-EVENTS = T.StructType.fromDDL("event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_trigger: int = 64) -> DataFrame:
