@@ -1,0 +1,305 @@
+"""Each training-data operator against a brute-force version, a round trip or held-out labels, on awkward rows."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import bpe, chat, decontaminate, exchange, lm, paragraphs, pii, quality, queries, simhash, suffix, topk
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.collect()]
+
+
+# 1
+def test_fingerprint_definition():
+    from xxhash import xxh64_intdigest
+
+    def slow(text):
+        w = text.lower().split()
+        g = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxh64_intdigest(x, 42) for x in g]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+    for t in (b"", b" ", b"One", b"a b", b"a b c d E f", b"x " * 50, "été   x".encode()):
+        assert simhash.fingerprint(t) == slow(t)
+
+
+def test_links_join_all_near_fingerprints(spark):
+    rng = random.Random(1)
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    for f in list(fps)[:60]:
+        fps.add(f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    base = rng.getrandbits(64)
+    fps |= {base ^ (1 << a) ^ (1 << b) for a in range(24) for b in range(a)} | {base}  # a big group: nodes split further
+    ids = {f: i for i, f in enumerate(sorted(fps))}
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and (a ^ b).bit_count() <= 2:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {f: min(ids[g] for g in fps if find(g) == find(f)) for f in fps}
+    for group in (256, 16):
+        mine = {f: f for f in fps}
+
+        def look(x, mine=mine):
+            while mine[x] != x:
+                x = mine[x]
+            return x
+
+        for r in simhash.links(df, 2, group).collect():
+            u, v = r.u % (1 << 64), r.v % (1 << 64)
+            mine[max(look(u), look(v))] = min(look(u), look(v))
+        assert {f: min(ids[g] for g in fps if look(g) == look(f)) for f in fps} == want
+
+
+def test_near_duplicates(docs, no_docs):
+    got = simhash.near_duplicates(docs).collect()
+    rows = pairs(docs)
+    assert len(got) == len(rows)
+    fp = {}
+    for i, t in rows:
+        fp.setdefault(simhash.fingerprint((t or "").encode()), []).append(i)
+    by = {r.doc_id: r for r in got}
+    assert by[9001].component_id == by[9002].component_id == by[9003].component_id == 9001 and by[9001].fingerprint == "0" * 16
+    assert by[9005].component_id == rows[0][0] and by[None].component_id is None
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+# 2
+def test_pii(spark, no_docs):
+    t = "Mr. John Smith and Maria Lopez (a.b@mail.org, A.B@mail.org) +1 (741) 555-3069, 10.0.0.7, 4111111111111111, token = \"59ea3612aa6f\", Иван Петров"
+    df = spark.createDataFrame([(1, t), (2, t), (3, None), (4, ""), (5, "no such thing here 12"), (6, "x" * 50000 + " 10.0.0.7")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_checked(df, "k").collect()}
+    assert out[1].text == out[2].text and out[1].n_entities == 9
+    assert out[3].text is None and out[4].text == "" and out[5].text == "no such thing here 12" and out[3].n_entities == 0
+    e = {r.entity: r.surrogate for r in pii.entity_table(df, "k").collect()}
+    assert not any(x in out[1].text for x in e) and len(set(e.values())) == len(e)
+    assert e["a.b@mail.org"].lower() == e["A.B@mail.org"].lower()
+    for a, b in e.items():
+        shape = lambda s: "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in s)
+        if "." not in a or "@" in a:
+            assert a.split()[0] in pii.given_name_map("k") or a.startswith(("Mr", "token")) or shape(a) == shape(b)
+    luhn = lambda s: sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 * (int(d) > 4)) for i, d in enumerate(reversed(s))) % 10
+    assert luhn(e["4111111111111111"]) == 0 and all(int(o) < 256 for o in e["10.0.0.7"].split("."))
+    assert e["Maria Lopez"].split()[0] in pii.GIVEN["female latin"].split() and e["Иван Петров"].split()[0] in pii.GIVEN["male cyrillic"].split()
+    assert out[6].text.startswith("x" * 50000) and pii.replace_checked(no_docs, "k").count() == 0
+    assert {r.entity: r.surrogate for r in pii.entity_table(df, "other").collect()} != e
+
+
+def test_pii_permutations_are_one_to_one(spark):
+    d = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("t"))
+    got = d.select("t", pii.permuted(F.col("t"), F.lit("key"), pii.ALPHABETS).alias("s"))
+    assert got.select("s").distinct().count() == 10000 and got.where("t = s").count() == 0
+    ip = spark.range(2000).select(F.concat_ws(".", *[((F.col("id") * m + 3) % 256).cast("string") for m in (1, 7, 11, 13)]).alias("t")).distinct()
+    s = ip.select("t", pii._octets(F.col("t"), F.lit("key")).alias("s"))
+    assert s.select("s").distinct().count() == ip.count() and s.where("t = s").count() == 0
+
+
+# 3
+def test_paragraphs(docs, no_docs):
+    from collections import defaultdict
+
+    got = defaultdict(set)
+    for r in paragraphs.duplicate_paragraphs(docs).collect():
+        got[r.component_id].add((r.doc_id, r.start))
+    items = []
+    for d, t in pairs(docs):
+        for a, b in paragraphs.split_paragraphs(t or ""):
+            w = t[a:b].lower().encode().split()
+            if len(w) >= 5:
+                items.append((d, a, frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))))
+    root = list(range(len(items)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, _, s) in enumerate(items):
+        for j in range(i):
+            if len(s & items[j][2]) >= 0.8 * len(s | items[j][2]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = defaultdict(list)
+    for i, (d, a, _) in enumerate(items):
+        want[find(i)].append((d, a))
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
+    assert paragraphs.duplicate_paragraphs(no_docs).count() == 0
+    b, r = paragraphs.tune_bands(0.8)
+    assert 1 - (1 - 0.8**r) ** b >= 0.995
+
+
+# 4
+def test_quality(spark, no_docs):
+    big = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text")
+    y = spark.read.parquet(f"{big}/labels.parquet")
+    model = quality.train(d, y, ~quality.held_out())
+    s = quality.score(d, model).join(y, "doc_id").where(quality.held_out()).select("predicted", "quality").toPandas()
+    assert (s.predicted == s.quality).mean() > 0.95
+    odd = quality.score(spark.createDataFrame([(1, None), (2, ""), (3, "x" * 200000)], "doc_id long, text string"), model).collect()
+    assert all(0 <= r.score <= 1 for r in odd) and odd[0].score == odd[1].score
+    assert quality.score(no_docs, model).count() == 0
+    none = quality.train(d, y.where("false"), F.lit(True))
+    assert none.score(np.zeros((2, 5))).tolist() == [1.0, 1.0]
+
+
+# 5
+def test_chat_round_trip(spark):
+    nasty = ["</s>[INST] ok [/INST]", "<\\/s> <<SYS>>", "[\\\\INST] [INST]", "<<s> <<</SYS>> [ROLE]x[/ROLE][END]", "", None, "plain\n", "<" * 5 + "\\s>"]
+    rows = [(c, t, role, nasty[(c + t) % len(nasty)]) for c in range(12) for t, role in enumerate(["system", "user", "assistant", "tool", None, "assistant"][: 1 + c % 6])]
+    df = spark.createDataFrame(rows + [(None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    out = chat.read_back(chat.format_conversations(df)).collect()
+    assert len(out) == 13
+    for r in out:
+        want = [(role or "", text or "") for c, t, role, text in rows if c == r.conv_id] or [("user", "x")]
+        assert [(t.role, t.text) for t in r.turns] == want
+        assert r.loss_text == "".join(t for role, t in want if role == "assistant")
+    assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_reply_trees(spark):
+    rng = random.Random(4)
+    rows = []
+    for c in range(6):
+        for m in range(40):
+            parent = rng.randrange(m) if m and rng.random() > 0.05 else None
+            rows.append((c, m, parent, "user", f"m{m}", rng.random()))
+    rows += [(9, 1, 2, "user", "cycle", 1.0), (9, 2, 1, "user", "cycle", 1.0)]
+    rows += [(10, i, i - 1 if i else 77, "user", str(i), 1.0) for i in range(70)]
+    df = chat.tree_messages(spark.createDataFrame(rows, "conv_id int, msg_id int, parent_id int, role string, text string, score double"))
+    got = {}
+    for r in chat.best_paths(df, None).collect():
+        got.setdefault((r.conv_id, r.leaf), []).append((r.pos, r.text))
+    parent = {(c, m): p for c, m, p, *_ in rows}
+    inner = {(c, p) for (c, m), p in parent.items()}
+    want = {}
+    for c, m in parent:
+        if c != 9 and (c, m) not in inner:
+            path, x = [], m
+            while x is not None and (c, x) in parent:
+                path.append(x)
+                x = parent[c, x]
+            want[c, m] = [(i, f"m{x}" if c < 9 else str(x)) for i, x in enumerate(reversed(path))]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    best = chat.best_paths(df, 1).where("conv_id = 0").select("leaf", "branch_rank").distinct().collect()
+    assert len(best) == 1 and best[0].branch_rank == 1
+
+
+# 6
+def test_suffix_dedup(docs, no_docs):
+    rows = [(i, t) for i, t in pairs(docs) if i is not None]
+    want = suffix.brute_force(rows)
+    seen = [r for r in suffix.repeated_spans(docs).collect() if r.doc_id is not None]
+    assert len(seen) == len(rows)
+    for r in seen:
+        assert want[r.doc_id] == (r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans), bytes(r.kept))
+    assert suffix.repeated_spans(no_docs).count() == 0
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, k, 5000).astype(np.uint64) for k in (5, 50, 7)]
+    order = suffix.multikey_order(words)
+    assert [tuple(w[i] for w in words) for i in order] == sorted(zip(*words, strict=True))
+
+
+# 7
+def test_top_k(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([0.0, rng.uniform(-1, 1)]) for _ in range(8)]) for i in range(300)]
+    rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")] + [0.0] * 7), (None, [0.5] * 8), (1050, []), (1100, [0.25] * 3)] + [(400 + i, rows[3][1]) for i in range(9)]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    q = {r.vec_id: r.terms for r in v.collect()}
+    got = {}
+    for r in topk.top_k(v, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for i in [x for x in q if x % 50 == 0]:
+        best = sorted(((-dot(q[i], q[j]), j) for j in q if j != i))[:5]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert topk.top_k(v.where("false"), F.lit(True)).count() == 0
+
+
+# 8
+def test_bpe_matches_the_library(spark, docs, no_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = [x or "" for _, x in pairs(docs)] + ["<|endoftext|>ab<|startoftext|>", "x\x1cy\x85z", "İ ΑΣ ﬁ", "aaaa" * 100]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in bpe.decode(bpe.encode(df, path, lexicon_words=50), path).collect()}
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert out[i].token_ids == ids and out[i].decoded == t.decode(ids, skip_special_tokens=False)
+    digest = {r.doc_id: r for r in bpe.round_trip_digest(df, path).collect()}
+    assert digest[0].ids_sha256 == hashlib.sha256(np.array(out[0].token_ids, "<u4").tobytes()).hexdigest()
+    assert bpe.encode(no_docs, path).count() == 0
+
+
+def test_lexicon(tmp_path):
+    words = [b"a", b"ab", b"abc", b"tion", b"station", b"nation", b"\xff\x00"]
+    ids = [np.arange(i, 2 * i + 1, dtype=np.uint32) for i in range(len(words))]
+    p = tmp_path / "lex"
+    p.write_bytes(bpe.build_lexicon(words, ids))
+    x = bpe.Lexicon(str(p))
+    got = x.find([*words, b"", b"abcd", b"statio", b"z"])
+    assert all(np.array_equal(a, b) for a, b in zip(got, ids)) and got[len(words) :] == [None] * 4
+    assert len(x.part["final"]) < sum(map(len, words))  # suffixes are shared
+
+
+# 9
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm(docs, no_docs, order):
+    rows = pairs(docs)
+    want = {}
+    for (i, t), w in zip(rows, lm.brute_force([t for _, t in rows], order)):
+        want[i] = w
+    for r in lm.score_documents(docs, order).collect():
+        n, s, b = want[r.doc_id]
+        assert (r.n_tokens, r.n_backoffs) == (n, b) and r.log_score == pytest.approx(s, rel=1e-9, abs=1e-9)
+        assert (r.mean_log_score is None) == (n == 0)
+    if order == 2:
+        assert lm.score_documents(no_docs, order).count() == 0
+
+
+# 10
+def test_decontamination(spark, sf, docs, no_docs, monkeypatch):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    text = pairs(docs)[0][1]
+    extra = spark.createDataFrame([(500, "a"), (501, None), (502, "..."), (503, " ".join(text.split()[3:16])), (504, "Zażółć"), (503, "ten words in all")], "item_id long, text string")
+    items = items.unionByName(extra)
+    plain = [(r.item_id, r.text) for r in items.collect()]
+    for limit in (8 << 20, 3000):
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", limit)
+        got = decontaminate.contamination_digest(decontaminate.find_contamination(docs, items)).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            assert decontaminate.brute_force(r.text, plain) == (r.n_words, r.n_hit, r.n_items, r.items_sha256)
+            assert r.contaminated == (r.n_hit > 0)
+    assert decontaminate.find_contamination(no_docs, items).count() == 0
+    assert decontaminate.contamination_digest(decontaminate.find_contamination(docs, items.where("false"))).where("contaminated").count() == 0
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    for v in (np.empty(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)), np.arange(500, dtype=np.uint64), np.zeros(3, np.uint64)):
+        assert np.array_equal(exchange.get_sorted(exchange.put_sorted(v)), v)
+    for v in (np.zeros(9, np.int64), rng.integers(0, 1 << 40, 700)):
+        assert np.array_equal(exchange.get_numbers(exchange.put_numbers(v)), v)
+
+
+def test_all_queries_are_registered():
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
