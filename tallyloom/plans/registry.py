@@ -158,7 +158,7 @@ def cleaning_report(spark, sf_dir):
 
 # near duplicates: the oracle builds all pairs, from the same definition
 _TOK = "list_filter(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}_]+'), lambda x: length(x) > 1)"
-_ND = f"""d AS (SELECT doc_id, length(text) AS n_len, {_TOK} AS t FROM documents WHERE n_chars < 1500),
+_ND = f"""d AS (SELECT doc_id, length(text) AS n_len, {_TOK} AS t FROM documents),
  g AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM d),
  tf AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM d),
  w0 AS (SELECT doc_id, term, tf * (ln((n + 1.0) / (df + 1)) + 1) AS w FROM tf JOIN df USING (term), n),
@@ -171,9 +171,8 @@ _ND = f"""d AS (SELECT doc_id, length(text) AS n_len, {_TOK} AS t FROM documents
 
 @query(f"WITH RECURSIVE {_ND} SELECT doc_id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS BIGINT) AS near_dup_group_id, size AS near_dup_group_size, doc_id = rep AS is_near_dup_representative FROM f")
 def near_dup_groups(spark, sf_dir):
-    """N01, N02, W11, W12 over reviews, which are texts of bounded length by definition of the source (here: below 1,500 characters)."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 1500")
-    return neardup.near_duplicate_groups(d, 0.8, "doc_id", "doc_id", "text")
+    """N01, N02, W11, W12."""
+    return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"), 0.8, "doc_id", "doc_id", "text")
 
 
 @query(with_(REVIEWS) + "SELECT source AS grp, min(review_date) AS first_date FROM reviews GROUP BY 1")
@@ -622,14 +621,14 @@ def taxonomy_issues(spark, sf_dir):
     return labels.taxonomy_issues(_broken(spark, sf_dir), TAX).select("review_id", "kind")
 
 
-@query("SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 0.5 ELSE 1.0 END AS grounding_rate FROM documents d WHERE n_chars > 30")
+@query("SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 0.5 ELSE 1.0 END AS grounding_rate FROM documents d")
 def grounding(spark, sf_dir):
     """a span of the text, and in every third document an invented one."""
     from tallyloom.functions.text import grounding as rate
 
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").where("n_chars > 30")
-    spans = F.when(k % 3 == 0, F.array(F.concat(F.lit("  "), F.substring("text", 3, 20)), F.lit("zq never said"))).otherwise(F.array(F.substring("text", 3, 20)))
+    d = table(spark, sf_dir, "documents")
+    spans = F.when(k % 3 == 0, F.array(F.concat(F.lit("  "), F.substring("text", 1, 20)), F.lit("zq never said"))).otherwise(F.array(F.substring("text", 1, 20)))
     return d.select("doc_id", rate(F.col("text"), spans).alias("grounding_rate"))
 
 
