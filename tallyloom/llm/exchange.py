@@ -118,16 +118,15 @@ class Chunks:
 
         self.frame = self.ws.cut(docs.mapInArrow(pack, "chunk string, blob binary"))
 
-    def ask(self, explode: Callable[[pa.Table, dict], Iterator[tuple[int, np.ndarray, np.ndarray]]], answer: Callable, heard: DataFrame | None = None) -> DataFrame:
-        """Answers (chunk, kind, keys, values) to every chunk's questions.
+    def ask(self, explode: Callable[[pa.Table, dict], Iterator[tuple[int, np.ndarray, np.ndarray]]], answer: Callable, heard: DataFrame | None = None, by_place: bool = False) -> DataFrame:
+        """Answers (chunk, kind, bucket, keys, values) to every chunk's questions.
 
         explode: the rows of a chunk, and the earlier answers `heard` (as for `hear`) -> (kind, ascending distinct keys, values
         >= 0) for each kind of question. answer: (kind, the askers' keys and values as two lists) -> for each asker the positions
-        of the keys that get an answer, and the answers (>= 0).
+        of the keys that get an answer, and the answers (>= 0). by_place: answers name keys by their place among those asked,
+        a bit each, for chunks that can make the same keys again (see Places).
         """
-        buckets = self.buckets
-        width = -(-(1 << 64) // buckets)
-        edges = np.array([b * width for b in range(1, buckets)], np.uint64)
+        edges = bucket_edges(self.buckets)
 
         def rows_of(chunk: str, table: pa.Table, got: dict) -> list[tuple]:
             out = []
@@ -150,33 +149,34 @@ class Chunks:
                     trim()
 
         def asked_after(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-            known = _by_kind(got)
+            known = heard_of(got)
             rows = [r for chunk, blob in zip(own["chunk"], own["blob"], strict=True) for r in rows_of(chunk, unpack_batch(blob), known)]
             trim()
             return pd.DataFrame(rows, columns=names)
 
         def answered(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            out, bucket = [], int(pdf["bucket"].iloc[0])
             for kind, part in pdf.groupby("kind"):
                 keys, values = [get_sorted(k) for k in part["keys"]], [get_numbers(v) for v in part["values"]]
                 for chunk, k, (at, reply) in zip(part["chunk"], keys, answer(kind, keys, values), strict=True):
                     if len(at):
-                        out.append((chunk, kind, put_sorted(k[at]), put_numbers(reply)))
+                        told = put_bits(at, len(k)) if by_place else put_sorted(k[at])
+                        out.append((chunk, kind, bucket, told, put_numbers(reply)))
                 del keys, values
             trim()
-            return pd.DataFrame(out, columns=["chunk", "kind", "keys", "values"])
+            return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "keys", "values"])
 
         if heard is None:
             rows = self.frame.mapInArrow(asked, schema)
         else:
             rows = self.frame.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInPandas(asked_after, schema)
-        return rows.groupBy("bucket").applyInPandas(answered, "chunk string, kind int, keys binary, values binary")
+        return rows.groupBy("bucket").applyInPandas(answered, "chunk string, kind int, bucket int, keys binary, values binary")
 
     def hear(self, answers: DataFrame, read: Callable[[pa.Table, dict[int, tuple[np.ndarray, np.ndarray]]], pd.DataFrame], schema: str) -> DataFrame:
         """read(rows of a chunk, {kind: (ascending keys, answers)}) for every chunk, those without answers too."""
 
         def both(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-            known = _by_kind(got)
+            known = heard_of(got)
             out = pd.concat([read(unpack_batch(blob), known) for blob in own["blob"]]) if len(own) else empty
             trim()
             return out
@@ -186,9 +186,40 @@ class Chunks:
         return self.frame.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(both, schema)
 
 
-def _by_kind(got: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def bucket_edges(buckets: int) -> np.ndarray:
+    """The least key of each bucket but the first."""
+    width = -(-(1 << 64) // buckets)
+    return np.array([b * width for b in range(1, buckets)], np.uint64)
+
+
+def put_bits(at: np.ndarray, n: int) -> bytes:
+    bits = np.zeros(n, bool)
+    bits[at] = True
+    return b"\0" + np.packbits(bits).tobytes()
+
+
+class Places:
+    """Answers of one kind that name keys by place: on(keys) gives the answers to the keys that were asked, 0 where there is none."""
+
+    def __init__(self, part: pd.DataFrame):
+        self.rows = list(zip(part["bucket"], part["keys"], part["values"], strict=True))
+
+    def on(self, keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        bounds = np.r_[0, np.searchsorted(keys, edges), len(keys)]
+        out = np.zeros(len(keys), np.int64)
+        for b, bits, values in self.rows:
+            a, z = bounds[b], bounds[b + 1]
+            out[a + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8, offset=1), count=z - a))] = get_numbers(values)
+        return out
+
+
+def heard_of(got: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray] | Places]:
+    """A chunk's answers by kind: (ascending keys, answers), or Places."""
     out = {}
     for kind, part in got.groupby("kind"):
+        if part["keys"].iloc[0][:1] == b"\0":
+            out[int(kind)] = Places(part)
+            continue
         keys, values = np.concatenate([get_sorted(k) for k in part["keys"]]), np.concatenate([get_numbers(v) for v in part["values"]])
         order = np.argsort(keys)
         out[int(kind)] = (keys[order], values[order])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyloom.llm.exchange import Chunks, look_up, unpack_batch
+from tallyloom.llm.exchange import Chunks, bucket_edges, unpack_batch
 
 BACKOFF = 0.4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -47,15 +47,39 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def _grams_of(table: pa.Table, order: int, drop: int) -> list[np.ndarray]:
-    """The n-gram hashes of all rows of a chunk, for n = 1..order, none across rows."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(order)]
-    for text in table.column("text").to_pylist():
-        w = tokens(text)
-        if w:
-            for n, h in enumerate(gram_hashes(w, order, drop)):
-                parts[n].append(h)
-    return [np.concatenate(p) if p else np.empty(0, np.uint64) for p in parts]
+class Grams:
+    """The n-grams of a chunk, none across rows: for each order the distinct hashes, each occurrence's number among them, and counts."""
+
+    def __init__(self, table: pa.Table, order: int, drop: int):
+        self.words = [tokens(t) for t in table.column("text").to_pylist()]
+        self.size = np.array([len(w) for w in self.words])
+        self.begin = np.cumsum(self.size) - self.size
+        self.row = np.repeat(np.arange(len(self.words)), self.size)
+        flat = [w for ws in self.words for w in ws]
+        self.hashes = gram_hashes(flat, order, drop)
+        self.words = None
+
+    def inside(self, n: int) -> np.ndarray:
+        """Where an n-gram that begins there lies in one row."""
+        m = max(0, len(self.row) - n + 1)
+        return self.row[:m] == self.row[n - 1 :] if m else np.empty(0, bool)
+
+    def kinds(self, n: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the n-grams, ascending distinct hashes, number of each place's hash)."""
+        at = np.flatnonzero(self.inside(n) if where is None else where)
+        return at, *np.unique(self.hashes[n - 1][at], return_inverse=True)
+
+    def frequent(self, n: int, got: dict, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of the n-grams at each place, 0 if rare; where an (n+1)-gram may be frequent), from the answers."""
+        counts = np.zeros(len(self.row), np.int64)
+        where = None if n <= 2 else self._maybe
+        at, keys, number = self.kinds(n, where)
+        if n in got and len(at):
+            counts[at] = got[n].on(keys, edges)[number]
+        m = max(0, len(self.row) - n)
+        often = counts >= least
+        self._maybe = self.inside(n + 1) & often[:m] & often[1 : m + 1]
+        return counts, self._maybe
 
 
 def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,22 +89,24 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
     kind = kept.schema["id"].dataType.simpleString()
     drop = max(0, 64 - 20 - max(20, (chunks.bytes * order // 5).bit_length()))
 
+    edges = bucket_edges(chunks.buckets)
+
+    def asked(g: Grams, n: int, where=None):
+        _, keys, number = g.kinds(n, where)
+        return n, keys, np.bincount(number, minlength=len(keys))
+
     def short(table, got):
-        for n, h in enumerate(_grams_of(table, min(order, 2), drop), 1):
-            keys, counts = np.unique(h, return_counts=True)
-            yield n, keys, counts
+        g = Grams(table, min(order, 2), drop)
+        for n in range(1, min(order, 2) + 1):
+            yield asked(g, n)
 
     def longer(n):
         def explode(table, got):
             # an n-gram can't be there oftener than what it begins and ends with
-            kept = []
-            for text in table.column("text").to_pylist():
-                w = tokens(text)
-                if len(w) >= n:
-                    *_, part, whole = gram_hashes(w, n, drop)
-                    often = look_up(part, got.get(n - 1)) >= least
-                    kept.append(whole[often[:-1] & often[1:]])
-            yield n, *np.unique(np.concatenate(kept) if kept else np.empty(0, np.uint64), return_counts=True)
+            g = Grams(table, n, drop)
+            for k in range(2, n):
+                _, maybe = g.frequent(k, got, edges, least)
+            yield asked(g, n, maybe)
 
         return explode
 
@@ -92,32 +118,28 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
             at = np.flatnonzero(enough[part])
             yield at, total[part][at]
 
-    answers = chunks.ws.cut(chunks.ask(short, count))
+    answers = chunks.ws.cut(chunks.ask(short, count, by_place=True))
     chunks.ws.release()
     for n in range(3, order + 1):
-        answers = answers.unionByName(chunks.ws.cut(chunks.ask(longer(n), count, answers)))
+        answers = answers.unionByName(chunks.ws.cut(chunks.ask(longer(n), count, answers, by_place=True)))
         chunks.ws.release()
     n_all = chunks.ws.cut(chunks.frame.mapInArrow(_count_tokens, "n long")).agg(F.sum("n")).first()[0] or 1
 
     def read(table, got):
-        rows = []
-        for doc, text in zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True):
-            w = tokens(text)
-            if not w:
-                rows.append((doc, 0, 0.0, None, 0))
-                continue
-            counts = [look_up(h, got.get(n)) for n, h in enumerate(gram_hashes(w, order, drop), 1)]
-            logp = np.log(counts[0] / n_all)
-            used = np.zeros(len(w), np.int64)
-            for n in range(2, order + 1):
-                longer, context = counts[n - 1], counts[n - 2][:-1]
-                seen = longer >= least
-                shorter = logp[n - 1 :] + np.log(BACKOFF)
-                logp[n - 1 :] = np.where(seen, np.log(np.maximum(longer, 1) / np.maximum(context, 1)), shorter)
-                used[n - 1 :] = np.where(seen, 0, used[n - 1 :] + 1)
-            total = float(logp.sum())
-            rows.append((doc, len(w), total, total / len(w), int(used.sum())))
-        return pd.DataFrame(rows, columns=["id", "n_tokens", "log_score", "mean_log_score", "n_backoffs"])
+        g = Grams(table, order, drop)
+        ids, m = table.column("id").to_pylist(), len(g.row)
+        counts, _ = g.frequent(1, got, edges, least)
+        logp, used = np.log(np.maximum(counts, 1) / n_all), np.zeros(m, np.int64)
+        for n in range(2, order + 1):
+            context = counts
+            counts, _ = g.frequent(n, got, edges, least)
+            begin = np.flatnonzero(g.inside(n))
+            seen, end = counts[begin] >= least, begin + n - 1
+            logp[end] = np.where(seen, np.log(np.maximum(counts[begin], 1) / np.maximum(context[begin], 1)), logp[end] + np.log(BACKOFF))
+            used[end] = np.where(seen, 0, used[end] + 1)
+        total, backoffs = (np.bincount(g.row, x, len(ids)) if m else np.zeros(len(ids)) for x in (logp, used))
+        mean = [t / n if n else None for t, n in zip(total.tolist(), g.size.tolist(), strict=True)]
+        return pd.DataFrame({"id": ids, "n_tokens": g.size, "log_score": total, "mean_log_score": mean, "n_backoffs": backoffs.astype(np.int64)})
 
     out = chunks.hear(answers, read, f"id {kind}, n_tokens long, log_score double, mean_log_score double, n_backoffs long")
     return out.withColumnRenamed("id", id_col)
