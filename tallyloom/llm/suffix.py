@@ -2,7 +2,8 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id. Most suffixes can be left
 out first: each window of LENGTH bytes is represented by the least hash of the short strings in it, equal windows have equal
-representatives, and a representative that only one document has rules out all its windows. The suffixes that are left are
+representatives, and a representative that only one document has rules out all its windows. Runs of windows that stand as a
+whole in a document with a smaller id go at once. The suffixes that are left are
 range-partitioned by their leading bytes, between splitters drawn from a sample; every bucket sorts its suffixes by multikey
 quicksort, a machine word at a time; suffixes that agree in a window are then neighbours. Splitters compare whole
 sort keys, so that the neighbours of one window never lie on both sides of a boundary, however often its leading bytes
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.blocks import trim
-from tallyloom.llm.exchange import Chunks, get_numbers, get_sorted, look_up, put_numbers, put_sorted, unpack_batch
+from tallyloom.llm.exchange import Chunks, bucket_edges, get_numbers, get_sorted, heard_of, look_up, put_numbers, put_sorted, unpack_batch
 from tallyloom.session import ship
 
 #: Bytes of a short string; a window of LENGTH has LENGTH - SHORT + 1 of them.
 SHORT = 20
 #: Suffixes whose leading bytes are sampled for the splitters, for each bucket.
 SAMPLE = 40
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _LUT = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -88,8 +89,9 @@ class Windows:
         self.rank = table.column("rank").to_numpy()
         self.drop = np.uint64(drop)
 
-    def each(self, suffixes: bool = True):
-        """For each block: (representatives, documents, starts within the block, lead, rest, block's bytes)."""
+    def each(self):
+        """For each block of documents: its first document, bytes, hashes, and the runs of neighbouring windows that have one
+        representative: (first, data, hashes, representatives, documents, starts in the block, numbers of windows)."""
         n = self.length
         for first, last in _blocks(self.texts):
             data = np.frombuffer(b"".join(self.texts[first:last]), np.uint8)
@@ -100,20 +102,18 @@ class Windows:
             hashes = _Hashes(data)
             rep = representatives(_mix(hashes.of(SHORT)), n - SHORT + 1) >> self.drop << self.drop
             at = np.flatnonzero(doc[: len(rep)] == doc[n - 1 :])
-            if not suffixes:
-                yield rep[at], doc[at]
+            if not len(at):
                 continue
-            lead = np.lib.stride_tricks.sliding_window_view(data, 8)[: len(rep)]
-            rest = _mix(hashes.of(n - 8)[8:]) >> np.uint64(16)
-            yield rep[at], doc[at], at, lead, rest, first
+            r, d = rep[at], doc[at]
+            new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (d[1:] != d[:-1])])
+            yield first, data, hashes, r[new], d[new], at[new], np.diff(np.r_[new, len(at)])
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct representatives, and 1 where two documents of the chunk have one."""
         reps, docs = [], []
-        for rep, doc in self.each(suffixes=False):
-            new = np.flatnonzero(np.r_[True, (rep[1:] != rep[:-1]) | (doc[1:] != doc[:-1])])
-            reps.append(rep[new])
-            docs.append(self.rank[doc[new]])
+        for _, _, _, rep, doc, _, _ in self.each():
+            reps.append(rep)
+            docs.append(self.rank[doc])
         if not reps:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         rep, doc = np.concatenate(reps), np.concatenate(docs)
@@ -122,19 +122,49 @@ class Windows:
         edge = np.flatnonzero(np.r_[True, rep[1:] != rep[:-1]])
         return rep[edge], (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)).astype(np.int64)
 
-    def suffixes(self, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(lead, rest, document, start within the document) of the windows whose representative several documents have."""
-        out = []
-        for rep, doc, at, lead, rest, first in self.each():
+    def shared_runs(self, shared, suffixes: bool) -> "Runs":
+        """The runs whose representative several documents have; with suffixes, the sort keys of their windows too."""
+        out, n = [], self.length
+        for first, data, hashes, rep, doc, at, count in self.each():
             keep = look_up(rep, shared) > 0
-            at, doc = at[keep], doc[keep]
-            sizes = np.array([len(t) for t in self.texts[first : int(doc.max()) + 1 if len(doc) else first]], np.int64)
-            begin = np.cumsum(sizes) - sizes
-            words = np.ascontiguousarray(lead[at]).view(">u8").ravel().astype(np.uint64)
-            out.append((words, rest[at], doc, at - begin[doc - first] if len(doc) else at))
-        if not out:
-            return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            doc, at, count = doc[keep], at[keep], count[keep]
+            sizes = np.array([len(t) for t in self.texts[first : int(doc[-1]) + 1]], np.int64) if len(doc) else np.empty(0, np.int64)
+            start = at - (np.cumsum(sizes) - sizes)[doc - first] if len(doc) else at
+            # a run is shorter than a window: its first and its last one hold all its bytes
+            whole = hashes.of(n)
+            name = _mix(whole[at] * _M[3] + whole[at + count - 1] * _M[4] + count.astype(np.uint64))
+            lead = rest = np.empty(0, np.uint64)
+            if suffixes and len(at):
+                each = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[each]).view(">u8").ravel().astype(np.uint64)
+                rest = _mix(hashes.of(n - 8)[each + 8]) >> np.uint64(16)
+            out.append((name, doc, start, count, lead, rest))
+        kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        return Runs(self, *(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, t) for t in kinds))
+
+
+class Runs:
+    """Runs of windows: a hash that stands for all their bytes, document, start there, number of windows, and sort keys of the windows."""
+
+    def __init__(self, windows: Windows, name, doc, start, count, lead, rest):
+        self.name, self.doc, self.start, self.count, self.lead, self.rest = name, doc, start, count, lead, rest
+        self.rank = windows.rank[doc]
+        self.names, self.number = np.unique(name, return_inverse=True)
+        self.least = np.full(len(self.names), 1 << 62)
+        np.minimum.at(self.least, self.number, self.rank)
+
+    def gone(self, smaller: np.ndarray) -> np.ndarray:
+        """Runs that stand as a whole in a document with a smaller id: in the chunk, or elsewhere (`smaller`, for each name)."""
+        return (smaller > 0)[self.number] | (self.rank > self.least[self.number])
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(lead, rest, document, start, rank) of the windows of chosen runs, in suffix order."""
+        of = np.repeat(np.arange(len(self.count)), self.count)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        at = np.flatnonzero(runs[of])
+        at = at[multikey_order([self.lead[at], self.rest[at]])]
+        of, step = of[at], step[at]
+        return self.lead[at], self.rest[at], self.doc[of], self.start[of] + step, self.rank[of]
 
 
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
@@ -168,16 +198,11 @@ def _groups(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (rest[1:] != rest[:-1])]) if len(lead) else np.empty(0, np.int64)
 
 
-def _own(w: Windows, shared):
-    """The chunk's distinct windows in suffix order with their smallest rank; and, for every window, its number among them."""
-    lead, rest, doc, start = w.suffixes(shared)
-    order = multikey_order([lead, rest])
-    lead, rest, doc, start = lead[order], rest[order], doc[order], start[order]
+def _distinct(lead: np.ndarray, rest: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of windows in suffix order the distinct ones: (lead, rest, smallest rank, number of each window)."""
     edge = _groups(lead, rest)
-    rank = w.rank[doc]
     least = np.minimum.reduceat(rank, edge) if len(edge) else rank
-    number = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(lead)]))
-    return lead[edge], rest[edge], least, number, doc, start, rank
+    return lead[edge], rest[edge], least, np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(lead)]))
 
 
 def _bounds(lead: np.ndarray, rest: np.ndarray, splitters: list[tuple[int, int]]) -> list[int]:
@@ -211,6 +236,30 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     shared = ws.cut(chunks.ask(asked, several))
     ws.release()
 
+    # a run that stands as a whole in a document with a smaller id goes; what is left holds the first occurrence of any window
+    edges = bucket_edges(chunks.buckets)
+
+    def named(table, got):
+        runs = Windows(table, length, drop).shared_runs(got.get(0), False)
+        yield 1, runs.names, runs.least
+
+    def smaller(_, keys, values):
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        rank, least = np.concatenate(values), np.full(len(every), 1 << 62)
+        np.minimum.at(least, inverse, rank)
+        less = least[inverse] < rank
+        for part in np.split(less, np.cumsum([len(k) for k in keys])[:-1]):
+            at = np.flatnonzero(part)
+            yield at, np.ones(len(at), np.int64)
+
+    shared = shared.unionByName(ws.cut(chunks.ask(named, smaller, shared, by_place=True)))
+    ws.release()
+
+    def own_runs(table, got) -> tuple[Windows, Runs, np.ndarray]:
+        w = Windows(table, length, drop)
+        runs = w.shared_runs(got.get(0), True)
+        return w, runs, runs.gone(got[1].on(runs.names, edges) if 1 in got else np.zeros(len(runs.names)))
+
     # splitters from a sample of the text's positions: as many buckets as the chunks have, of about equal numbers of suffixes
     def sample(batches):
         for batch in batches:
@@ -230,7 +279,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def suffix_rows(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
         for chunk, blob in zip(own["chunk"], own["blob"], strict=True):
-            lead, rest, least, *_ = _own(Windows(unpack_batch(blob), length, drop), _heard(got))
+            _, runs, gone = own_runs(unpack_batch(blob), heard_of(got))
+            lead, rest, _, _, rank = runs.windows(~gone)
+            lead, rest, least, _ = _distinct(lead, rest, rank)
             edge = _bounds(lead, rest, splitters)
             out += [(b, chunk, put_sorted(lead[a:z]), put_numbers(rest[a:z]), put_numbers(least[a:z])) for b, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
         trim()
@@ -245,26 +296,27 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         goes = np.empty(len(order), bool)
         goes[order] = least < rank[order]
         cut = np.cumsum([len(p[0]) for p in parts])[:-1]
-        return pd.DataFrame({"chunk": pdf["chunk"], "kind": pdf["bucket"] + 1, "keys": [np.packbits(g).tobytes() for g in np.split(goes, cut)], "values": b""})
+        return pd.DataFrame({"chunk": pdf["chunk"], "kind": 2, "bucket": pdf["bucket"], "keys": [np.packbits(g).tobytes() for g in np.split(goes, cut)], "values": b""})
 
     rows = chunks.frame.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(suffix_rows, "bucket int, chunk string, lead binary, rest binary, least binary")
-    verdicts = ws.cut(rows.groupBy("bucket").applyInPandas(judge, "chunk string, kind int, keys binary, values binary"))
+    verdicts = ws.cut(rows.groupBy("bucket").applyInPandas(judge, "chunk string, kind int, bucket int, keys binary, values binary"))
     ws.release()
 
     def spans_of(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
         for blob in own["blob"]:
             table = unpack_batch(blob)
-            w = Windows(table, length, drop)
-            lead, rest, least, number, doc, start, rank = _own(w, _heard(got))
+            told = got[got["kind"] == 2]
+            w, runs, gone = own_runs(table, heard_of(got[got["kind"] < 2]))
+            lead, rest, doc, start, rank = runs.windows(~gone)
+            lead, rest, least, number = _distinct(lead, rest, rank)
             goes = np.zeros(len(lead), bool)
             edge = _bounds(lead, rest, splitters)
-            for kind_, bits in zip(got["kind"], got["keys"], strict=True):
-                if kind_ > 0:
-                    a, z = edge[kind_ - 1], edge[kind_]
-                    goes[a:z] = np.unpackbits(np.frombuffer(bits, np.uint8), count=z - a).astype(bool)
+            for b, bits in zip(told["bucket"], told["keys"], strict=True):
+                goes[edge[b] : edge[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=edge[b + 1] - edge[b]).astype(bool)
             hit = goes[number] | (rank > least[number])
-            doc, start = doc[hit], start[hit]
+            _, _, gone_doc, gone_start, _ = runs.windows(gone)
+            doc, start = np.r_[doc[hit], gone_doc], np.r_[start[hit], gone_start]
             order = np.lexsort((start, doc))
             doc, start = doc[order], start[order]
             cut = np.searchsorted(doc, np.arange(len(w.texts) + 1))
@@ -280,20 +332,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         trim()
         return pd.DataFrame(out, columns=["id", "n_bytes", "spans", "kept"])
 
-    both = shared.select("chunk", "kind", "keys", "values").unionByName(verdicts)
+    both = shared.unionByName(verdicts)
     out = chunks.frame.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(spans_of, f"id {kind}, n_bytes long, spans array<array<long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
-def _heard(got: pd.DataFrame):
-    """The shared representatives among a chunk's answers."""
-    own = got[got["kind"] == 0]
-    if not len(own):
-        return None
-    keys = np.sort(np.concatenate([get_sorted(k) for k in own["keys"]]))
-    return keys, np.ones(len(keys), np.int64)
-
-
 def span_digest(found: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.withColumns({"n_removed": removed, "n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}).drop("spans", "kept")
