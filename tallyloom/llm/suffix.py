@@ -32,6 +32,8 @@ from tallyloom.session import ship
 SHORT = 20
 #: Suffixes whose leading bytes are sampled for the splitters, for each bucket.
 SAMPLE = 40
+#: Turns in which the buckets are sent and sorted: disk for shuffled suffixes is needed for one turn at a time.
+PASSES = 2
 _BLOCK = 1 << 18
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _LUT = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -276,14 +278,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     drawn = sorted((r.lead + (1 << 63), r.rest) for r in drawn)
     splitters = sorted({drawn[i * len(drawn) // chunks.buckets] for i in range(1, chunks.buckets)}) if drawn else []
 
-    def suffix_rows(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def suffix_rows(own: pd.DataFrame, got: pd.DataFrame, turn: int) -> pd.DataFrame:
         out = []
         for chunk, blob in zip(own["chunk"], own["blob"], strict=True):
             _, runs, gone = own_runs(unpack_batch(blob), heard_of(got))
             lead, rest, _, _, rank = runs.windows(~gone)
             lead, rest, least, _ = _distinct(lead, rest, rank)
             edge = _bounds(lead, rest, splitters)
-            out += [(b, chunk, put_sorted(lead[a:z]), put_numbers(rest[a:z]), put_numbers(least[a:z])) for b, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
+            out += [(b, chunk, put_sorted(lead[a:z]), put_numbers(rest[a:z]), put_numbers(least[a:z])) for b, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a and b % PASSES == turn]
         trim()
         return pd.DataFrame(out, columns=["bucket", "chunk", "lead", "rest", "least"])
 
@@ -298,9 +300,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         cut = np.cumsum([len(p[0]) for p in parts])[:-1]
         return pd.DataFrame({"chunk": pdf["chunk"], "kind": 2, "bucket": pdf["bucket"], "keys": [np.packbits(g).tobytes() for g in np.split(goes, cut)], "values": b""})
 
-    rows = chunks.frame.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(suffix_rows, "bucket int, chunk string, lead binary, rest binary, least binary")
-    verdicts = ws.cut(rows.groupBy("bucket").applyInPandas(judge, "chunk string, kind int, bucket int, keys binary, values binary"))
-    ws.release()
+    def verdicts_of(turn: int) -> DataFrame:
+        rows = chunks.frame.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(lambda own, got: suffix_rows(own, got, turn), "bucket int, chunk string, lead binary, rest binary, least binary")
+        out = ws.cut(rows.groupBy("bucket").applyInPandas(judge, "chunk string, kind int, bucket int, keys binary, values binary"))
+        ws.release()
+        return out
+
+    verdicts = verdicts_of(0)
+    for turn in range(1, PASSES):
+        verdicts = verdicts.unionByName(verdicts_of(turn))
 
     def spans_of(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
