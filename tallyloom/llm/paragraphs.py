@@ -1,7 +1,10 @@
 """Paragraph dedup by MinHash banding (operator 3).
 
-A paragraph is a line, or, of a line of over LONG words, a stretch of sentences whose ends depend on the words there alone, so that a
-shared passage is cut alike wherever it stands. Paragraphs become sets of shingles of WORDS words; equal sets are one
+A paragraph is a line, or, of a line of over LONG words, a stretch between two cuts. It is cut behind a word whose rank, a hash of it and
+the word before, is the least of WORDS - 1 words on either side; ends of sentences rank before all others. So a cut depends on the words
+around it alone, a stretch has WORDS words at least (10 on average), and a passage of 50 words that stands in the midst of different lines is cut
+alike there, but for its edges. Where no word ranks least for over STRETCH + WORDS - 1 words, as in a word that is repeated, every STRETCH words are
+a stretch: those of a short period have the same shingles, wherever they begin. Paragraphs become sets of shingles of WORDS words; equal sets are one
 set. Every band of a set's MinHash signature is asked for corpus-wide; sets that share a band are fetched with all their
 shingles, and joined where the exact Jaccard similarity is at least the threshold; components of these links are the
 classes, and of each class all paragraphs but the first (least document id, then place) are to be removed.
@@ -16,6 +19,7 @@ repeated paragraphs; an empty table gives an empty table; input columns other th
 
 from __future__ import annotations
 
+import re
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +32,9 @@ from tallyloom.graph import connected_components
 from tallyloom.llm.exchange import Chunks, look_up
 from tallyloom.llm.lm import gram_hashes
 
-WORDS, LONG, BUCKET = 5, 48, 1024
+WORDS, LONG, BUCKET, STRETCH = 5, 48, 1024, 20
+#: What bytes.split() takes for a word.
+_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _KEY_KIND = 1000
 
 
@@ -38,27 +44,37 @@ def tune_bands(threshold: float, recall: float = 0.995, most: int = 64) -> tuple
     return min(fit, key=lambda x: (-x[1], x[0]))
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """The words of a long line behind which it is cut, the last one included."""
+    low, n = [w.lower() for w in words], len(words)
+    rank = np.fromiter((crc32(f"{a} {b}".encode()) | (b[-1] not in ".!?") << 32 for a, b in zip(["", *low], low)), np.int64, n)
+    least = np.ones(n, bool)
+    for step in range(1, WORDS):
+        least[:-step] &= rank[:-step] < rank[step:]
+        least[step:] &= rank[step:] <= rank[:-step]
+    least[: WORDS - 1] = least[n - WORDS :] = False
+    out, last = [], -1
+    for at in [*np.flatnonzero(least).tolist(), n - 1]:
+        if at - last > STRETCH + WORDS - 1:
+            out += range(last + STRETCH, at - WORDS + 1, STRETCH)
+        out.append(at)
+        last = at
+    return out
+
+
 def split_paragraphs(text: str) -> list[tuple[int, int]]:
     """(start, end) of each paragraph, in code points; white space at the edges isn't part of it."""
     out, at = [], 0
     for line in text.split("\n"):
-        words = line.split()
-        if len(words) <= LONG:
-            if words:
-                s = at + line.index(words[0])
-                out.append((s, at + len(line.rstrip())))
+        spans = [m.span() for m in _WORD.finditer(line)]
+        if len(spans) <= LONG:
+            if spans:
+                out.append((at + spans[0][0], at + spans[-1][1]))
         else:
-            pos, begin, last = at, None, ""
-            for w in words:
-                s = text.index(w, pos)
-                begin = s if begin is None else begin
-                pos = s + len(w)
-                if w[-1] in ".!?" and crc32(f"{last} {w}".encode()) & 1:
-                    out.append((begin, pos))
-                    begin = None
-                last = w
-            if begin is not None:
-                out.append((begin, pos))
+            first = 0
+            for last in _cuts([line[a:b] for a, b in spans]):
+                out.append((at + spans[first][0], at + spans[last][1]))
+                first = last + 1
         at += len(line) + 1
     return out
 

@@ -139,6 +139,29 @@ def test_paragraphs(docs, no_docs):
     assert 1 - (1 - 0.8**r) ** b >= 0.995
 
 
+def test_passages_repeated_in_the_midst_of_long_lines(spark):
+    rng = random.Random(6)
+
+    def words(n, end=0.0):
+        return ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) + ("." if rng.random() < end else "") for _ in range(n)]
+
+    rows, planted = [], []
+    for k in range(150):  # with and without marked sentences; a word or a few words again and again
+        passage = words(52, (0.0, 0.06, 0.4)[k % 3]) if k % 10 else (words(1 + k // 10 % 5) * 52)[:52]
+        for d in (2 * k, 2 * k + 1):
+            before, after = words(rng.randint(60, 90), 0.06), words(rng.randint(60, 90), 0.06)
+            start = len(" ".join(before)) + 1
+            planted.append((d, start, start + len(" ".join(passage))))
+            rows.append((d, " ".join(before + passage + after)))
+    found = {}
+    for r in paragraphs.duplicate_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    for d, a, b in planted:
+        inside = [r for r in found.get(d, []) if a <= r.start and r.end <= b]
+        assert inside and (d % 2 == 0 or any(r.removed for r in inside))
+        assert all(r.end > a and r.start < b for r in found[d])
+
+
 # 4
 def test_quality(spark, no_docs):
     big = "/root/testdata/sf0.01"
