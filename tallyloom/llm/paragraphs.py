@@ -10,8 +10,9 @@ shingles, and joined where the exact Jaccard similarity is at least the threshol
 classes, and of each class all paragraphs but the first (least document id, then place) are to be removed.
 
 Bands are tuned: the fewest hash functions whose bands find a pair at the threshold with at least the wanted probability.
-A bucket of over BUCKET sets is split by hash; two of its sets, the hubs, are in every part, so that a family of variants still
-comes together through them, and through the other bands, which split otherwise.
+A bucket of over BUCKET sets is split by hash; two of its sets, the hubs, are in every part, so that a family of variants mostly
+comes together through them. What of such a bucket is still outside its largest component is then compared with the whole bucket,
+in blocks of about BUCKET by BUCKET sets, so that all pairs that share a band are compared or already joined.
 
 Defined results: null, empty and short paragraphs (fewer than WORDS words) are in no class; a null id sorts behind all others; repeated rows are
 repeated paragraphs; an empty table gives an empty table; input columns other than id and text are dropped.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from tallyloom.graph import connected_components
 from tallyloom.llm.exchange import Chunks, look_up
 from tallyloom.llm.lm import gram_hashes
+from tallyloom.storage import Workspace
 
 WORDS, LONG, BUCKET, STRETCH = 5, 48, 1024, 20
 #: What bytes.split() takes for a word.
@@ -144,6 +146,65 @@ def similar_roots(sets: list[np.ndarray], threshold: float) -> list[int]:
     return root
 
 
+def cross_links(strays: list[int], comp: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links (stray, other) that join the components of similar sets, for pairs of a stray and any other set."""
+    size = np.array([len(s) for s in sets])
+    every, number = np.unique(np.concatenate(sets), return_inverse=True)
+    edge, asked, comp, out = np.cumsum(size) - size, np.zeros(len(every), bool), comp.copy(), []
+    for q in strays:
+        if (comp == comp[q]).all():
+            continue
+        own = number[edge[q] : edge[q] + size[q]]
+        asked[own] = True
+        common = np.add.reduceat(asked[number], edge, dtype=np.int64)
+        asked[own] = False
+        near = (comp != comp[q]) & (common >= threshold * (size + size[q] - common) - 1e-12)
+        for j in np.flatnonzero(near).tolist():
+            if comp[j] != comp[q]:
+                out.append((q, j))
+                comp[comp == comp[j]] = comp[q]
+    return out
+
+
+def _left_links(found: DataFrame, bands: DataFrame, comp: DataFrame, threshold: float) -> DataFrame | None:
+    """(u, v): the links that are still missing in buckets of over BUCKET sets; None if each is in one component."""
+    ws = Workspace(found.sparkSession, "paragraph-blocks")
+    sets = found.join(bands, "band", "left_semi").groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
+    sets = sets.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    sets = ws.cut(sets)
+    n = sets.groupBy("band", "component").agg(F.count("*").alias("m"))
+    n = n.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"))
+    parts, chunks = (F.ceil(x / BUCKET).cast("int") for x in (F.col("n"), F.col("n") - F.col("most")))
+    n = ws.cut(n.where("most < n").select("band", "main", parts.alias("parts"), chunks.alias("chunks")))
+    if n.isEmpty():
+        return None
+    open_ = sets.join(n, "band").withColumns({"part": F.pmod(F.xxhash64("key", "band"), "parts").cast("int"), "chunk": F.pmod(F.xxhash64("band", "key"), "chunks").cast("int")})
+    every = open_.withColumns({"stray": F.lit(False), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    strays = open_.where("component <> main").withColumns({"stray": F.lit(True), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    columns = ["band", "part", "chunk", "stray", "key", "component", "shingles"]
+
+    def compare(batches):
+        group, rows = None, []
+
+        def settle():
+            if not rows:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["u", "v"])
+            keys, sets = [r[1] for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows]
+            linked = cross_links([i for i, r in enumerate(rows) if r[0]], np.array([r[2] for r in rows]), sets, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([keys[x[k]] for x in linked], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for *now, stray, key, component, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != group:
+                    yield settle()
+                    group, rows = now, []
+                rows.append((stray, key, component, shingles))
+        yield settle()
+
+    blocks = every.select(columns).unionByName(strays.select(columns)).repartition("band", "part", "chunk").sortWithinPartitions("band", "part", "chunk", "key", "stray")
+    return ws.cut(blocks.mapInArrow(compare, "u long, v long"))
+
+
 def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, component_id, kept_doc_id, removed): every paragraph that is in a class of two or more.
 
@@ -203,11 +264,12 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str =
     sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("hub0"), F.max("key").alias("hub1")).where("n > 1")
     parts = F.ceil(F.col("n") / BUCKET).cast("int")
     part = F.when(F.col("key").isin(F.col("hub0"), F.col("hub1")), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "band"), parts).cast("int")))
-    split = buckets.join(sizes, "band").select("band", "key", "shingles", F.explode(part).alias("part"))
+    split = buckets.join(sizes, "band").select("band", "key", "shingles", F.explode(part).alias("part"), (parts > 1).alias("large"))
 
     def verify(batches):
+        # links, and (band, null) for each part of a bucket that is split;
         # groups come one after the other; most are pairs, so that a call for each of them would cost more than the work
-        group, keys, sets = None, [], []
+        group, large, keys, sets = None, False, [], []
         out_u, out_v = [], []
 
         def settle():
@@ -220,12 +282,15 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str =
                 linked = []
             out_u.extend(keys[i] for i, _ in linked)
             out_v.extend(keys[r] for _, r in linked)
+            if large:
+                out_u.append(group[0])
+                out_v.append(None)
 
         for batch in batches:
-            for band, part, key, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for band, part, key, shingles, split_up in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, part) != group:
                     settle()
-                    group, keys, sets = (band, part), [], []
+                    group, large, keys, sets = (band, part), split_up, [], []
                 keys.append(key)
                 sets.append(np.frombuffer(shingles, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
@@ -233,10 +298,14 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str =
         settle()
         yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
 
-    ordered = split.select("band", "part", "key", "shingles").repartition("band", "part").sortWithinPartitions("band", "part", "key")
+    ordered = split.select("band", "part", "key", "shingles", "large").repartition("band", "part").sortWithinPartitions("band", "part", "key")
     links = ws.cut(ordered.mapInArrow(verify, "u long, v long"))
     ws.release()
     comp = connected_components(links)
+    bands = links.where("v is null").select(F.col("u").alias("band")).distinct()
+    if not bands.isEmpty():
+        more = _left_links(found, bands, comp, threshold)
+        comp = comp if more is None else connected_components(links.unionByName(more))
     members = found.where("band is null").select("id", "start", "end", "n_words", "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
     members = members.withColumn("component_id", F.coalesce("component", "key"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "start", "end")

@@ -162,6 +162,26 @@ def test_passages_repeated_in_the_midst_of_long_lines(spark):
         assert all(r.end > a and r.start < b for r in found[d])
 
 
+def test_large_buckets_are_compared_as_a_whole(spark, monkeypatch):
+    # lines that share most of their words, so that many meet in a bucket, but mostly lie below the threshold
+    rng = random.Random(8)
+    rows = []
+    for d in range(400):
+        w = [f"w{i}" for i in range(44)]
+        for at in rng.sample(range(44), 1) + ([20] if d % 3 else [5]):
+            w[at] = f"x{rng.randrange(300)}"
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = []
+    for bucket in (1 << 20, 8):
+        monkeypatch.setattr(paragraphs, "BUCKET", bucket)
+        got = {}
+        for r in paragraphs.duplicate_paragraphs(df).collect():
+            got.setdefault(r.component_id, set()).add(r.doc_id)
+        classes.append(sorted(map(sorted, got.values())))
+    assert classes[0] == classes[1]
+
+
 # 4
 def test_quality(spark, no_docs):
     big = "/root/testdata/sf0.01"
