@@ -108,6 +108,10 @@ class Windows:
                 continue
             r, d = rep[at], doc[at]
             new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (d[1:] != d[:-1])])
+            # where the least short string recurs, neighbours of one representative can be many: a run has n windows at most
+            count = np.diff(np.r_[new, len(at)])
+            cut = -(-count // n)
+            new = np.repeat(new, cut) + n * (np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut))
             yield first, data, hashes, r[new], d[new], at[new], np.diff(np.r_[new, len(at)])
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +136,7 @@ class Windows:
             doc, at, count = doc[keep], at[keep], count[keep]
             sizes = np.array([len(t) for t in self.texts[first : int(doc[-1]) + 1]], np.int64) if len(doc) else np.empty(0, np.int64)
             start = at - (np.cumsum(sizes) - sizes)[doc - first] if len(doc) else at
-            # a run is shorter than a window: its first and its last one hold all its bytes
+            # a run has at most n windows: its first and its last one hold all its bytes
             whole = hashes.of(n)
             name = _mix(whole[at] * _M[3] + whole[at + count - 1] * _M[4] + count.astype(np.uint64))
             lead = rest = np.empty(0, np.uint64)

@@ -250,6 +250,23 @@ def test_suffix_dedup(docs, no_docs):
     assert suffix.repeated_spans(no_docs).count() == 0
 
 
+def test_suffix_dedup_of_periodic_texts_that_differ_inside(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(600):  # pairs that agree at both ends and in length: table rows, rules, padded columns
+        n = [rng.randrange(10) for _ in range(14)]
+        m = list(n)
+        for i in rng.sample(range(4, 10), 2):
+            m[i] = (n[i] + 1) % 10
+        kind, fill = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz-=_*.", k=n_chars)) for n_chars in (3, 2))  # hashes are fixed: templates vary
+        for x in (n, m):
+            form = ("".join(f'<td class="{kind}">{i}</td>\n' for i in x), fill * 75 + f"{x[5]}" + fill * 75, "".join(f"{i}" + fill * 12 for i in x))[k % 3]
+            rows.append((len(rows), f"{k:04d}" * 3 + form + f"{k:04d}" * 3))
+    want = suffix.brute_force(rows)
+    for r in suffix.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert want[r.doc_id] == (r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans), bytes(r.kept))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(2)
     words = [rng.integers(0, k, 5000).astype(np.uint64) for k in (5, 50, 7)]
