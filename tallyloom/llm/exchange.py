@@ -57,6 +57,14 @@ def _press(width: int, data: bytes) -> bytes:
     return bytes([width]) + data if len(small) >= len(data) else bytes([width | 128]) + len(data).to_bytes(4, "little") + small
 
 
+def press(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def unpress(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _planes(data: bytes) -> tuple[int, np.ndarray]:
     width = data[0] & 127
     raw = _CODEC.decompress(data[5:], int.from_bytes(data[1:5], "little"), asbytes=True) if data[0] & 128 else data[1:]
@@ -89,7 +97,8 @@ def get_numbers(data: bytes) -> np.ndarray:
 class Chunks:
     """docs packed into chunks in shared storage: frame (chunk, blob), with the corpus's bytes and number of buckets."""
 
-    def __init__(self, docs: DataFrame, name: str, text_col: str = "text"):
+    def __init__(self, docs: DataFrame, name: str, text_col: str = "text", marks: Callable[[pa.RecordBatch], dict[bytes, bytes]] | None = None):
+        """marks: what is to be kept with a chunk, made from its rows once (see the table's schema.metadata)."""
         self.spark = docs.sparkSession
         ship(self.spark)
         self.ws = Workspace(self.spark, name)
@@ -102,8 +111,9 @@ class Chunks:
             held, size, n = [], 0, 0
 
             def out():
-                table = pa.Table.from_batches(held).combine_chunks().to_batches()
-                return pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{n}"]), pa.array([pack_batch(table[0])], pa.binary())], names=["chunk", "blob"])
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                rows = rows.replace_schema_metadata(marks(rows)) if marks else rows
+                return pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{n}"]), pa.array([pack_batch(rows)], pa.binary())], names=["chunk", "blob"])
 
             for batch in batches:
                 for start, stop in _cuts(batch, at, most - size, most):
@@ -126,14 +136,12 @@ class Chunks:
         of the keys that get an answer, and the answers (>= 0). by_place: answers name keys by their place among those asked,
         a bit each, for chunks that can make the same keys again (see Places).
         """
-        edges = bucket_edges(self.buckets)
+        buckets = self.buckets
 
         def rows_of(chunk: str, table: pa.Table, got: dict) -> list[tuple]:
             out = []
             for kind, keys, values in explode(table, got):
-                bounds = np.r_[0, np.searchsorted(keys, edges), len(keys)]
-                for b in np.flatnonzero(np.diff(bounds)).tolist():
-                    a, z = bounds[b], bounds[b + 1]
+                for b, a, z in stretches(keys, buckets):
                     out.append((b, kind, chunk, put_sorted(keys[a:z]), put_numbers(values[a:z])))
             return out
 
@@ -186,10 +194,14 @@ class Chunks:
         return self.frame.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(both, schema)
 
 
-def bucket_edges(buckets: int) -> np.ndarray:
-    """The least key of each bucket but the first."""
-    width = -(-(1 << 64) // buckets)
-    return np.array([b * width for b in range(1, buckets)], np.uint64)
+def stretches(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, behind last) of the ascending keys that each bucket owns, for the buckets that own any: a bucket is an
+    equal part of all 64-bit numbers, so that a task needs no list of them."""
+    if not len(keys):
+        return []
+    own = keys // np.uint64(-(-(1 << 64) // buckets))
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    return list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
 
 
 def put_bits(at: np.ndarray, n: int) -> bytes:
@@ -204,11 +216,11 @@ class Places:
     def __init__(self, part: pd.DataFrame):
         self.rows = list(zip(part["bucket"], part["keys"], part["values"], strict=True))
 
-    def on(self, keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        bounds = np.r_[0, np.searchsorted(keys, edges), len(keys)]
+    def on(self, keys: np.ndarray, buckets: int) -> np.ndarray:
+        place = {b: (a, z) for b, a, z in stretches(keys, buckets)}
         out = np.zeros(len(keys), np.int64)
         for b, bits, values in self.rows:
-            a, z = bounds[b], bounds[b + 1]
+            a, z = place[b]
             out[a + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8, offset=1), count=z - a))] = get_numbers(values)
         return out
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyloom.llm.exchange import Chunks, bucket_edges, unpack_batch
+from tallyloom.llm.exchange import Chunks, unpack_batch
 
 BACKOFF = 0.4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,13 +69,13 @@ class Grams:
         at = np.flatnonzero(self.inside(n) if where is None else where)
         return at, *np.unique(self.hashes[n - 1][at], return_inverse=True)
 
-    def frequent(self, n: int, got: dict, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def frequent(self, n: int, got: dict, buckets: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(counts of the n-grams at each place, 0 if rare; where an (n+1)-gram may be frequent), from the answers."""
         counts = np.zeros(len(self.row), np.int64)
         where = None if n <= 2 else self._maybe
         at, keys, number = self.kinds(n, where)
         if n in got and len(at):
-            counts[at] = got[n].on(keys, edges)[number]
+            counts[at] = got[n].on(keys, buckets)[number]
         m = max(0, len(self.row) - n)
         often = counts >= least
         self._maybe = self.inside(n + 1) & often[:m] & often[1 : m + 1]
@@ -89,7 +89,7 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
     kind = kept.schema["id"].dataType.simpleString()
     drop = max(0, 64 - 20 - max(20, (chunks.bytes * order // 5).bit_length()))
 
-    edges = bucket_edges(chunks.buckets)
+    buckets = chunks.buckets
 
     def asked(g: Grams, n: int, where=None):
         _, keys, number = g.kinds(n, where)
@@ -105,7 +105,7 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
             # an n-gram can't be there oftener than what it begins and ends with
             g = Grams(table, n, drop)
             for k in range(2, n):
-                _, maybe = g.frequent(k, got, edges, least)
+                _, maybe = g.frequent(k, got, buckets, least)
             yield asked(g, n, maybe)
 
         return explode
@@ -128,11 +128,11 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
     def read(table, got):
         g = Grams(table, order, drop)
         ids, m = table.column("id").to_pylist(), len(g.row)
-        counts, _ = g.frequent(1, got, edges, least)
+        counts, _ = g.frequent(1, got, buckets, least)
         logp, used = np.log(np.maximum(counts, 1) / n_all), np.zeros(m, np.int64)
         for n in range(2, order + 1):
             context = counts
-            counts, _ = g.frequent(n, got, edges, least)
+            counts, _ = g.frequent(n, got, buckets, least)
             begin = np.flatnonzero(g.inside(n))
             seen, end = counts[begin] >= least, begin + n - 1
             logp[end] = np.where(seen, np.log(np.maximum(counts[begin], 1) / np.maximum(context[begin], 1)), logp[end] + np.log(BACKOFF))

@@ -267,6 +267,27 @@ def test_suffix_dedup_of_periodic_texts_that_differ_inside(spark):
         assert want[r.doc_id] == (r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans), bytes(r.kept))
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_dedup_over_many_chunks_and_buckets(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(exchange, "LEAST_BYTES", 3000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SPLITTERS", 7)
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in pairs(docs) if i is not None and len(t or "") < 10000]
+    line = "this line stands in every second document of the table, word by word"
+    some = ["".join(rng.choices("abc ", k=rng.randint(0, 90))) for _ in range(40)]
+    rows += [(10000 + i, f"{i} {rng.random()} {line * (i % 2)} {some[i % 40]}{some[i % 7]}{rng.random()}") for i in range(200)]
+    want = suffix.brute_force(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for r in suffix.repeated_spans(df).collect():
+        assert want[r.doc_id] == (r.n_bytes, sum(b - a for a, b in r.spans), len(r.spans), bytes(r.kept))
+    if hot == 3:
+        named = [(f"{i:09d}", t) for i, t in rows[:80]]
+        got = {int(r.doc_id): bytes(r.kept) for r in suffix.repeated_spans(spark.createDataFrame(named, "doc_id string, text string")).collect()}
+        assert got == {i: suffix.brute_force(rows[:80])[i][3] for i, _ in rows[:80]}
+
+
 def test_multikey_order():
     rng = np.random.default_rng(2)
     words = [rng.integers(0, k, 5000).astype(np.uint64) for k in (5, 50, 7)]
