@@ -6,6 +6,10 @@ are one file in the shared folder, fetched by Spark's file cache and memory-mapp
 doesn't have are merged exactly, pair by pair in order of rank, many words at a time. The lexicon changes the speed, not the
 result.
 
+Case, composition and classes of characters are Python's here; they are the library's for every character that Unicode 3.2 has, and for
+the blocks of PICTURES. A text with any other character (unassigned ones, letters and marks of later versions, on which libraries differ by
+their age) is encoded by the library itself.
+
 Defined results: null text is encoded as empty text, to no ids; rows are encoded one by one, so repeated rows give repeated
 results; an empty table gives an empty table; a column of the input that has a result's name is replaced.
 """
@@ -29,7 +33,7 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.blocks import pieces, with_columns
 from tallyloom.session import ship
-from tallyloom.storage import share_bytes
+from tallyloom.storage import Workspace, share_bytes
 
 #: Pieces of the lexicon: a table of fixed size that any worker can hold.
 LEXICON_WORDS = 32768
@@ -117,6 +121,19 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+# Blocks of symbols later than Unicode 3.2, which have neither case nor composition.
+PICTURES = [(0x1F300, 0x1F64F), (0x1F680, 0x1F6C5), (0x1F910, 0x1F93A), (0x1F947, 0x1F9AA)]
+
+
+def _rare() -> re.Pattern:
+    """Finds a character on which versions of Unicode may differ."""
+    known = [c for c in range(0x110000) if unicodedata.ucd_3_2_0.category(chr(c)) != "Cn"]
+    edge = [0, *(i for i in range(1, len(known)) if known[i] != known[i - 1] + 1), len(known)]
+    spans = [(known[a], known[b - 1]) for a, b in zip(edge, edge[1:])] + PICTURES
+    return re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]")
+
+
+_RARE = _rare()
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
@@ -225,7 +242,10 @@ class Lexicon:
 
 
 def frequent_pieces(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
-    """The `most` most frequent pieces of all texts (ties: in order), counted over every document."""
+    """The most frequent pieces of all texts, counted over every document: those of a count that at most `most` pieces reach.
+
+    That count is read off a histogram of counts, so the driver never holds more than `most` pieces.
+    """
     ship(docs.sparkSession)
 
     def flush(seen: Counter):
@@ -245,8 +265,20 @@ def frequent_pieces(docs: DataFrame, text_col: str = "text", most: int = LEXICON
                 seen.clear()
         yield flush(seen)
 
+    ws = Workspace(docs.sparkSession, "pieces")
     counted = docs.select(text_col).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece.encode() for r in counted.orderBy(F.desc("n"), "piece").limit(most).collect()]
+    level = F.floor(F.log2("n") * 8).cast("int")  # eight levels for each power of two: some hundred in all
+    counted = ws.cut(counted.withColumn("level", level))
+    levels = sorted((tuple(r) for r in counted.groupBy("level").count().collect()), reverse=True)
+    least, total = None, 0
+    for k, n in levels:
+        total += n
+        if total > most:
+            break
+        least = k
+    found = [r.piece.encode() for r in counted.where(F.col("level") >= least).select("piece").collect()] if least is not None else []
+    ws.drop(counted)
+    return found
 
 
 # --- encoding and decoding -----------------------------------------------------------------------------------------
@@ -259,6 +291,16 @@ class Encoder:
         self.vocab = vocabulary(vocabulary_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.known: dict[str, bytes] = {}
+        self.path, self.library = vocabulary_path, None
+
+    def _by_library(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
         parts = [_PIECE.findall(c) for c in new]
@@ -284,6 +326,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        rare = {i: self._by_library(t) for i, t in enumerate(texts) if not t.isascii() and _RARE.search(t)}
+        if rare:
+            texts = ["" if i in rare else t for i, t in enumerate(texts)]
         special = self.vocab.split_special
         split = [self._segments(t) if special and special.search(t) else chunks(t) for t in texts]
         if len(self.known) > REMEMBERED:
@@ -292,7 +337,10 @@ class Encoder:
         new = list(dict.fromkeys(c for s in split for c in s if c not in known and isinstance(c, str)))
         if new:
             self._learn(new)
-        return [b"".join([known[c] if isinstance(c, str) else c for c in s]) if special and any(isinstance(c, bytes) for c in s) else b"".join(map(known.__getitem__, s)) for s in split]
+        out = [b"".join([known[c] if isinstance(c, str) else c for c in s]) if special and any(isinstance(c, bytes) for c in s) else b"".join(map(known.__getitem__, s)) for s in split]
+        for i, ids in rare.items():
+            out[i] = ids
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens' texts with a space between (the file has no decoder of its own); special tokens are kept."""
