@@ -1,18 +1,26 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator (operator 4).
 
-Trusted positives are rows labelled 1; unlabelled text is a sample of all documents. With the class prior p, a scorer g and
-the logistic loss, the risk is p*E_pos[l(g)] + max(0, E_unl[l(-g)] - p*E_pos[l(-g)]): the second part, an unbiased estimate of
-the negatives' risk, is kept from going below zero, where a flexible model would fit noise. The prior is the share of 1
-among the labelled rows it may learn from. The scorer is logistic in features of the text alone (shares of byte classes,
-repetition, word and line shapes) and their squares.
+Trusted positives are rows labelled 1; unlabelled text is that of rows of the label table whatever their label, which isn't read. With the
+class prior p, a scorer g and the logistic loss, the risk is p*E_pos[l(g)] + max(0, E_unl[l(-g)] - p*E_pos[l(-g)]): the second part, an
+unbiased estimate of the negatives' risk, is kept from going below zero, where a flexible model would fit noise.
+
+The prior is estimated from the same two samples: of scores on rows that a first scorer hasn't seen, the least ratio of the unlabelled
+share above a threshold to the positives' share above it, with a margin for the size of the samples. (Where only positives score high, that
+ratio is the share of positives.) The share of 1 among labelled rows is kept beside it, for comparison.
+
+The scorer is logistic in features of the text alone: words, pairs of words and strings of four bytes, hashed, and the text's shape
+(shares of byte classes, repetition, word and line lengths) with squares.
 
 Defined results: null text is scored as empty text; every row gets a score, repeated rows the same; labels that are null count as
-no labels; without any positive label every score is the prior (1 if there are no labels at all); an empty table
+no labels; of repeated ids of labels one counts; without any positive label every score is the prior (1 if there are no labels at all); an empty table
 gives an empty table; input columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
+from itertools import repeat
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,25 +30,25 @@ from pyspark.sql import types as T
 from tallyloom.llm.blocks import pieces, with_columns
 from tallyloom.session import ship
 
-#: Bounds of the training sample: trusted positives, and unlabelled documents (the first by a hash of the id).
-MOST_POSITIVE, MOST_UNLABELLED = 8000, 8000
 THRESHOLD = 0.3
+#: Places of the hashed features, by kind.
+WORDS, PAIRS, GRAMS = 512, 256, 256
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
+_SHAPE = len(_PUNCT) + 18
 
 
-def features(text: bytes) -> list[float]:
+def shape(text: bytes, words: list[bytes]) -> list[float]:
     """Numbers that describe a text's shape, not its subject or language."""
     n = len(text)
     if not n:
-        return [0.0] * (len(_PUNCT) + 18)
+        return [0.0] * _SHAPE
     hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256) / n
-    words = text.split()
     lines = text.split(b"\n")
     m = max(1, len(words))
     kinds = len(set(words))
     sizes = [len(w) for w in words] or [0]
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    with_odd_end = sum(w[-1] in b"*&%$#!|~^=+<>" for w in words)
+    letters = sum(w.isalpha() for w in words)
     return [
         float(hist[65:91].sum()),
         float(hist[97:123].sum()),
@@ -56,7 +64,7 @@ def features(text: bytes) -> list[float]:
         np.log1p(m / max(1, kinds)),
         sum(sizes) / m / 10,
         max(sizes) / 50 if max(sizes) < 50 else 1.0,
-        with_odd_end / m,
+        letters / m,
         len(set(lines)) / len(lines),
         np.log1p(n / len(lines)) / 10,
         sum(w[:1].isupper() for w in words) / m,
@@ -64,6 +72,22 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+def _root(hashes: np.ndarray, places: int) -> np.ndarray:
+    """Square roots of the shares of hashed features."""
+    n = np.bincount(hashes, minlength=places)
+    return np.sqrt(n / max(1, len(hashes)))
+
+
+def features(text: bytes) -> np.ndarray:
+    words = text.split()
+    low = np.fromiter(map(crc32, text.lower().split(), repeat(0)), np.uint64, -1)
+    pair = (low[:-1] * np.uint64(0x9E3779B97F4A7C15) + low[1:] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
+    gram = (raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24) * np.uint32(0x9E3779B1) >> np.uint32(20) if len(raw) > 3 else np.empty(0, np.uint32)
+    hashed = [_root((low % np.uint64(WORDS)).astype(np.int64), WORDS), _root((pair % np.uint64(PAIRS)).astype(np.int64), PAIRS), _root((gram % GRAMS).astype(np.int64), GRAMS)]
+    return np.concatenate([shape(text, words), *hashed]).astype(np.float32)
+
+
 def feature_rows(docs: DataFrame, text_col: str = "text", name: str = "features") -> DataFrame:
     """docs without the text, with its features."""
     ship(docs.sparkSession)
@@ -71,62 +95,102 @@ def feature_rows(docs: DataFrame, text_col: str = "text", name: str = "features"
 
     def scan(batches):
         for rows, texts in pieces(batches, text_col):
-            yield with_columns(rows, [text_col], **{name: pa.array([features(t) for t in texts], pa.list_(pa.float64()))})
+            yield with_columns(rows, [text_col], **{name: pa.array([features(t).tobytes() for t in texts], pa.binary())})
 
-    return docs.mapInArrow(scan, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(scan, T.StructType([*fields, T.StructField(name, T.BinaryType())]))
 
 
 class Model:
-    """A logistic scorer over standardised features and their squares."""
+    """A logistic scorer over standardised shapes, their squares, and hashed features."""
 
-    def __init__(self, prior: float, mean=None, scale=None, weights=None):
-        self.prior, self.mean, self.scale, self.weights = prior, mean, scale, weights
+    def __init__(self, prior: float, mean=None, scale=None, weights=None, labelled_share: float | None = None):
+        self.prior, self.mean, self.scale, self.weights, self.labelled_share = prior, mean, scale, weights, labelled_share
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.hstack([np.ones((len(z), 1)), z, z * z / 8])
+        return np.hstack([np.ones((len(z), 1), np.float32), z, z[:, :_SHAPE] ** 2 / 8])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
-            return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -40, 40)))
+            return np.full(len(x), float(self.prior))
+        return _sigmoid((self.design(x) @ self.weights).astype(np.float64))
+
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative unbiased risk by full-batch Adam steps; the same data gives the same model."""
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02, decay: float | None = None) -> Model:
+    """Minimise the non-negative unbiased risk by full-batch Adam steps; the same data gives the same model.
+
+    decay holds the weights back the more, the fewer the positives are (12 over their number, unless it is given).
+    """
     if not len(positive) or not len(unlabelled):
         return Model(prior)
     both = np.vstack([positive, unlabelled])
-    model = Model(prior, both.mean(axis=0), both.std(axis=0) + 1e-6)
+    model = Model(prior, both.mean(axis=0), both.std(axis=0) + 0.01)
     p, u = model.design(positive), model.design(unlabelled)
-    w = np.zeros(p.shape[1])
+    w = np.zeros(p.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    prior = min(prior, 0.995)
+    prior, decay = min(prior, 0.995), max(1e-3, 12 / len(p)) if decay is None else decay
     for t in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -40, 40))), 1 / (1 + np.exp(-np.clip(u @ w, -40, 40)))
-        rest = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
+        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+        rest = np.mean(-np.log(1 - su + 1e-7)) - prior * np.mean(-np.log(1 - sp + 1e-7))
         rest_grad = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
         # below zero the estimate is noise: step back up
         grad = prior * (p.T @ (sp - 1)) / len(p) + rest_grad if rest >= 0 else -rest_grad
-        grad = grad + decay * np.r_[0, w[1:]]
+        grad = grad + decay * np.r_[np.float32(0), w[1:]]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (0.1 ** (t / rounds)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    model.weights = w
+        w = w - np.float32(rate * 0.1 ** (t / rounds)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    model.weights = w.astype(np.float32)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most MOST_POSITIVE positives and MOST_UNLABELLED documents; may_learn says whose labels may be read."""
-    known = labels.where(may_learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    n, ones = known.agg(F.count("*"), F.count_if(F.col("y") == 1)).first()
-    prior = ones / n if n else 1.0
-    order = F.xxhash64(F.lit("sample"), "id"), "id"
-    pos = known.where("y = 1").select("id").distinct().orderBy(*order).limit(MOST_POSITIVE).withColumn("kind", F.lit(1))
-    unl = docs.select(F.col(id_col).alias("id")).where("id is not null").orderBy(*order).limit(MOST_UNLABELLED).distinct().withColumn("kind", F.lit(0))
-    chosen = pos.unionByName(unl)  # at most MOST_POSITIVE + MOST_UNLABELLED ids: small by construction
-    rows = feature_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")).select("kind", "features").collect()
-    x = [np.array([r.features for r in rows if r.kind == k]) for k in (1, 0)]
-    return fit(x[0], x[1], prior)
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows."""
+    if len(positive) < 20 or len(unlabelled) < 20:
+        return 0.5
+    half = lambda x, k: x[k::2]
+    shares = []
+    for k in (0, 1):
+        # any prior in the middle ranks rows alike
+        model = fit(half(positive, k), half(unlabelled, k), 0.5, rounds=120)
+        p, u = np.sort(model.score(half(positive, 1 - k))), np.sort(model.score(half(unlabelled, 1 - k)))
+        at = np.quantile(p, np.linspace(0.02, 0.9, 89))
+        above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+        margin = np.sqrt(above_u * (1 - above_u) / len(u)) + np.sqrt(above_p * (1 - above_p) / len(p))
+        shares.append(float(np.min((above_u + margin) / above_p)))
+    return float(np.clip(np.mean(shares), 0.01, 0.99))
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_positive: int = 6000, most_unlabelled: int = 6000) -> Model:
+    """Fit on at most most_positive rows labelled 1, and most_unlabelled rows of the label table whatever their label.
+
+    Both are the first by a hash of the id, drawn from all label rows; may_learn says which of these may be used at all. The bounds keep the fit
+    on the driver small (some 50 MB); they are the only sample here.
+    """
+    known = labels.where(may_learn & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    known = known.withColumn("place", F.xxhash64(F.lit("sample"), "id") / F.lit(float(1 << 64)) + 0.5)
+    n, labelled, ones = known.agg(F.count("*"), F.count("y"), F.count_if(F.col("y") == 1)).first()
+    share = ones / labelled if labelled else 1.0
+    if not ones:
+        return Model(share, labelled_share=share)
+
+    def part(most: int, of: int, kind: int) -> Column:
+        """Rows are taken by a threshold on the hash, a little more than `most`; what is over is cut off below."""
+        return F.when(F.col("place") < (most + 5 * most**0.5) / of, F.lit(kind))
+
+    kinds = F.array_compact(F.array(F.when(F.col("y") == 1, part(most_positive, ones, 1)), part(most_unlabelled, n, 0)))
+    chosen = known.select("id", "place", F.explode(kinds).alias("kind"))  # bounded by the two parameters
+    rows = feature_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id"))
+    rows = sorted(rows.select("kind", "place", "features").collect(), key=lambda r: (r.kind, r.place, r.features))
+    pos, unl = ([np.frombuffer(r.features, np.float32) for r in rows if r.kind == k][:most] for k, most in ((1, most_positive), (0, most_unlabelled)))
+    if not pos:
+        return Model(share, labelled_share=share)
+    pos, unl = np.array(pos), np.array(unl)
+    model = fit(pos, unl, estimate_prior(pos, unl))
+    model.labelled_share = share
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
