@@ -166,10 +166,10 @@ def cross_links(strays: list[int], comp: np.ndarray, sets: list[np.ndarray], thr
     return out
 
 
-def _left_links(found: DataFrame, bands: DataFrame, comp: DataFrame, threshold: float) -> DataFrame | None:
+def _left_links(buckets: DataFrame, bands: DataFrame, comp: DataFrame, threshold: float) -> DataFrame | None:
     """(u, v): the links that are still missing in buckets of over BUCKET sets; None if each is in one component."""
-    ws = Workspace(found.sparkSession, "paragraph-blocks")
-    sets = found.join(bands, "band", "left_semi").groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
+    ws = Workspace(buckets.sparkSession, "paragraph-blocks")
+    sets = buckets.join(bands, "band", "left_semi").groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
     sets = sets.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     sets = ws.cut(sets)
     n = sets.groupBy("band", "component").agg(F.count("*").alias("m"))
@@ -205,6 +205,62 @@ def _left_links(found: DataFrame, bands: DataFrame, comp: DataFrame, threshold:
     return ws.cut(blocks.mapInArrow(compare, "u long, v long"))
 
 
+def joined_sets(buckets: DataFrame, threshold: float) -> DataFrame:
+    """(node, component): the components of sets that meet in a bucket and have a Jaccard similarity of at least threshold.
+
+    buckets: (band, key, shingles), the sets that are in each bucket; key names a set, shingles are its 64-bit numbers, ascending.
+    """
+    ws = Workspace(buckets.sparkSession, "joined-sets")
+    given = buckets
+    buckets = given.groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("hub0"), F.max("key").alias("hub1")).where("n > 1")
+    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    part = F.when(F.col("key").isin(F.col("hub0"), F.col("hub1")), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "band"), parts).cast("int")))
+    split = buckets.join(sizes, "band").select("band", "key", "shingles", F.explode(part).alias("part"), (parts > 1).alias("large"))
+
+    def verify(batches):
+        # links, and (band, null) for each part of a bucket that is split;
+        # groups come one after the other; most are pairs, so that a call for each of them would cost more than the work
+        group, large, keys, sets = None, False, [], []
+        out_u, out_v = [], []
+
+        def settle():
+            if len(sets) == 2:
+                common = len(np.intersect1d(*sets, assume_unique=True))
+                linked = [(1, 0)] if common >= threshold * (len(sets[0]) + len(sets[1]) - common) - 1e-12 else []
+            elif len(sets) > 2:
+                linked = [(i, r) for i, r in enumerate(similar_roots(sets, threshold)) if i != r]
+            else:
+                linked = []
+            out_u.extend(keys[i] for i, _ in linked)
+            out_v.extend(keys[r] for _, r in linked)
+            if large:
+                out_u.append(group[0])
+                out_v.append(None)
+
+        for batch in batches:
+            for band, part, key, shingles, split_up in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, part) != group:
+                    settle()
+                    group, large, keys, sets = (band, part), split_up, [], []
+                keys.append(key)
+                sets.append(np.frombuffer(shingles, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+            out_u, out_v = [], []
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
+
+    ordered = split.select("band", "part", "key", "shingles", "large").repartition("band", "part").sortWithinPartitions("band", "part", "key")
+    links = ws.cut(ordered.mapInArrow(verify, "u long, v long"))
+    ws.release()
+    comp = connected_components(links)
+    bands = links.where("v is null").select(F.col("u").alias("band")).distinct()
+    if not bands.isEmpty():
+        more = _left_links(given, bands, comp, threshold)
+        comp = comp if more is None else connected_components(links.unionByName(more))
+    return comp
+
+
 def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, component_id, kept_doc_id, removed): every paragraph that is in a class of two or more.
 
@@ -260,52 +316,8 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str =
 
     found = ws.cut(chunks.hear(answers, candidates, f"id {kind}, start long, end long, n_words long, key long, band long, shingles binary"))
     ws.release()
-    buckets = found.where("band is not null").groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("hub0"), F.max("key").alias("hub1")).where("n > 1")
-    parts = F.ceil(F.col("n") / BUCKET).cast("int")
-    part = F.when(F.col("key").isin(F.col("hub0"), F.col("hub1")), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "band"), parts).cast("int")))
-    split = buckets.join(sizes, "band").select("band", "key", "shingles", F.explode(part).alias("part"), (parts > 1).alias("large"))
-
-    def verify(batches):
-        # links, and (band, null) for each part of a bucket that is split;
-        # groups come one after the other; most are pairs, so that a call for each of them would cost more than the work
-        group, large, keys, sets = None, False, [], []
-        out_u, out_v = [], []
-
-        def settle():
-            if len(sets) == 2:
-                common = len(np.intersect1d(*sets, assume_unique=True))
-                linked = [(1, 0)] if common >= threshold * (len(sets[0]) + len(sets[1]) - common) - 1e-12 else []
-            elif len(sets) > 2:
-                linked = [(i, r) for i, r in enumerate(similar_roots(sets, threshold)) if i != r]
-            else:
-                linked = []
-            out_u.extend(keys[i] for i, _ in linked)
-            out_v.extend(keys[r] for _, r in linked)
-            if large:
-                out_u.append(group[0])
-                out_v.append(None)
-
-        for batch in batches:
-            for band, part, key, shingles, split_up in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, part) != group:
-                    settle()
-                    group, large, keys, sets = (band, part), split_up, [], []
-                keys.append(key)
-                sets.append(np.frombuffer(shingles, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
-            out_u, out_v = [], []
-        settle()
-        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
-
-    ordered = split.select("band", "part", "key", "shingles", "large").repartition("band", "part").sortWithinPartitions("band", "part", "key")
-    links = ws.cut(ordered.mapInArrow(verify, "u long, v long"))
+    comp = joined_sets(found.where("band is not null").select("band", "key", "shingles"), threshold)
     ws.release()
-    comp = connected_components(links)
-    bands = links.where("v is null").select(F.col("u").alias("band")).distinct()
-    if not bands.isEmpty():
-        more = _left_links(found, bands, comp, threshold)
-        comp = comp if more is None else connected_components(links.unionByName(more))
     members = found.where("band is null").select("id", "start", "end", "n_words", "key").join(comp.withColumnRenamed("node", "key"), "key", "left")
     members = members.withColumn("component_id", F.coalesce("component", "key"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "start", "end")

@@ -7,6 +7,10 @@ further level of masks, inside the bits that are still free, so that no task eve
 the fingerprints stand in order of Gray rank; runs of them are factored into inner nodes (shared bits, and a mask of where
 they are shared), and pairs of inner nodes whose accumulated differences exceed `most` are pruned with all that is below them.
 
+near_copies() is for corpora that are to be thinned out: fingerprints of five-word shingles, several of each text with
+independent hashes, and a radius that finds most texts of a Jaccard similarity of 0.8 (a fingerprint's bits differ by the angle between two texts);
+whatever meets is then compared by its shingles, exactly.
+
 Defined results: null, empty or blank text has fingerprint zero, linked like any other; fewer words than a shingle are one
 shingle; equal fingerprints link; repeated ids are one node; a row whose id is null has a null component; an empty
 table gives an empty table; input columns named like a result are replaced.
@@ -193,6 +197,100 @@ def links(fps: DataFrame, most: int = 2, group: int = GROUP) -> DataFrame:
         free_of = {m % (1 << 64): (1 << 64) - 1 & ~(m % (1 << 64)) for m in present}
 
 
+def candidate_links(fps: DataFrame, most: int, group: int = GROUP) -> DataFrame:
+    """(u, v): links between fingerprints (column fp, distinct) that join all that differ in at most `most` bits, and maybe more.
+
+    One level of masks, as wide as the table asks for: `kept` stretches of `most` + `kept` stand in a mask, so that a node has 8 fingerprints
+    or fewer if they lie at random. A larger node than `group` is then a family of texts, all of which become candidates of its least
+    fingerprint; callers compare candidates themselves.
+    """
+    ship(fps.sparkSession)
+    ws = Workspace(fps.sparkSession, "simhash-wide")
+    fps = ws.cut(fps.select("fp"))
+    wanted = max(1, fps.count() // 8).bit_length()
+    kept = next(k for k in range(2, 64) if 64 * k // (most + k) >= min(wanted, 40))
+    masks = F.array(*[F.lit(signed(m)) for m in level_masks((1 << 64) - 1, most + kept, kept)])
+    nodes = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    nodes = ws.cut(nodes.join(sizes, "key"))
+    near = nodes.where(F.col("n") <= group).select("fp", "key").repartition("key").sortWithinPartitions("key").mapInArrow(_search(most), "u long, v long")
+    family = nodes.where((F.col("n") > group) & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    return ws.cut(near.unionByName(family).distinct())
+
+
+def _shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; those of an empty text are none."""
+    w = text.lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(w) - words + 1))
+
+
+def _sums(h: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65536):
+        ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
+def _stir(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, most: int = 8, tables: int = 4) -> DataFrame:
+    """(id, component_id) per row of docs: texts whose sets of shingles have a Jaccard similarity of at least threshold are linked.
+
+    A component is named by its smallest id. Texts with equal sets always meet; a pair at a similarity of 0.95, 0.9, 0.85, 0.8 meets, with 4 fingerprints
+    and 8 bits, with a probability of 1.00, 1.00, 0.97 and 0.83, alone; families of copies have more ways to come together.
+    A row without an id has no component.
+    """
+    from tallyloom.llm.paragraphs import joined_sets
+
+    ship(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "near-copies")
+    kind = docs.schema[id_col].dataType
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = [f"fp{k}" for k in range(tables)]
+
+    def scan(batches):
+        for rows, texts in pieces(batches, "text"):
+            keys, fps = [], [[] for _ in names]
+            for t in texts:
+                h = np.unique(_shingles(t, words))
+                keys.append(int(_stir(h, 999).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
+                for k, out in enumerate(fps):
+                    out.append(_sums(_stir(h, k + 1)) if len(h) else 0)
+            yield with_columns(rows, ["text"], key=pa.array(keys, pa.int64()), **{n: pa.array(f, pa.int64()) for n, f in zip(names, fps, strict=True)})
+
+    long = [T.StructField(n, T.LongType()) for n in ("key", *names)]
+    made = ws.cut(plain.mapInArrow(scan, T.StructType([T.StructField("id", kind), *long])))
+    sets = ws.cut(made.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(n).alias(n) for n in names]))
+    edges = None
+    for n in names:
+        comp = connected_components(candidate_links(sets.select(F.col(n).alias("fp")).distinct(), most))
+        met = sets.select("key", F.col(n).alias("fp")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("c"))
+        least = met.groupBy("c").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1")
+        found = ws.cut(met.join(least, "c").where("key <> v").select(F.col("key").alias("u"), "v"))
+        edges = found if edges is None else edges.unionByName(found)
+    # what meets at all is compared by its shingles; the text of one row of each set is fetched again for that
+    clusters = connected_components(edges).withColumnRenamed("node", "key").join(sets.select("key", "rep"), "key").where("rep is not null")
+    fetched = plain.join(clusters.select(F.col("rep").alias("id"), "key", F.col("component").alias("band")), "id")
+
+    def shingles(batches):
+        for rows, texts in pieces(batches, "text"):
+            yield with_columns(rows, ["id", "text"], shingles=pa.array([np.unique(_shingles(t, words)).tobytes() for t in texts], pa.binary()))
+
+    buckets = ws.cut(fetched.select("id", "text", "key", "band").mapInArrow(shingles, "key long, band long, shingles binary"))
+    same = joined_sets(buckets, threshold).withColumnRenamed("node", "key")
+    named = sets.select("key", "rep").join(same, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    # ids of the copies of a text are its set's: only sets with company are looked up
+    return made.select("id", "key").join(named.join(least, "c").select("key", "component_id"), "key").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 2) -> DataFrame:
     """(id, fp, fingerprint, component_id) per row of docs: the smallest id reachable over links, itself included."""
     ws = Workspace(docs.sparkSession, "simhash-docs")
