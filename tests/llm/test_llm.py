@@ -103,11 +103,11 @@ def test_near_copies(spark, docs, no_docs, monkeypatch, group):
     rng = random.Random(12)
     rows = [(i, t) for i, t in pairs(docs) if i is not None and i != pairs(docs)[1][0]][:60]
     planted = 0
-    for k in range(40):  # copies in which a word in 60 is another
+    for k in range(40):  # copies in which a word in 90 is another
         w = [f"w{rng.randrange(3000)}" for _ in range(180)]
         for c in range(3):
             v = list(w)
-            for at in rng.sample(range(180), 3 * (c > 0)):
+            for at in rng.sample(range(180), 2 * (c > 0)):
                 v[at] = f"x{rng.random()}"
             rows.append((20000 + 10 * k + c, " ".join(v)))
             planted += c > 0
@@ -116,7 +116,7 @@ def test_near_copies(spark, docs, no_docs, monkeypatch, group):
     assert got.pop(None) is None and set(got) == set(want)
     assert all(want[i] == want[c] for i, c in got.items())  # never more than what is similar
     missed = sum(got[i] != want[i] for i in want)
-    assert missed <= 0.15 * planted, missed  # at a similarity of 0.84 the chance of a pair is 0.95
+    assert missed <= 0.15 * planted, missed  # at a similarity of 0.89 the chance of a pair is 0.9
     exact = {}
     for i, t in rows:
         exact.setdefault(" ".join((t or "").split()), []).append(i)
