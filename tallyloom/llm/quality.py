@@ -23,11 +23,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.blocks import pieces, with_columns
+from tallyloom.llm.blocks import pieces, trim, with_columns
 from tallyloom.session import ship
 
 THRESHOLD = 0.3
@@ -107,8 +108,13 @@ class Model:
         self.prior, self.mean, self.scale, self.weights, self.labelled_share = prior, mean, scale, weights, labelled_share
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.hstack([np.ones((len(z), 1), np.float32), z, z[:, :_SHAPE] ** 2 / 8])
+        n = x.shape[1]
+        out = np.ones((len(x), 1 + n + _SHAPE), np.float32)
+        z = np.subtract(x, self.mean, out=out[:, 1 : n + 1])
+        z /= self.scale
+        np.clip(z, -8, 8, out=z)
+        out[:, n + 1 :] = z[:, :_SHAPE] ** 2 / 8
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -127,8 +133,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     """
     if not len(positive) or not len(unlabelled):
         return Model(prior)
-    both = np.vstack([positive, unlabelled])
-    model = Model(prior, both.mean(axis=0), both.std(axis=0) + 0.01)
+    share = len(positive) / (len(positive) + len(unlabelled))
+    mean = share * positive.mean(axis=0) + (1 - share) * unlabelled.mean(axis=0)
+    square = share * ((positive - mean) ** 2).mean(axis=0) + (1 - share) * ((unlabelled - mean) ** 2).mean(axis=0)
+    model = Model(prior, mean.astype(np.float32), (np.sqrt(square) + 0.01).astype(np.float32))
     p, u = model.design(positive), model.design(unlabelled)
     w = np.zeros(p.shape[1], np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -163,11 +171,11 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(np.mean(shares), 0.01, 0.99))
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_positive: int = 6000, most_unlabelled: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_positive: int = 4000, most_unlabelled: int = 4000) -> Model:
     """Fit on at most most_positive rows labelled 1, and most_unlabelled rows of the label table whatever their label.
 
     Both are the first by a hash of the id, drawn from all label rows; may_learn says which of these may be used at all. The bounds keep the fit
-    on the driver small (some 50 MB); they are the only sample here.
+    on the driver small (some 100 MB); they are the only sample here.
     """
     known = labels.where(may_learn & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     known = known.withColumn("place", F.xxhash64(F.lit("sample"), "id") / F.lit(float(1 << 64)) + 0.5)
@@ -183,13 +191,20 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     kinds = F.array_compact(F.array(F.when(F.col("y") == 1, part(most_positive, ones, 1)), part(most_unlabelled, n, 0)))
     chosen = known.select("id", "place", F.explode(kinds).alias("kind"))  # bounded by the two parameters
     rows = feature_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id"))
-    rows = sorted(rows.select("kind", "place", "features").collect(), key=lambda r: (r.kind, r.place, r.features))
-    pos, unl = ([np.frombuffer(r.features, np.float32) for r in rows if r.kind == k][:most] for k, most in ((1, most_positive), (0, most_unlabelled)))
-    if not pos:
+    rows = rows.select("kind", "place", "features").toArrow().sort_by([("kind", "ascending"), ("place", "ascending"), ("features", "ascending")])
+
+    def matrix(kind: int, most: int) -> np.ndarray:
+        part = rows.filter(pc.equal(rows.column("kind"), kind)).slice(0, most).column("features").to_pylist()
+        return np.frombuffer(b"".join(part), np.float32).reshape(len(part), -1 if part else 0)
+
+    pos, unl = matrix(1, most_positive), matrix(0, most_unlabelled)
+    del rows
+    if not len(pos):
         return Model(share, labelled_share=share)
-    pos, unl = np.array(pos), np.array(unl)
     model = fit(pos, unl, estimate_prior(pos, unl))
     model.labelled_share = share
+    del pos, unl
+    trim()
     return model
 
 

@@ -198,25 +198,26 @@ def links(fps: DataFrame, most: int = 2, group: int = GROUP) -> DataFrame:
 
 
 def candidate_links(fps: DataFrame, most: int, group: int = GROUP) -> DataFrame:
-    """(u, v): links between fingerprints (column fp, distinct) that join all that differ in at most `most` bits, and maybe more.
+    """(u, v): links between fingerprints that join all of one table that differ in at most `most` bits, and maybe more.
 
-    One level of masks, as wide as the table asks for: `kept` stretches of `most` + `kept` stand in a mask, so that a node has 64 fingerprints
-    or fewer if they lie at random. A larger node than `group` is then a family of texts, all of which become candidates of its least
-    fingerprint; callers compare candidates themselves.
+    fps: (t, fp), distinct: the fingerprints of several independent tables t, which are searched at once. One level of masks, as wide as a
+    table asks for: `kept` stretches of `most` + `kept` stand in a mask, so that a node has 64 fingerprints or fewer if they lie at random. A
+    larger node than `group` is then a family of texts, all of which become candidates of its least fingerprint, without being gathered;
+    callers compare candidates themselves.
     """
     ship(fps.sparkSession)
     ws = Workspace(fps.sparkSession, "simhash-wide")
-    fps = ws.cut(fps.select("fp"))
-    wanted = max(1, fps.count() // 64).bit_length()
+    largest = fps.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    wanted = max(1, largest // 64).bit_length()
     kept = next(k for k in range(2, 64) if 64 * k // (most + k) >= min(wanted, 40))
     masks = F.array(*[F.lit(signed(m)) for m in level_masks((1 << 64) - 1, most + kept, kept)])
-    nodes = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
-    nodes = ws.cut(nodes.join(sizes, "key"))
-    near = nodes.where(F.col("n") <= group).select("fp", "key").repartition("key").sortWithinPartitions("key").mapInArrow(_search(most), "u long, v long")
-    family = nodes.where((F.col("n") > group) & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    nodes = fps.select("t", "fp", F.explode(masks).alias("mask")).select("fp", F.xxhash64("t", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    hot = ws.cut(nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where(F.col("n") > group).drop("n"))
+    nodes = nodes.join(hot, "key", "left")
+    near = nodes.where("least is null").select("fp", "key").repartition("key").sortWithinPartitions("key").mapInArrow(_search(most), "u long, v long")
+    family = nodes.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     out = ws.cut(near.unionByName(family).distinct())
-    ws.drop(nodes, fps)
+    ws.drop(hot)
     ws.release()
     return out
 
@@ -284,13 +285,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long = [T.StructField(n, T.LongType()) for n in ("key", *names)]
     made = ws.cut(plain.mapInArrow(scan, T.StructType([T.StructField("id", kind), *long])))
     sets = ws.cut(made.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(n).alias(n) for n in names]))
-    edges = None
-    for n in names:
-        comp = connected_components(candidate_links(sets.select(F.col(n).alias("fp")).distinct(), most))
-        met = sets.select("key", F.col(n).alias("fp")).join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("c"))
-        least = met.groupBy("c").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1")
-        found = ws.cut(met.join(least, "c").where("key <> v").select(F.col("key").alias("u"), "v"))
-        edges = found if edges is None else edges.unionByName(found)
+    tables_of = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col(n).alias("fp")) for k, n in enumerate(names)]))
+    each = sets.select("key", tables_of.alias("x")).select("key", "x.t", "x.fp")
+    found = candidate_links(each.select("t", "fp").distinct(), most)
+    # a fingerprint stands for the least set that has it
+    first = ws.cut(each.groupBy("fp").agg(F.min("key").alias("first")))
+    equal = each.join(first, "fp").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+    meet = found.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    edges = ws.cut(equal.unionByName(meet.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct())
     # what meets at all is compared by its shingles; the text of one row of each set is fetched again for that
     clusters = connected_components(edges).withColumnRenamed("node", "key").join(sets.select("key", "rep"), "key").where("rep is not null")
     fetched = plain.join(clusters.select(F.col("rep").alias("id"), "key", F.col("component").alias("band")), "id")
@@ -300,6 +302,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield with_columns(rows, ["id", "text"], shingles=pa.array([np.unique(_shingles(t, words)).tobytes() for t in texts], pa.binary()))
 
     buckets = ws.cut(fetched.select("id", "text", "key", "band").mapInArrow(shingles, "key long, band long, shingles binary"))
+    ws.drop(first, edges)
+    ws.release()
     same = joined_sets(buckets, threshold).withColumnRenamed("node", "key")
     named = sets.select("key", "rep").join(same, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
