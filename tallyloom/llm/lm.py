@@ -43,6 +43,16 @@ def gram_hashes(words: list[bytes], order: int, drop: int = 0) -> list[np.ndarra
         return [((x ^ (x >> np.uint64(29))) >> np.uint64(drop)) << np.uint64(drop) for x in out]
 
 
+def joined_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbours of h, in order."""
+    last = h
+    for k in range(2, n + 1):
+        last = (last[:-1] * _MIX + np.uint64(k)) ^ h[k - 1 :] if len(last) else last
+        last = last ^ (last >> np.uint64(31))
+        last = last * np.uint64(0xBF58476D1CE4E5B9)
+    return last ^ (last >> np.uint64(29))
+
+
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 

@@ -9,6 +9,9 @@ set. Every band of a set's MinHash signature is asked for corpus-wide; sets that
 shingles, and joined where the exact Jaccard similarity is at least the threshold; components of these links are the
 classes, and of each class all paragraphs but the first (least document id, then place) are to be removed.
 
+A band is asked for by 48 bits of its signature (what meets by chance is compared in vain) with 24 bits of the set's name: where exactly two
+sets share a band, in two chunks, one band in 16 million takes them for one set and isn't fetched.
+
 Bands are tuned: the fewest hash functions whose bands find a pair at the threshold with at least the wanted probability.
 A bucket of over BUCKET sets is split by hash; two of its sets, the hubs, are in every part, so that a family of variants mostly
 comes together through them. What of such a bucket is still outside its largest component is then compared with the whole bucket,
@@ -20,23 +23,21 @@ repeated paragraphs; an empty table gives an empty table; input columns other th
 
 from __future__ import annotations
 
-import re
-from zlib import crc32
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tallyloom.graph import connected_components
 from tallyloom.llm.exchange import Chunks, look_up
-from tallyloom.llm.lm import gram_hashes
+from tallyloom.llm.lm import joined_hashes
 from tallyloom.storage import Workspace
 
-WORDS, LONG, BUCKET, STRETCH = 5, 48, 1024, 20
-#: What bytes.split() takes for a word.
-_WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+WORDS, LONG, BUCKET, STRETCH, SALTS = 5, 48, 1024, 20, 8
 _KEY_KIND = 1000
 
 
@@ -46,39 +47,68 @@ def tune_bands(threshold: float, recall: float = 0.995, most: int = 64) -> tuple
     return min(fit, key=lambda x: (-x[1], x[0]))
 
 
-def _cuts(words: list[str]) -> list[int]:
-    """The words of a long line behind which it is cut, the last one included."""
-    low, n = [w.lower() for w in words], len(words)
-    rank = np.fromiter((crc32(f"{a} {b}".encode()) | (b[-1] not in ".!?") << 32 for a, b in zip(["", *low], low)), np.int64, n)
-    least = np.ones(n, bool)
-    for step in range(1, WORDS):
-        least[:-step] &= rank[:-step] < rank[step:]
-        least[step:] &= rank[step:] <= rank[:-step]
-    least[: WORDS - 1] = least[n - WORDS :] = False
-    out, last = [], -1
-    for at in [*np.flatnonzero(least).tolist(), n - 1]:
-        if at - last > STRETCH + WORDS - 1:
-            out += range(last + STRETCH, at - WORDS + 1, STRETCH)
-        out.append(at)
-        last = at
-    return out
+class Stretches:
+    """The paragraphs of some texts: for each its text, its first word and the one behind its last, and its span in code points.
+
+    Words are numbered through all texts; word_hash has a hash of each.
+    """
+
+    def __init__(self, texts: list[str]):
+        words, starts, stops, lines, texts_of, ends = [], [], [], [], [], []
+        n_lines = 0
+        for d, text in enumerate(texts):
+            low = text.lower().encode().split()
+            if not low:
+                continue
+            code = np.frombuffer(text.encode() if text.isascii() else text.encode("utf-32-le"), np.uint8 if text.isascii() else np.uint32)
+            space = (code == 32) | ((code >= 9) & (code <= 13))
+            edge = np.flatnonzero(np.diff(np.r_[True, space, True]))
+            begin, stop = edge[::2], edge[1::2]
+            words += low
+            starts.append(begin)
+            stops.append(stop)
+            line = np.cumsum(code == 10)
+            lines.append(line[begin] + n_lines)
+            n_lines += int(line[-1]) + 1
+            texts_of.append(np.full(len(low), d))
+            last = code[stop - 1]
+            ends.append((last == 46) | (last == 33) | (last == 63))
+        self.word_hash = np.fromiter(map(xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
+        if not words:
+            self.text = self.first = self.stop = self.start_at = self.stop_at = np.empty(0, np.int64)
+            return
+        starts, stops, lines, texts_of, ends = (np.concatenate(x) for x in (starts, stops, lines, texts_of, ends))
+        cut = self._cuts(lines, ends)
+        self.stop = cut + 1
+        self.first = np.r_[0, self.stop[:-1]]
+        self.text, self.start_at, self.stop_at = texts_of[cut], starts[self.first], stops[cut]
+
+    def _cuts(self, line: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The last word of each paragraph."""
+        n = len(line)
+        new = np.r_[True, line[1:] != line[:-1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        size = np.diff(np.r_[np.flatnonzero(new), n])
+        size = np.repeat(size, size)
+        place = np.arange(n) - first
+        before = np.where(new, np.uint64(0), np.r_[np.uint64(0), self.word_hash[:-1]])
+        rank = (_mix(before * np.uint64(0x9E3779B97F4A7C15) + self.word_hash, 77) >> np.uint64(1)) | (~ends).astype(np.uint64) << np.uint64(63)
+        least = (size > LONG) & (place >= WORDS - 1) & (place < size - WORDS)
+        for step in range(1, WORDS):
+            least[:-step] &= (rank[:-step] < rank[step:]) | (line[:-step] != line[step:])
+            least[step:] &= (rank[step:] <= rank[:-step]) | (line[:-step] != line[step:])
+        cut = np.flatnonzero(least | (place == size - 1))
+        # where a long line has no cut for long, every STRETCH words are a paragraph
+        last = np.r_[-1, cut[:-1]]
+        wide = np.flatnonzero((cut - last > STRETCH + WORDS - 1) & (size[cut] > LONG))
+        more = [np.arange(last[i] + STRETCH, cut[i] - WORDS + 1, STRETCH) for i in wide.tolist()]
+        return np.sort(np.concatenate([cut, *more])) if more else cut
 
 
 def split_paragraphs(text: str) -> list[tuple[int, int]]:
     """(start, end) of each paragraph, in code points; white space at the edges isn't part of it."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        spans = [m.span() for m in _WORD.finditer(line)]
-        if len(spans) <= LONG:
-            if spans:
-                out.append((at + spans[0][0], at + spans[-1][1]))
-        else:
-            first = 0
-            for last in _cuts([line[a:b] for a, b in spans]):
-                out.append((at + spans[first][0], at + spans[last][1]))
-                first = last + 1
-        at += len(line) + 1
-    return out
+    s = Stretches([text])
+    return list(zip(s.start_at.tolist(), s.stop_at.tolist(), strict=True))
 
 
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -92,22 +122,16 @@ class Sets:
 
     def __init__(self, table, words: int = WORDS):
         self.ids = table.column("id").to_pylist()
-        self.doc, self.span, sets, self.n_words = [], [], [], []
-        for d, text in enumerate(table.column("text").to_pylist()):
-            for a, b in split_paragraphs(text or ""):
-                w = text[a:b].lower().encode().split()
-                if len(w) >= words:
-                    self.doc.append(d)
-                    self.span.append((a, b))
-                    self.n_words.append(len(w))
-                    sets.append(w)
-        self.n = len(sets)
-        flat = [w for s in sets for w in s]
-        h = gram_hashes(flat, words)[-1] if len(flat) >= words else np.empty(0, np.uint64)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(self.n), sizes)
-        inside = owner[: len(h)] == owner[words - 1 :] if len(h) else np.empty(0, bool)
-        owner, h = owner[: len(h)][inside], h[inside]
+        parts = Stretches([t or "" for t in table.column("text").to_pylist()])
+        size = parts.stop - parts.first
+        keep = size >= words
+        self.doc, self.n_words, size = parts.text[keep], size[keep], size[keep]
+        self.span = list(zip(parts.start_at[keep].tolist(), parts.stop_at[keep].tolist(), strict=True))
+        self.n = len(size)
+        h = joined_hashes(parts.word_hash, words)
+        n = size - words + 1
+        owner = np.repeat(np.arange(self.n), n)
+        h = h[np.repeat(parts.first[keep], n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)] if self.n else np.empty(0, np.uint64)
         order = np.lexsort((h, owner))
         owner, h = owner[order], h[order]
         new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])] if len(h) else np.empty(0, bool)
@@ -120,8 +144,11 @@ class Sets:
         for b in range(bands):
             sig = np.zeros(self.n, np.uint64)
             for r in range(rows):
-                sig = _mix(sig ^ np.minimum.reduceat(_mix(self.shingle, b * rows + r + 1), self.edge[:-1]), b + 500) if self.n else sig
-            out.append(sig)
+                # shingles are hashes already: one multiplication orders them anew
+                seed = _mix(np.array([b * rows + r + 1], np.uint64), 4242)[0] | np.uint64(1)
+                sig = _mix(sig ^ np.minimum.reduceat((self.shingle ^ (self.shingle >> np.uint64(31)) ^ seed) * seed, self.edge[:-1]), b + 500) if self.n else sig
+            # 48 bits: what meets by chance is only compared in vain
+            out.append(sig >> np.uint64(16) << np.uint64(16))
         return out
 
 
@@ -277,7 +304,7 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str =
             sig, key = sig[order], s.key[order]
             edge = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if s.n else np.empty(0, np.int64)
             last = np.r_[edge[1:], s.n] - 1 if s.n else edge
-            yield b, sig[edge], np.where(key[edge] == key[last], (key[edge] >> np.uint64(32)) + np.uint64(1), np.uint64(0)).astype(np.int64)
+            yield b, sig[edge], np.where(key[edge] == key[last], (key[edge] >> np.uint64(40)) + np.uint64(1), np.uint64(0)).astype(np.int64)
         keys, n = np.unique(s.key, return_counts=True)
         yield _KEY_KIND, keys, (n > 1).astype(np.int64)
 
@@ -322,6 +349,9 @@ def duplicate_paragraphs(docs: DataFrame, threshold: float = 0.8, id_col: str =
     members = members.withColumn("component_id", F.coalesce("component", "key"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "start", "end")
     classes = members.groupBy("component_id").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    out = members.join(classes, "component_id")
+    # a class may hold a large part of all rows: its line is given to SALTS tasks
+    salt = F.pmod(F.xxhash64("id", "start", "end"), F.lit(SALTS)).cast("int")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = members.withColumn("salt", salt).join(classes, ["component_id", "salt"])
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))
     return out.select(F.col("id").alias(id_col), "start", "end", "n_words", "component_id", F.col("first.id").alias("kept_doc_id"), (~same).alias("removed"))
