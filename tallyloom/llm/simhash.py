@@ -18,6 +18,7 @@ table gives an empty table; input columns named like a result are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -162,6 +163,47 @@ def _search(most: int):
     return scan
 
 
+def _families(most: int, group: int):
+    """Links within nodes of up to `group` fingerprints, and of all others to the least of their node; rows are ordered by key and fp.
+
+    At most a batch and `group` rows are held.
+    """
+
+    def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    def settle(fp: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The links of whole nodes."""
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        large = np.repeat(size > group, size)
+        yield out(fp[large], np.repeat(fp[first], size)[large])
+        yield out(*_links_of(fp[~large], key[~large], most))
+
+    def scan(batches):
+        held_fp, held_key, family = np.empty(0, np.uint64), np.empty(0, np.int64), None
+        for rows in batches:
+            fp, key = np.r_[held_fp, rows.column(0).to_numpy().view(np.uint64)], np.r_[held_key, rows.column(1).to_numpy()]
+            if family is not None and len(key):
+                n = int(np.searchsorted(key, family[0], "right"))
+                yield out(fp[:n], np.full(n, family[1]))
+                fp, key, family = fp[n:], key[n:], family if n == len(key) else None
+            if not len(key):
+                held_fp, held_key = fp, key
+                continue
+            cut = int(np.searchsorted(key, key[-1], "left"))  # the last node may go on
+            if cut:
+                yield from settle(fp[:cut], key[:cut])
+            held_fp, held_key = fp[cut:], key[cut:]
+            if len(held_key) > group:
+                yield out(held_fp[1:], np.full(len(held_fp) - 1, held_fp[0]))
+                family, held_fp, held_key = (held_key[0], held_fp[0]), held_fp[:0], held_key[:0]
+        if len(held_key):
+            yield from settle(held_fp, held_key)
+
+    return scan
+
+
 def links(fps: DataFrame, most: int = 2, group: int = GROUP) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that join all that differ in at most `most` bits.
 
@@ -202,7 +244,7 @@ def candidate_links(fps: DataFrame, most: int, group: int = GROUP) -> DataFrame:
 
     fps: (t, fp), distinct: the fingerprints of several independent tables t, which are searched at once. One level of masks, as wide as a
     table asks for: `kept` stretches of `most` + `kept` stand in a mask, so that a node has 64 fingerprints or fewer if they lie at random. A
-    larger node than `group` is then a family of texts, all of which become candidates of its least fingerprint, without being gathered;
+    larger node than `group` is then a family of texts, all of which become candidates of its least fingerprint, as they stream by;
     callers compare candidates themselves.
     """
     ship(fps.sparkSession)
@@ -212,14 +254,8 @@ def candidate_links(fps: DataFrame, most: int, group: int = GROUP) -> DataFrame:
     kept = next(k for k in range(2, 64) if 64 * k // (most + k) >= min(wanted, 40))
     masks = F.array(*[F.lit(signed(m)) for m in level_masks((1 << 64) - 1, most + kept, kept)])
     nodes = fps.select("t", "fp", F.explode(masks).alias("mask")).select("fp", F.xxhash64("t", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    hot = ws.cut(nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where(F.col("n") > group).drop("n"))
-    nodes = nodes.join(hot, "key", "left")
-    near = nodes.where("least is null").select("fp", "key").repartition("key").sortWithinPartitions("key").mapInArrow(_search(most), "u long, v long")
-    family = nodes.where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    out = ws.cut(near.unionByName(family).distinct())
-    ws.drop(hot)
-    ws.release()
-    return out
+    found = nodes.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_families(most, group), "u long, v long")
+    return ws.cut(found.distinct())
 
 
 def _shingles(text: bytes, words: int) -> np.ndarray:
