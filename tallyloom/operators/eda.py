@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from tallyloom.functions.stats import ratio
 
 #: Words of text analysis that say nothing about a subject; a fixed list, of two or more letters.
-STOPWORDS = "the and for that this with was are but not you have has had they from all very its it's can will just get got been were their our your his her him she out one who what when than then there them too did does don't only even any".split()
+# Words that are no terms, unless a caller brings a list.
+STOPWORDS = """
+    a an the and or but if of to in on at for with is are was were be been being it its
+    i my me we our you your they them their he she this that these those have has had do does
+    did not no so very just too also can could would should will shall may might must am as by
+    from about into over under again then than there here when where what which who whom how
+    why all any both each more most other some such only own same now app get got getting use
+    using used one two because after before while during out up down off ive dont didnt cant
+    im theyre thats wont
+""".split()
 
 
 def pivot_counts(r: DataFrame, row: str, column: str, values: list) -> DataFrame:
@@ -77,10 +86,10 @@ def confound_check(r: DataFrame, in_window: Column) -> DataFrame:
     return m.withColumn("reordered", ~F.col("rank_full").eqNullSafe(F.col("rank_window")))
 
 
-def top_terms(r: DataFrame, text: str, n: int = 25) -> DataFrame:
-    """Document frequency of terms of over two characters; ties by term."""
+def top_terms(r: DataFrame, text: str, n: int = 25, stopwords: list[str] = STOPWORDS) -> DataFrame:
+    """Document frequency of terms of over two characters that aren't stop words; ties by term."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0)))
-    terms = r.select(F.explode(F.filter(found, lambda w: (F.char_length(w) > 2) & ~w.isin(STOPWORDS))).alias("term"))
+    terms = r.select(F.explode(F.filter(found, lambda w: (F.char_length(w) > 2) & ~w.isin(stopwords))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
 
 

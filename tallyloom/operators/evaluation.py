@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import jaccard, ratio, wilson
+from tallyloom.functions.text import first_percent
 from tallyloom.operators.labels import schema_valid, stratified_sample, taxonomy_issues, with_grounding
 from tallyloom.sources.config import Taxonomy
 
@@ -110,8 +111,11 @@ def integrity_masks(labels: DataFrame, tax: Taxonomy) -> DataFrame:
     })
 
 
-def integrity_audit(labels: DataFrame, reviews: DataFrame, tax: Taxonomy, threshold: float = 0.10) -> DataFrame:
-    """One row: labels, each mask, clean labels (no mask), the fallback area's share against its threshold, grounding below 1."""
+def integrity_audit(labels: DataFrame, reviews: DataFrame, tax: Taxonomy, threshold: float | None = None) -> DataFrame:
+    """One row: labels, each mask, clean labels (no mask), the fallback area's share against its threshold, grounding below 1.
+
+    The threshold is the percentage that the taxonomy's own monitoring rule names, unless one is given.
+    """
     m = integrity_masks(labels, tax)
     names = ["unknown_area", "invalid_issue_type", "invalid_strength_type", "no_polarity"]
     bad = F.lit(False)
@@ -120,7 +124,7 @@ def integrity_audit(labels: DataFrame, reviews: DataFrame, tax: Taxonomy, thresh
     fb = F.col("product_area") == tax.fallback
     a = m.agg(F.count("*").alias("total_labels"), *[F.count_if(n).alias(n) for n in names], F.count_if(~bad).alias("clean_labels"), F.count_if(fb).alias("fallback_labels"), F.count_distinct(F.when(fb, F.col("review_id"))).alias("fallback_reviews"))
     r = reviews.agg(F.count("*").alias("reviews"), F.count_if(F.col("grounding_rate") < 1).alias("reviews_below_full"), F.avg("grounding_rate").alias("mean_grounding"))
-    return a.crossJoin(F.broadcast(r)).withColumn("fallback_share", F.coalesce(ratio(F.col("fallback_reviews"), F.col("reviews")), F.lit(0.0))).withColumn("breached", F.col("fallback_share") > threshold)
+    return a.crossJoin(F.broadcast(r)).withColumn("fallback_share", F.coalesce(ratio(F.col("fallback_reviews"), F.col("reviews")), F.lit(0.0))).withColumn("breached", F.col("fallback_share") > (first_percent(F.lit(tax.rule)) if threshold is None else F.lit(threshold)))
 
 
 # --- gold sets -----------------------------------------------------------------------------------------------------

@@ -55,7 +55,8 @@ def plan_sizes(df: DataFrame, baseline: str, monthly: str, mde_pp: float = 3.0,
     return d.withColumn("months_required", F.when(F.col("total").isNotNull(), months_needed(F.col("total"), F.col(monthly)))).withColumn("practical", F.col("months_required") <= most_months)
 
 
-GUARDRAILS = {"negative_share": "praise_share", "severe_share": "escalation_rate", "escalation_rate": "negative_share", "churn_share": "negative_share", "praise_share": "negative_share", "pain_point_volume": "negative_share"}
+# The metric that must not get worse while another is moved.
+GUARDRAILS = {"negative_share": "praise_share", "severe_share": "negative_share", "escalation_rate": "negative_share", "churn_share": "negative_share", "praise_share": "negative_share", "pain_point_volume": "negative_share"}
 
 
 def experiment_plans(opportunities: DataFrame, baselines: DataFrame, monthly: float, **options) -> DataFrame:

@@ -216,3 +216,38 @@ def test_streaming(spark, sf, tmp_path):
     q = events.upsert(events.windowed(events.read_events(spark, str(tmp_path / "in"))), lambda d, i: seen.append(d.count()), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert not q.isActive and q.exception() is None
+
+
+def test_guardrails_name_another_metric_for_each_metric(spark):
+    from tallyloom.operators import rice
+
+    opportunities = spark.createDataFrame([(m, m) for m in rice.MEASURABLE], "title string, primary_metric string")
+    baselines = spark.createDataFrame([(m, 0.2) for m in rice.MEASURABLE], "metric string, baseline double")
+    got = {r.primary_metric: r.guardrail_metric for r in rice.experiment_plans(opportunities, baselines, 5000.0).collect()}
+    assert got == {m: "praise_share" if m == "negative_share" else "negative_share" for m in rice.MEASURABLE}
+
+
+def test_the_taxonomy_states_the_fallback_threshold(spark):
+    from dataclasses import replace
+
+    from tallyloom.operators import evaluation
+    from tallyloom.sources.config import load_taxonomy
+
+    tax = load_taxonomy()
+    labels = spark.createDataFrame([(i, tax.fallback if i < 3 else next(iter(tax.areas)), None, None) for i in range(20)], "review_id int, product_area string, issue_type string, strength_type string")
+    reviews = spark.range(20).selectExpr("cast(id as int) as review_id", "1.0D as grounding_rate")
+    for rule, want in (("over 10% of reviews", True), ("above 20 % or so", False), ("", True)):
+        assert evaluation.integrity_audit(labels, reviews, replace(tax, rule=rule)).first().breached == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tallyloom import storage
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: unset, applicationId="a"))
+    with pytest.raises(ValueError):
+        storage.shared_dir(cluster)
