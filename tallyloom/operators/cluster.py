@@ -26,18 +26,30 @@ def _features(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("id"), array_to_vector(l2_normalise(F.col(vector_col))).alias("features"))
 
 
-def choose_k(vectors: DataFrame, low: int = 3, high: int = 24, seed: int = 42, sample: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> ClusterChoice:
-    """The k of the best cosine silhouette on at most `sample` vectors (the first by a hash of the id); -1 where k is degenerate; first of equals."""
+def _fit(d: DataFrame, k: int, seed: int, inits: int):
+    """The best by cost of `inits` k-means fits over all of d, each from its own k-means|| start."""
     from pyspark.ml.clustering import KMeans
+
+    models = (KMeans(k=k, seed=seed + i, maxIter=20).fit(d) for i in range(inits))
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def choose_k(vectors: DataFrame, low: int = 3, high: int = 24, seed: int = 42, sample: int = 2000, inits: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> ClusterChoice:
+    """The k of the best cosine silhouette; -1 where k is degenerate; first of equals.
+
+    Every k is fitted to all vectors; `sample` (the first by a hash of the id) bounds only the rows that the silhouette is taken over.
+    """
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    d = _features(vectors, id_col, vector_col).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).cache()
+    d = _features(vectors, id_col, vector_col).cache()
+    judged = d.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).cache()
     n = d.count()
     scores: dict[int, float] = {}
     for k in range(low, min(high, n - 1) + 1):
-        made = KMeans(k=k, seed=seed, maxIter=20).fit(d).transform(d)
+        made = _fit(d, k, seed, inits).transform(judged)
         kinds = made.select("prediction").distinct().count()
         scores[k] = ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine").evaluate(made) if kinds > 1 else -1.0
+    judged.unpersist()
     d.unpersist()
     if not scores:
         raise ValueError("too few vectors to cluster")
@@ -45,16 +57,13 @@ def choose_k(vectors: DataFrame, low: int = 3, high: int = 24, seed: int = 42, s
     return ClusterChoice(best, scores[best], scores)
 
 
-def fit_clusters(vectors: DataFrame, low: int = 3, high: int = 24, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[ClusterChoice, DataFrame]:
+def fit_clusters(vectors: DataFrame, low: int = 3, high: int = 24, seed: int = 42, inits: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[ClusterChoice, DataFrame]:
     """(choice, (id, cluster) of all vectors); warns if the best k is at an end of the range."""
-    from pyspark.ml.clustering import KMeans
-
-    choice = choose_k(vectors, low, high, seed, id_col=id_col, vector_col=vector_col)
+    choice = choose_k(vectors, low, high, seed, inits=inits, id_col=id_col, vector_col=vector_col)
     if choice.k in (low, high):
         log.warning("best k %d is at an end of %d..%d", choice.k, low, high)
     d = _features(vectors, id_col, vector_col)
-    model = KMeans(k=choice.k, seed=seed, maxIter=20).fit(d)
-    return choice, model.transform(d).select(F.col("id").alias(id_col), F.col("prediction").alias("cluster"))
+    return choice, _fit(d, choice.k, seed, inits).transform(d).select(F.col("id").alias(id_col), F.col("prediction").alias("cluster"))
 
 
 def exemplars(vectors: DataFrame, assigned: DataFrame, n: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", cluster_col: str = "cluster") -> DataFrame:

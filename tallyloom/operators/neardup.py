@@ -1,8 +1,9 @@
 """Exact near-duplicate groups by TF-IDF cosine, with prefix filtering instead of all pairs.
 
-Equal token sequences are one vector, so copies never multiply pairs. Terms are ordered by document frequency, rare first; if the
-cosine of two unit vectors reaches t, some term in both of their prefixes (the terms until the remaining norm drops below t) is common:
-|x_suffix| < t implies x_suffix . y < t. Candidates are the pairs that share a prefix term and can reach t by length.
+Equal token sequences (by SHA-256) are one vector, named by its smallest id, so copies never multiply pairs. Terms are ordered by
+document frequency, rare first. Let t be the first term that two unit vectors share: their cosine is at most |x from t on| * |y from t on|.
+So a pair that reaches the threshold shares a term at which the product of what remains of both does, and candidates are just such pairs.
+A term that many vectors have in their prefixes is dealt out by salt.
 """
 
 from __future__ import annotations
@@ -31,30 +32,37 @@ def grams(t):
 
 
 def tfidf(texts: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((id, vec) for every text, (vec, term, w, df) of every distinct vector): sublinear tf, smooth idf, unit length."""
+    """((id, vec) of every text with tokens, (vec, term, w, df) of every distinct vector): sublinear tf, smooth idf, unit length."""
     ws = Workspace(texts.sparkSession, "tfidf")
     seq = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    ids = ws.cut(seq.select("id", F.xxhash64(F.array_join("t", " ")).alias("vec"), "t"))
-    kinds = ids.groupBy("vec").agg(F.count("*").alias("copies"), F.first("t").alias("t"))
+    ids = ws.cut(seq.withColumn("kind", F.sha2(F.array_join("t", " "), 256)))
+    kinds = ids.where(F.size("t") > 0).groupBy("kind").agg(F.count("*").alias("copies"), F.min("id").alias("vec"), F.first("t").alias("t"))
     n = ids.count()
     tf = kinds.select("vec", "copies", F.explode(grams(F.col("t"))).alias("term")).groupBy("vec", "copies", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
     df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
     w = tf.join(df, "term").select("vec", "term", "df", (F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)).alias("w"))
     norm = w.groupBy("vec").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return ids.select("id", "vec"), ws.cut(w.join(norm, "vec").select("vec", "term", "df", (F.col("w") / F.col("norm")).alias("w")))
+    named = ids.groupBy("kind").agg(F.min("id").alias("vec"))
+    return ids.where(F.size("t") > 0).select("id", "kind").join(named, "kind").select("id", "vec"), ws.cut(w.join(norm, "vec").select("vec", "term", "df", (F.col("w") / F.col("norm")).alias("w")))
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(u, v, cosine) of distinct vectors with a cosine of at least threshold, u < v."""
+def similar_vectors(vectors: DataFrame, threshold: float = 0.8, part: int = 512) -> DataFrame:
+    """(u, v, cosine) of distinct vectors with a cosine of at least threshold, u < v; vectors: as tfidf gives them.
+
+    A term in n prefixes is compared in n / part tasks' worth of rows: one side is dealt by salt, the other goes to every salt.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     eps = 1e-9
+    least = threshold * threshold - eps
     tail = Window.partitionBy("vec").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(tail)).where(F.col("rest") >= threshold * threshold - eps).select("vec", "term")
+    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(tail)).where(F.col("rest") >= least).select("vec", "term", "rest")
     # a prefix term that one vector has meets no other
-    common = prefix.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term")
+    common = prefix.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     hot = prefix.join(common, "term")
-    pairs = hot.select("term", F.col("vec").alias("u")).join(hot.select("term", F.col("vec").alias("v")), "term").where("u < v").select("u", "v").distinct()
+    left = hot.select("term", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("salt"), F.col("vec").alias("u"), F.col("rest").alias("ru"))
+    right = hot.select("term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("vec").alias("v"), F.col("rest").alias("rv"))
+    pairs = left.join(right, ["term", "salt"]).where((F.col("u") < F.col("v")) & (F.col("ru") * F.col("rv") >= least)).select("u", "v").distinct()
     left, right = vectors.select(F.col("vec").alias("u"), "term", F.col("w").alias("a")), vectors.select(F.col("vec").alias("v"), "term", F.col("w").alias("b"))
     scored = pairs.join(left, "u").join(right, ["v", "term"]).groupBy("u", "v").agg(F.sum(F.col("a") * F.col("b")).alias("cosine"))
     return scored.where(F.col("cosine") >= threshold - eps)
@@ -69,8 +77,7 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, id_col: str
     ids, vectors = tfidf(texts, id_col, text_col)
     links = similar_vectors(vectors, threshold)
     comp = connected_components(links.select("u", "v"))
-    real = vectors.select("vec").distinct()
-    member = ids.join(real, "vec").join(comp.withColumnRenamed("node", "vec"), "vec", "left").select(F.col("id").alias(id_col), F.coalesce("component", "vec").alias("c"))
+    member = ids.join(comp.withColumnRenamed("node", "vec"), "vec", "left").select(F.col("id").alias(id_col), F.coalesce("component", "vec").alias("c"))
     facts = member.join(texts.select(id_col, order_col, F.char_length(text_col).alias("_len")), id_col)
     groups = facts.groupBy("c").agg(F.count("*").alias("near_dup_group_size"), F.min(order_col).alias("_first"), F.max_by(id_col, F.struct("_len", -F.col(order_col))).alias("_rep")).where("near_dup_group_size > 1")
     numbered = dense_numbers(groups, "_first", "near_dup_group_id")

@@ -850,7 +850,7 @@ def exemplars(spark, sf_dir):
 @query()
 def kmeans_silhouette(spark, sf_dir):
     """C01."""
-    c = cluster.choose_k(table(spark, sf_dir, "embeddings"), 3, 6)
+    c = cluster.choose_k(table(spark, sf_dir, "embeddings"))
     return spark.createDataFrame([(k, float(s), k == c.k) for k, s in c.scores.items()], "k int, silhouette double, chosen boolean")
 
 
