@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import jaccard, ratio, wilson
@@ -208,13 +208,51 @@ def gold_sets(gold: DataFrame, strict: bool = False) -> DataFrame:
     return gold.where("labelled").select("review_id", F.array_sort(F.array_distinct(F.transform(F.filter("parsed", ok), lambda p: p.area))).alias("labels"))
 
 
-def score_gold(gold: DataFrame, prov: DataFrame, predicted: DataFrame, least: int = 30) -> DataFrame:
-    """Set scores for each stratum (never pooled), with whether it has enough rows."""
-    strata = gold_sets(gold).join(prov, "review_id", "left").withColumn("stratum", F.coalesce("stratum", F.lit("unknown")))
+def gold_pairs(gold: DataFrame) -> DataFrame:
+    """(review_id, labels): area and label of each labelled row, as `area/issue` or `area/+strength`; only labels without a problem."""
+    pair = lambda p: F.concat(p.area, F.lit("/"), F.coalesce(F.concat(F.lit("+"), p.strength), p.issue))
+    made = F.transform(F.filter("parsed", lambda p: p.problem.isNull()), pair)
+    return gold.where("labelled").select("review_id", F.array_sort(F.array_distinct(F.array_compact(made))).alias("labels"))
+
+
+def predicted_pairs(labels: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(review_id, labels) of a labels table, in the form of gold_pairs."""
+    has = lambda c: F.when(F.col(c) != "", F.col(c))
+    return label_sets(labels, F.concat("product_area", F.lit("/"), F.coalesce(F.concat(F.lit("+"), has("strength_type")), has("issue_type"))), ids)
+
+
+def _strata(rows: DataFrame, prov: DataFrame) -> DataFrame:
+    return rows.join(prov, "review_id", "left").withColumn("stratum", F.coalesce("stratum", F.lit("unknown")))
+
+
+def score_gold(gold: DataFrame, prov: DataFrame, predicted: DataFrame, least: int = 30, pairs: bool = False) -> DataFrame:
+    """Set scores for each stratum (never pooled), with whether it has enough rows. pairs: of (area, label) instead of areas."""
+    strata = _strata(gold_pairs(gold) if pairs else gold_sets(gold), prov)
     shared = predicted.join(strata.select("review_id"), "review_id", "left_semi")
     return score_multilabel(strata, shared, by=["stratum"]).withColumn("sufficient", F.col("shared") >= least)
 
 
+def score_gold_fields(gold: DataFrame, prov: DataFrame, reviews: DataFrame, fields: list[str], least: int = 30) -> DataFrame:
+    """(stratum, field, scores, sufficient) of the categorical fields that annotators filled in; values meet trimmed and in lower case."""
+    from functools import reduce
+
+    value = lambda side, f: F.lower(F.trim(F.col(f"{side}.{f}").cast("string")))
+    both = _strata(gold.where("labelled"), prov).alias("g").join(reviews.alias("r"), "review_id")
+    scored = [score_categorical(both.select("stratum", value("g", f).alias("_gold"), value("r", f).alias("_seen")), "_gold", "_seen", by=["stratum"]).withColumn("field", F.lit(f)) for f in fields]
+    return reduce(DataFrame.unionByName, scored).withColumn("sufficient", F.col("n") >= least)
+
+
+def load_gold_csv(spark: SparkSession, path: str, tax: Taxonomy) -> DataFrame:
+    """load_gold over a CSV that annotators filled in; raises if a column misses."""
+    need = ["review_id", "labels", *tax.attributes, "support_escalation"]
+    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    lost = [c for c in need if c not in rows.columns]
+    if lost:
+        raise ValueError(f"columns missing from {path}: {lost}")
+    # one file over several lines isn't split: its rows are numbered in order
+    return load_gold(rows.na.fill("").where(F.trim("review_id") != "").withColumn("row_no", F.monotonically_increasing_id()), tax)
+
+
 # --- faults --------------------------------------------------------------------------------------------------------
 
 
@@ -270,6 +308,14 @@ def clean_pool(items: DataFrame, texts: DataFrame, tax: Taxonomy) -> DataFrame:
     return items.join(seen.where(F.size("kinds") == 0).select(F.col("case").alias("review_id")), "review_id", "left_semi")
 
 
+def clean_baseline(items: DataFrame, texts: DataFrame, tax: Taxonomy) -> tuple[DataFrame, DataFrame]:
+    """What the validators say of payloads nobody changed: one row (examined, flagged, rate, ci_low, ci_high), and (kind, n)."""
+    seen = detect(items.withColumns({"case": F.col("review_id"), "source_id": F.col("review_id")}), texts, tax)
+    v, low, high = rate(F.count_if(F.size("kinds") > 0), F.count("*"))
+    one = seen.agg(F.count("*").alias("examined"), F.count_if(F.size("kinds") > 0).alias("flagged"), v.alias("false_positive_rate"), low.alias("ci_low"), high.alias("ci_high"))
+    return one, seen.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def fault_study(items: DataFrame, texts: DataFrame, tax: Taxonomy, per_kind: int = 200, seed: int = 42) -> DataFrame:
     """(fault, expected, attempted, inapplicable, captured, attributed, capture_rate) over the same sample for every fault."""
     from functools import reduce

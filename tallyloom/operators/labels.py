@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,10 +32,15 @@ def explode_items(parsed: DataFrame, keep: list[str]) -> DataFrame:
     return parsed.where("items is not null").select(*keep, F.posexplode("items").alias("pos", "item")).select(*keep, "pos", "item.*")
 
 
+def payload_ok(item: Column) -> Column:
+    """Whether a payload has an id, confidences in [0, 1] and no elided span."""
+    bad_area = F.exists(F.coalesce(item.areas, F.array().cast(f"array<{AREA}>")), lambda a: ~F.coalesce(a.confidence.between(0, 1), F.lit(True)) | F.coalesce(F.contains(a.evidence_span, F.lit("...")) | F.contains(a.evidence_span, F.lit("…")), F.lit(False)))
+    return item.review_id.isNotNull() & F.coalesce(item.overall_confidence.between(0, 1), F.lit(True)) & ~bad_area
+
+
 def schema_valid(items: DataFrame) -> DataFrame:
-    """items with `schema_ok`: an id, confidences in [0, 1], no elided span."""
-    bad_area = F.exists(F.coalesce("areas", F.array().cast(f"array<{AREA}>")), lambda a: ~F.coalesce(a.confidence.between(0, 1), F.lit(True)) | F.coalesce(F.contains(a.evidence_span, F.lit("...")) | F.contains(a.evidence_span, F.lit("…")), F.lit(False)))
-    return items.withColumn("schema_ok", F.col("review_id").isNotNull() & F.coalesce(F.col("overall_confidence").between(0, 1), F.lit(True)) & ~bad_area)
+    """items with `schema_ok`."""
+    return items.withColumn("schema_ok", payload_ok(F.struct("review_id", "areas", "overall_confidence")))
 
 
 def reconcile_ids(requested: DataFrame, returned: DataFrame) -> DataFrame:
@@ -98,6 +104,16 @@ def flatten(items: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]
     return reviews.join(carried, "review_id"), labels.join(carried, "review_id", "left")
 
 
+def ordered_labels(labels: DataFrame) -> DataFrame:
+    """Labels by review, area, issue and strength, nulls last; the order of a table as it is written."""
+    return labels.orderBy(*[F.asc_nulls_last(c) for c in ("review_id", "product_area", "issue_type", "strength_type")])
+
+
+def label_pairs(labels: DataFrame) -> DataFrame:
+    """One row for each (area, issue)."""
+    return labels.dropDuplicates(["product_area", "issue_type"]).select("product_area", "issue_type")
+
+
 def run_report(requested: DataFrame, reviews: DataFrame, issues: DataFrame) -> DataFrame:
     """Coverage, grounding and issue counts (as an array of kind and n), in one row."""
     asked = requested.agg(F.count_distinct("review_id").alias("requested"))
@@ -167,26 +183,43 @@ class ProviderError(Exception):
         self.status, self.retryable = status, status not in self.FATAL
 
 
-def enrich(messages: DataFrame, system: str, provider: Provider, attempts: int = 3) -> DataFrame:
+def classify_error(e: Exception) -> ProviderError:
+    """Any exception of a provider as a ProviderError, by its status: an attribute, else a number in its message; without one, another try may help."""
+    if isinstance(e, ProviderError):
+        return e
+    status = next((s for s in (getattr(e, "status_code", None), getattr(e, "code", None)) if isinstance(s, int)), None)
+    if status is None and (m := re.search(r"\b[45]\d\d\b", str(e))):
+        status = int(m[0])
+    return ProviderError(str(e), status)
+
+
+#: The error of messages that a task no longer sends.
+NOT_SENT = "not sent"
+
+
+def enrich(messages: DataFrame, system: str, provider: Provider, attempts: int = 3, limit: int | None = None) -> DataFrame:
     """(group_id, reply, error) of each message, by a provider called in the workers, with bounded retries.
 
-    provider(system, message) -> reply must be picklable. Side effects stay behind it; a task that is run again calls it again,
-    so callers keep replies in a KeyedStore and pass only what is missing.
+    provider(system, message) -> reply must be picklable; what it raises becomes an error, never a failed job. After `limit` fatal errors
+    in a row a task sends nothing more. Side effects stay behind the provider; a task that is run again calls it again, so callers keep
+    replies in a KeyedStore and pass only what is missing (enrichment.enrich_corpus does).
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        in_a_row = 0
         for f in frames:
             out = []
             for g, m in zip(f["group_id"], f["message"], strict=True):
-                reply, error = None, None
-                for _ in range(attempts):
+                reply, error = None, NOT_SENT
+                for _ in range(attempts if limit is None or in_a_row < limit else 0):
                     try:
-                        reply, error = provider(system, m), None
+                        reply, error, in_a_row = provider(system, m), None, 0
                         break
-                    except ProviderError as e:
-                        error = str(e)
-                        if not e.retryable:
-                            error = f"fatal: {e}"
+                    except Exception as e:  # noqa: BLE001 - recorded, the run goes on
+                        known = classify_error(e)
+                        error = str(known) if known.retryable else f"fatal: {known}"
+                        in_a_row = 0 if known.retryable else in_a_row + 1
+                        if not known.retryable:
                             break
                 out.append((g, reply, error))
             yield pd.DataFrame(out, columns=["group_id", "reply", "error"])

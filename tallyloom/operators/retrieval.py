@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import dot, l2_normalise, ratio
@@ -26,6 +26,25 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
     return vectors.withColumn("score", dot(F.col(vector_col), q)).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def build_index(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """A flat index: every vector as it is, with its norm, sorted by id in each file; returns it as loaded.
+
+    Raises ValueError if a vector is null, holds null or NaN, or differs in length from the others.
+    """
+    v = F.col(vector_col)
+    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    seen = vectors.agg(F.count_if(bad).alias("bad"), F.min(F.size(v)).alias("short"), F.max(F.size(v)).alias("long")).first()
+    if seen.bad or seen.short != seen.long:
+        raise ValueError(f"{seen.bad} vectors without a value, lengths {seen.short} to {seen.long}")
+    vectors.withColumn("norm", F.sqrt(dot(v, v))).sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
+    return load_index(vectors.sparkSession, path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index for top_k, search and search_many."""
+    return spark.read.parquet(path)
+
+
 def candidates(k: int) -> int:
     return min(CEILING, max(OVERFETCH * k, k))
 
@@ -43,6 +62,18 @@ def search(vectors: DataFrame, query: list[float], k: int = 8, where: Column | N
     return hits.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) < k)  # over k rows
 
 
+def post_filter(exclude: list | None = None, areas: list[str] | None = None, severities: list[str] | None = None, window: bool | None = None, id_col: str = "review_id") -> Column:
+    """The filters of a search as one predicate: ids to leave out, areas (any of `product_areas`), severities, the comparable window."""
+    keep = F.lit(True)
+    if exclude:
+        keep = keep & ~F.col(id_col).isin(exclude)
+    if areas:
+        keep = keep & F.coalesce(F.arrays_overlap("product_areas", F.array(*map(F.lit, areas))), F.lit(False))
+    if severities:
+        keep = keep & F.coalesce(F.col("severity").isin(severities), F.lit(False))
+    return keep if window is None else keep & F.col("in_comparable_window").eqNullSafe(window)
+
+
 def pain_point_query(area: str, issue: str) -> str:
     """The query text of a pain point."""
     return f"{area} {issue}".replace("_", " ").strip()

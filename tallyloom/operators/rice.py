@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import score as S
 from tallyloom.functions.stats import months_needed, sample_per_arm, target_rate
+from tallyloom.functions.text import outermost_json
+from tallyloom.operators.labels import enrich
 from tallyloom.operators.painpoints import KEYS
+from tallyloom.storage import Workspace
 
 
 def rice(points: DataFrame, evidence: DataFrame, reviews: DataFrame, months: int, root_causes: DataFrame | None = None, area_rates: DataFrame | None = None, effort: DataFrame | None = None) -> DataFrame:
@@ -87,6 +90,63 @@ def check_opportunities(df: DataFrame) -> DataFrame:
     return df.withColumn("issue", issue)
 
 
+OPPORTUNITY = "struct<title:string,change:string,addresses_hypothesis:string,primary_metric:string,expected_direction:string,risk_if_wrong:string>"
+HYPOTHESIS = "struct<hypothesis:string,mechanism:string,supporting_review_ids:array<string>,disconfirming_evidence:string,confidence:string>"
+
+
+def parse_list(reply: Column, name: str, element: str) -> Column:
+    """The list under `name` in a reply's JSON, or the JSON itself if that is a list; null if there is neither."""
+    j = outermost_json(reply)
+    return F.when(j.startswith("["), F.from_json(j, f"array<{element}>")).when(j.startswith("{"), F.from_json(j, f"{name} array<{element}>")[name])
+
+
+def hypotheses_of(points: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """Points with `hypotheses`, those of the same area and issue, by name; empty if there are none."""
+    own = F.array_sort(F.collect_list(F.struct("hypothesis", "mechanism", "disconfirming_evidence")))
+    h = hypotheses.join(points.select(*KEYS).distinct(), KEYS, "left_semi").groupBy(*KEYS).agg(own.alias("hypotheses"))
+    none = F.array().cast("array<struct<hypothesis:string,mechanism:string,disconfirming_evidence:string>>")
+    return points.join(h, KEYS, "left").withColumn("hypotheses", F.coalesce("hypotheses", none))
+
+
+def opportunity_prompt(n: int = 3) -> str:
+    """The instructions for a model."""
+    return (
+        f"Name at most {n} changes to the product that act on the causes given for one pain point, and on no other cause.\n"
+        "Say what is changed so exactly that a team could estimate it, and what customers lose if the idea is wrong; estimate nothing yourself.\n"
+        f"primary_metric is one of {', '.join(MEASURABLE)}; expected_direction is decrease or increase.\n"
+        'Answer with JSON only: {"opportunities": [{' + ", ".join(f'"{f.split(":")[0]}": "..."' for f in OPPORTUNITY[7:-1].split(",")) + "}]}"
+    )
+
+
+def opportunity_messages(points: DataFrame) -> DataFrame:
+    """(group_id, message) for each point with hypotheses; what wasn't measured is `unknown`."""
+    percent = lambda c: F.coalesce(F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%")), F.lit("unknown"))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    signal = F.concat(F.lit("reviews "), plain("volume"), F.lit(", mean severity (1 to 4) "), plain("mean_severity"), F.lit(", asked for support "), percent("escalation_rate"), F.lit(", mean to leave "), percent("churn_rate"))
+    against = lambda h: F.when(F.trim(F.coalesce(h.disconfirming_evidence, F.lit(""))) != "", F.concat(F.lit("\n  but: "), h.disconfirming_evidence))
+    cause = F.transform("hypotheses", lambda h: F.concat(F.lit("- "), F.coalesce(h.hypothesis, F.lit("")), F.lit("\n  how: "), F.coalesce(h.mechanism, F.lit("")), F.coalesce(against(h), F.lit(""))))
+    head = F.concat(F.lit("Pain point: "), F.concat_ws(" / ", *KEYS), F.lit("\nSignal: "), signal, F.lit("\nCauses:\n"), F.array_join(cause, "\n"))
+    return points.where(F.size("hypotheses") > 0).select(F.concat_ws("/", *KEYS).alias("group_id"), head.alias("message"))
+
+
+def generate_opportunities(points: DataFrame, hypotheses: DataFrame, provider: Callable[[str, str], str], n: int = 3, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(opportunities that pass check_opportunities, issues (keys, issue, detail)) for each pain point; a bad reply is an issue.
+
+    points: keys, volume, mean_severity, escalation_rate, churn_rate. Replies are kept in the shared folder, so that each point is asked once.
+    """
+    p = hypotheses_of(points, hypotheses)
+    ws = Workspace(points.sparkSession, "opportunities")
+    replies = ws.cut(enrich(opportunity_messages(p), opportunity_prompt(n), provider, attempts))
+    r = p.select(*KEYS, "hypotheses", F.concat_ws("/", *KEYS).alias("group_id")).join(replies, "group_id", "left")
+    r = r.withColumn("found", F.slice(parse_list(F.col("reply"), "opportunities", OPPORTUNITY), 1, n))
+    named = F.exists("found", lambda o: F.coalesce(F.trim(o.title), F.lit("")) == "")
+    of_points = F.when(F.size("hypotheses") == 0, "no_hypotheses").when(F.col("error").isNotNull(), "api_error").when(F.col("found").isNull(), "unparseable_response").when(named, "schema_violation")
+    r = r.withColumn("issue", of_points)
+    checked = check_opportunities(r.where("issue is null").select(*KEYS, F.inline("found")))
+    issues = r.where("issue is not null").select(*KEYS, "issue", F.substring(F.coalesce("error", "reply", F.lit("")), 1, 200).alias("detail"))
+    return checked.where("issue is null").drop("issue"), issues.unionByName(checked.where("issue is not null").select(*KEYS, "issue", F.col("title").alias("detail")))
+
+
 def check_citations(hypotheses: DataFrame, supplied: DataFrame, key: list[str]) -> DataFrame:
     """Hypotheses (key, supporting_review_ids, disconfirming_evidence) with `invented`, `issue` and `kept`. supplied: (key, supplied_ids)."""
     d = hypotheses.join(supplied, key, "left")

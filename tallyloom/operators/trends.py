@@ -95,3 +95,8 @@ def month_over_month(reviews: DataFrame, min_reviews: int = 50, min_months: int
     if not trend_verdict(reviews, min_months).first().computable:
         return None
     return change(monthly_rates(reviews, min_reviews))
+
+
+def ordered_rates(rates: DataFrame) -> DataFrame:
+    """Area rates by area, the highest rate first; then by platform."""
+    return rates.orderBy(F.asc("product_area"), F.desc_nulls_last("rate"), F.asc("platform"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import clean, cluster, discovery, eda, evaluation, labels, neardup, painpoints, profile, retrieval, rice, trends
+from tallyloom.operators import clean, cluster, discovery, eda, enrichment, evaluation, labels, neardup, painpoints, profile, retrieval, rice, trends
 from tallyloom.plans.bindings import ITEM_LABELS, ORDER_REVIEWS, REVIEWS, item_labels, order_reviews, reviews, table, with_
 from tallyloom.sources.config import load_taxonomy
 
@@ -649,6 +649,20 @@ def run_report(spark, sf_dir):
     return labels.run_report(r, made, labels.taxonomy_issues(items, TAX)).drop("issues")
 
 
+@query("SELECT review_id, count(*) AS n_labels, bool_and(grounded) AS grounded FROM (" + " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS review_id, true AS grounded FROM documents WHERE regexp_matches(text, '(?i){p}')" for p in PROBES.values()) + ") GROUP BY 1")
+def enrich_offline(spark, sf_dir):
+    """The loop over the whole corpus with the provider that needs no network; what it quotes is grounded."""
+    r = reviews(spark, sf_dir).select("review_id", "review_text")
+    got = enrichment.enrich_corpus(r, labels.system_prompt(TAX), TAX, enrichment.OfflineProvider(TAX), size=20, concurrency=spark.sparkContext.defaultParallelism)
+    return got.items.select("review_id", F.explode("areas"), "grounding_rate").groupBy("review_id").agg(F.count("*").alias("n_labels"), (F.min("grounding_rate") == 1).alias("grounded"))
+
+
+@query(with_(ORDER_REVIEWS, ITEM_LABELS) + "SELECT DISTINCT product_area, issue_type FROM item_labels")
+def label_pairs(spark, sf_dir):
+    """U05."""
+    return labels.label_pairs(item_labels(spark, sf_dir))
+
+
 @query()
 def stratified_sample(spark, sf_dir):
     """M10."""

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import clean, evaluation, labels, neardup, painpoints, retrieval, rice, trends
+from tallyloom.operators import clean, enrichment, evaluation, labels, neardup, painpoints, retrieval, rice, trends
 from tallyloom.sources import config, tables
 
 TAX = config.load_taxonomy()
@@ -251,3 +251,160 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: unset, applicationId="a"))
     with pytest.raises(ValueError):
         storage.shared_dir(cluster)
+
+
+@pytest.fixture
+def reply_of():
+    def reply(message, leave=(), wrong=()):
+        """The offline provider's reply without some reviews, and with some ids changed. (Nested, so that workers get it by value.)"""
+        got = json.loads(enrichment.OfflineProvider(TAX)("", message))["results"]
+        return json.dumps({"results": [x | {"review_id": x["review_id"] + "!"} if x["review_id"] in wrong else x for x in got if x["review_id"] not in leave]})
+
+    return reply
+
+
+def corpus(spark, n):
+    return spark.createDataFrame([(f"r{i:02d}", f"license number {i}, all rights reserved") for i in range(n)], "review_id string, review_text string")
+
+
+def test_enrich_corpus_retries_and_store(spark, tmp_path, reply_of):
+    def provider(system, message):
+        many = message.count("<review id") > 1
+        return reply_of(message, leave=("r03",) if many else (), wrong=("r05",) if many else ())
+
+    reviews = corpus(spark, 23)
+    store = tables.KeyedStore(spark, str(tmp_path / "s"), "m", enrichment.STORED, enrichment.STORED_KEY)
+    got = enrichment.enrich_corpus(reviews, "s", TAX, provider, store, size=23, concurrency=1, waves=2)
+    assert {r.review_id for r in got.items.collect()} == {f"r{i:02d}" for i in range(23)} and got.items.count() == 23
+    assert got.failed.count() == 0 and got.cache_hits == 0 and got.requests == 3
+    assert [(r.review_id, r.kind) for r in got.issues.collect()] == [("r05!", "unexpected_review_id")]
+    assert got.items.where("grounding_rate < 1").count() == 0
+
+    def never(system, message):
+        raise AssertionError("asked again")
+
+    again = enrichment.enrich_corpus(reviews.withColumn("review_text", F.lit("nothing")), "s", TAX, never, store)
+    assert again.cache_hits == 23 and again.requests == 0 and again.items.where("grounding_rate = 0").count() == 23
+    fresh = enrichment.enrich_corpus(reviews, "s", TAX, never, store, read_through=False, retry_missing=False)
+    assert fresh.cache_hits == 0 and fresh.failed.count() == 23 and {r.kind for r in fresh.issues.collect()} == {"api_error"}
+    assert enrichment.enrich_corpus(corpus(spark, 0), "s", TAX, never).items.count() == 0
+
+
+def test_enrich_corpus_breaker(spark, tmp_path, reply_of):
+    def provider(system, message):
+        if "r00" in message:
+            return reply_of(message)
+        raise RuntimeError("HTTP 402 no credit")
+
+    store = tables.KeyedStore(spark, str(tmp_path / "s"), "m", enrichment.STORED, enrichment.STORED_KEY)
+    with pytest.raises(enrichment.RunAborted, match="402"):
+        enrichment.enrich_corpus(corpus(spark, 30), "s", TAX, provider, store, size=1, concurrency=1, limit=5)
+    assert store.read().count() <= 1
+    error = labels.classify_error
+    assert error(RuntimeError("status 503")).retryable and not error(RuntimeError("status 404")).retryable and error(ValueError("no")).retryable
+
+
+def test_check_replies(spark):
+    asked = spark.createDataFrame([("g1", "a", "license"), ("g1", "b", "x"), ("g2", "c", "y"), ("g3", "d", "z")], "group_id string, review_id string, review_text string")
+    item = {"review_id": "a", "areas": [], "sentiment": "neutral", "customer_intent": "complaint", "support_escalation": False, "overall_confidence": 0.5}
+    one = json.dumps([item, item, item | {"review_id": "q", "sentiment": "odd"}, item | {"review_id": "b", "sentiment": "odd"}])
+    bad = json.dumps([item | {"review_id": "c", "overall_confidence": 2.0}])
+    replies = [("g1", one, None), ("g2", bad, None), ("g3", None, "batch: errored: x"), ("g9", one, None)]
+    got = enrichment.check_replies(spark.createDataFrame(replies, "group_id string, reply string, error string"), asked, TAX)
+    assert sorted(r.review_id for r in got.items.collect()) == ["a", "b"] and sorted(r.review_id for r in got.failed.collect()) == ["c", "d"]
+    assert sorted((r.review_id, r.kind) for r in got.issues.collect()) == [("<group>", "batch_failure"), ("<group>", "unknown_group"), ("<group>", "unparseable_response"), ("a", "duplicate_review_id"), ("b", "invalid_attribute"), ("q", "unexpected_review_id")]
+
+
+def test_batch(spark, tmp_path, reply_of):
+    class Client:
+        polls = 0
+
+        def submit(self, requests, system):
+            lines = [(r.group_id, "succeeded", reply_of(r.message), None) for r in spark.read.json(requests).collect()]
+            lines[0] = (lines[0][0], "expired", None, None)
+            spark.createDataFrame(lines, "group_id string, outcome string, reply string, detail string").write.json(str(tmp_path / "out"))
+            return "b1"
+
+        def status(self, batch_id):
+            self.polls += 1
+            return "ended" if self.polls > 2 else "running"
+
+        def results(self, batch_id):
+            return str(tmp_path / "out")
+
+    client, seen = Client(), []
+    b = enrichment.submit_batch(corpus(spark, 12), "s", client, str(tmp_path / "in"), size=3, groups=1)
+    assert enrichment.poll_batch(client, b, interval=0, on_poll=seen.append) == "ended" and seen == ["running"] * 2
+    got = enrichment.collect_batch(spark, client, b, str(tmp_path / "in"), TAX)
+    assert got.items.count() == 9 and got.failed.count() == 3 and [r.kind for r in got.issues.collect()] == ["batch_failure"]
+    client.polls = -99
+    with pytest.raises(TimeoutError):
+        enrichment.poll_batch(client, b, interval=0, timeout=-1)
+
+
+def test_model_cache(spark, tmp_path):
+    p = tmp_path / "c.json"
+    p.write_text(json.dumps({"h1": {"review_id": "a", "sentiment": "negative"}, "h2": {"review_id": "a", "sentiment": "positive"}, "h3": {"sentiment": "x"}}))
+    assert [(r.review_id, r.sentiment) for r in enrichment.load_model_cache(spark, str(p)).collect()] == [("a", "positive")]
+    p.write_text("{broken")
+    assert enrichment.load_model_cache(spark, str(p)).count() == 0 and enrichment.load_model_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_gold_scores_of_pairs_and_fields(spark, tmp_path):
+    p = tmp_path / "gold.csv"
+    p.write_text("review_id,labels,sentiment,severity,customer_intent,support_escalation\na,contact/leaked_email; tables/+tidy_table,negative,,praise,yes\nb,contact/leaked_email,positive,,,no\nc,,,,,\n")
+    gold = evaluation.load_gold_csv(spark, str(p), TAX)
+    prov = spark.createDataFrame([("a", "random"), ("b", "random")], "review_id string, stratum string")
+    lab = spark.createDataFrame([("a", "contact", "leaked_email", None), ("a", "tables", None, "tidy_table"), ("b", "contact", "all_caps", None)], "review_id string, product_area string, issue_type string, strength_type string")
+    rev = spark.createDataFrame([("a", "Negative ", True), ("b", "neutral", False)], "review_id string, sentiment string, support_escalation boolean")
+    ids = rev.select("review_id")
+    r = evaluation.score_gold(gold, prov, evaluation.predicted_pairs(lab, ids), pairs=True).collect()
+    assert [(x.stratum, x.tp, x.fp, x.fn, x.sufficient) for x in r] == [("random", 2, 1, 1, False)]
+    r = {x.field: (x.n, x.agree) for x in evaluation.score_gold_fields(gold, prov, rev, ["sentiment", "support_escalation"]).collect()}
+    assert r == {"sentiment": (2, 1), "support_escalation": (2, 2)}
+    p.write_text("review_id\na\n")
+    with pytest.raises(ValueError):
+        evaluation.load_gold_csv(spark, str(p), TAX)
+
+
+def test_clean_baseline(spark):
+    r = spark.createDataFrame([(f"r{i}", "license text, all rights reserved", 1 + i % 5) for i in range(10)], "review_id string, review_text string, rating int")
+    items = labels.rule_labeller(r, TAX)
+    one, kinds = evaluation.clean_baseline(items.withColumn("sentiment", F.when(F.col("review_id") == "r3", "odd").otherwise(F.col("sentiment"))), r, TAX)
+    x = one.first()
+    assert (x.examined, x.flagged, x.false_positive_rate) == (10, 1, 0.1) and x.ci_low < 0.1 < x.ci_high
+    assert [(k.kind, k.n) for k in kinds.collect()] == [("invalid_attribute", 1)]
+
+
+def test_generate_opportunities(spark):
+    def provider(system, message):
+        if "a / i" in message:
+            one = {"title": "t", "change": "c", "addresses_hypothesis": "h", "primary_metric": "negative_share", "expected_direction": "decrease", "risk_if_wrong": "slower refunds"}
+            return "```json\n" + json.dumps({"opportunities": [one, one | {"title": "u", "risk_if_wrong": "No risk."}]}) + "\n```"
+        return "I can't"
+
+    points = spark.createDataFrame([("a", "i", 9, 2.0, 0.5, None), ("b", "i", 5, 1.0, 0.1, 0.2), ("c", "i", 5, 1.0, 0.1, 0.2)], "product_area string, issue_type string, volume long, mean_severity double, escalation_rate double, churn_rate double")
+    h = spark.createDataFrame([("a", "i", "h", "m", None), ("b", "i", "h", "m", "x"), ("b", "j", "other", "m", None)], "product_area string, issue_type string, hypothesis string, mechanism string, disconfirming_evidence string")
+    assert {r.product_area: [x.hypothesis for x in r.hypotheses] for r in rice.hypotheses_of(points, h).collect()} == {"a": ["h"], "b": ["h"], "c": []}
+    message = rice.opportunity_messages(rice.hypotheses_of(points, h)).where("group_id = 'a/i'").first().message
+    assert "asked for support 50%" in message and "mean to leave unknown" in message and "but:" not in message
+    kept, issues = rice.generate_opportunities(points, h, provider)
+    assert [r.title for r in kept.collect()] == ["t"]
+    assert sorted((r.product_area, r.issue, r.detail) for r in issues.collect()) == [("a", "no_stated_risk", "u"), ("b", "unparseable_response", "I can't"), ("c", "no_hypotheses", "")]
+
+
+def test_orders_and_index(spark, tmp_path):
+    lab = spark.createDataFrame([("b", "x", None, "s"), ("a", "y", "i", None), ("a", "x", None, "s"), ("a", "x", "i", None)], "review_id string, product_area string, issue_type string, strength_type string")
+    assert [(r.review_id, r.product_area, r.issue_type) for r in labels.ordered_labels(lab).collect()] == [("a", "x", "i"), ("a", "x", None), ("a", "y", "i"), ("b", "x", None)]
+    assert labels.label_pairs(lab).count() == 3
+    rates = spark.createDataFrame([("a", "p", 0.1), ("b", "p", 0.3), ("a", "q", 0.2)], "product_area string, platform string, rate double")
+    assert [(r.product_area, r.platform) for r in trends.ordered_rates(rates).collect()] == [("a", "q"), ("a", "p"), ("b", "p")]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "vec_id int, embedding array<double>")
+    index = retrieval.build_index(v, str(tmp_path / "i"))
+    assert [r.vec_id for r in retrieval.search(index, [0.0, 1.0], 2).collect()] == [2, 1]
+    for wrong in ([1.0], [float("nan"), 0.0], None):
+        with pytest.raises(ValueError):
+            retrieval.build_index(v.unionByName(spark.createDataFrame([(3, wrong)], v.schema)), str(tmp_path / "j"))
+    hits = spark.createDataFrame([("a", ["x"], "high", True), ("b", ["y"], None, True), ("c", ["x"], "low", False)], "review_id string, product_areas array<string>, severity string, in_comparable_window boolean")
+    ids = lambda **f: [r.review_id for r in hits.where(retrieval.post_filter(**f)).collect()]
+    assert ids() == ["a", "b", "c"] and ids(exclude=["a"], areas=["x"]) == ["c"] and ids(severities=["high"]) == ["a"] and ids(window=True) == ["a", "b"]
