@@ -5,8 +5,7 @@ sum them over all chunks; joined back to the n-grams of each chunk, they give ea
 document. From order 3 on, only n-grams whose two parts are frequent enough are counted: the others can't be. S(w | context) = count(context w) / count(context) if the n-gram was seen at least
 `least` times, else BACKOFF * S(w | shorter context); for a single word count(w) / all tokens. Counts include the document's own.
 
-Words are runs of other than white space, lower-cased. n-grams meet by hash, of as many bits as make a chance meeting rarer than
-one in a million n-grams (64 at most).
+Words are runs of other than white space, lower-cased. n-grams meet by hashes of 64 bits, whatever the size of the corpus.
 
 Defined results: null, empty or blank text has no tokens, score 0 and a null mean; repeated rows count as often as they are there; an
 empty table gives an empty table; input columns other than id and text are dropped.
@@ -29,7 +28,7 @@ BACKOFF = 0.4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def gram_hashes(words: list[bytes], order: int, drop: int = 0) -> list[np.ndarray]:
+def gram_hashes(words: list[bytes], order: int) -> list[np.ndarray]:
     """Hashes of the n-grams that end at each word, for n = 1..order (n-gram i of the n-th list ends at word i+n-1)."""
     h = np.fromiter(map(xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
     out, last = [h], h
@@ -39,8 +38,7 @@ def gram_hashes(words: list[bytes], order: int, drop: int = 0) -> list[np.ndarra
             last = last ^ (last >> np.uint64(31))
             last = last * np.uint64(0xBF58476D1CE4E5B9)
             out.append(last)
-        # the high bits select the bucket; dropping low bits keeps the order
-        return [((x ^ (x >> np.uint64(29))) >> np.uint64(drop)) << np.uint64(drop) for x in out]
+        return [x ^ (x >> np.uint64(29)) for x in out]
 
 
 def joined_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -60,13 +58,13 @@ def tokens(text: str | None) -> list[bytes]:
 class Grams:
     """The n-grams of a chunk, none across rows: for each order the distinct hashes, each occurrence's number among them, and counts."""
 
-    def __init__(self, table: pa.Table, order: int, drop: int):
+    def __init__(self, table: pa.Table, order: int):
         self.words = [tokens(t) for t in table.column("text").to_pylist()]
         self.size = np.array([len(w) for w in self.words])
         self.begin = np.cumsum(self.size) - self.size
         self.row = np.repeat(np.arange(len(self.words)), self.size)
         flat = [w for ws in self.words for w in ws]
-        self.hashes = gram_hashes(flat, order, drop)
+        self.hashes = gram_hashes(flat, order)
         self.words = None
 
     def inside(self, n: int) -> np.ndarray:
@@ -97,8 +95,6 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chunks = Chunks(kept, "lm")
     kind = kept.schema["id"].dataType.simpleString()
-    drop = max(0, 64 - 20 - max(20, (chunks.bytes * order // 5).bit_length()))
-
     buckets = chunks.buckets
 
     def asked(g: Grams, n: int, where=None):
@@ -106,14 +102,14 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
         return n, keys, np.bincount(number, minlength=len(keys))
 
     def short(table, got):
-        g = Grams(table, min(order, 2), drop)
+        g = Grams(table, min(order, 2))
         for n in range(1, min(order, 2) + 1):
             yield asked(g, n)
 
     def longer(n):
         def explode(table, got):
             # an n-gram can't be there oftener than what it begins and ends with
-            g = Grams(table, n, drop)
+            g = Grams(table, n)
             for k in range(2, n):
                 _, maybe = g.frequent(k, got, buckets, least)
             yield asked(g, n, maybe)
@@ -136,7 +132,7 @@ def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str
     n_all = chunks.ws.cut(chunks.frame.mapInArrow(_count_tokens, "n long")).agg(F.sum("n")).first()[0] or 1
 
     def read(table, got):
-        g = Grams(table, order, drop)
+        g = Grams(table, order)
         ids, m = table.column("id").to_pylist(), len(g.row)
         counts, _ = g.frequent(1, got, buckets, least)
         logp, used = np.log(np.maximum(counts, 1) / n_all), np.zeros(m, np.int64)
