@@ -1,7 +1,7 @@
 """Token alignment across two tokenizers (operator 12).
 
 A text is encoded by a byte-level BPE (A) and by a piece BPE (B). Both cut the same bytes, so byte offsets at which tokens of both end cut it into
-groups: the least stretches that both cover with whole tokens. All documents of a chunk are laid end to end, the ends of A's and B's tokens
+groups: the least stretches that both cover with whole tokens. All documents of a batch are laid end to end, the ends of A's and B's tokens
 are counted once over all their bytes (bincount), and cuts are where both counts stand; prefix sums over the cuts,
 taken at the documents' own ends, give each document's tokens, groups and links.
 
@@ -40,7 +40,7 @@ from tallyloom.session import ship
 from tallyloom.storage import Workspace
 
 #: Text of a chunk; texts that are encoded at once; longer ones are encoded in stretches; pairs that are made at once.
-CHUNK_BYTES, BATCH_BYTES, STRETCH, PAIRS = 12 << 20, 1 << 20, 1 << 18, 1 << 21
+CHUNK_BYTES, BATCH_BYTES, STRETCH, PAIRS = 8 << 20, 1 << 20, 1 << 18, 1 << 19
 _SEAM = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
@@ -239,20 +239,30 @@ def _digits(n: int) -> np.ndarray:
     return np.where((number >= power) | (power == 1), number // power % 10 + 48, 0).astype(np.uint8)
 
 
-def _chunk(name: str, ids: pa.Array, coded: list[tuple[np.ndarray, np.ndarray]], a: ByteBpe, b: PieceBpe) -> pa.RecordBatch:
-    """A chunk as a row: its documents' digests, its distinct pairs with their documents, and each document's share in them."""
-    x = Aligned(coded, a.table.size, b.table.size)
-    doc, pair, links = x.pairs()
-    kinds, number, held = np.unique(pair, return_inverse=True, return_counts=True)
-    rows = pa.RecordBatch.from_arrays(
-        [ids, *(pa.array(v) for v in (x.n_a, x.n_b, x.n_groups, x.n_links)), pa.array(x.digests(), pa.string()), pa.array(np.bincount(doc, minlength=x.n))],
-        names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "own"],
-    )
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, rows.schema) as w:
-        w.write_batch(rows)
-    packed = [out.getvalue(), put_sorted(kinds), put_numbers(held), put_numbers(number), put_numbers(links)]
-    return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([p], pa.binary()) for p in packed)], names=["chunk", "docs", "pairs", "held", "number", "links"])
+class Chunk:
+    """Batches of documents, each aligned as a whole, until they are packed as one row."""
+
+    def __init__(self, a: ByteBpe, b: PieceBpe):
+        self.sides, self.parts, self.bytes = (a, b), [], 0
+
+    def add(self, ids: pa.Array, texts: list[bytes]) -> None:
+        a, b = self.sides
+        x = Aligned(encode_both([t.decode() for t in texts], a, b), a.table.size, b.table.size)
+        doc, pair, links = x.pairs()
+        columns = [ids, *(pa.array(v) for v in (x.n_a, x.n_b, x.n_groups, x.n_links)), pa.array(x.digests(), pa.string()), pa.array(np.bincount(doc, minlength=x.n))]
+        self.parts.append((pa.RecordBatch.from_arrays(columns, names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "own"]), pair, links.astype(np.int32)))
+        self.bytes += sum(map(len, texts))
+
+    def packed(self, name: str) -> pa.RecordBatch:
+        """The chunk as a row: its documents' digests, its distinct pairs with their documents, and each document's share in them."""
+        kinds, number, held = np.unique(np.concatenate([p for _, p, _ in self.parts]), return_inverse=True, return_counts=True)
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, self.parts[0][0].schema) as w:
+            for rows, _, _ in self.parts:
+                w.write_batch(rows)
+        packed = [out.getvalue(), put_sorted(kinds), put_numbers(held), put_numbers(number), put_numbers(np.concatenate([n for _, _, n in self.parts]))]
+        self.parts, self.bytes = [], 0
+        return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([p], pa.binary()) for p in packed)], names=["chunk", "docs", "pairs", "held", "number", "links"])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,18 +272,16 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        a, b = tokenizers(a_path, b_path)
-        held, coded, size, n = [], [], 0, 0
+        chunk, n = Chunk(*tokenizers(a_path, b_path)), 0
         for rows, texts in pieces(batches, "text", BATCH_BYTES):
-            coded += encode_both([t.decode() for t in texts], a, b)
-            held.append(rows.column(0))
-            size += sum(map(len, texts))
-            if size >= CHUNK_BYTES:
-                yield _chunk(f"{TaskContext.get().partitionId()}-{n}", pa.chunked_array(held).combine_chunks(), coded, a, b)
-                held, coded, size, n = [], [], 0, n + 1
+            chunk.add(rows.column(0), texts)
+            if chunk.bytes >= CHUNK_BYTES:
+                yield chunk.packed(f"{TaskContext.get().partitionId()}-{n}")
+                n += 1
                 trim()
-        if held:
-            yield _chunk(f"{TaskContext.get().partitionId()}-{n}", pa.chunked_array(held).combine_chunks(), coded, a, b)
+        if chunk.parts:
+            yield chunk.packed(f"{TaskContext.get().partitionId()}-{n}")
+            trim()
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chunks = ws.cut(plain.mapInArrow(scan, "chunk string, docs binary, pairs binary, held binary, number binary, links binary"))
