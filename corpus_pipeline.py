@@ -34,11 +34,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest id, once.
 
-    Null and blank texts are copies of each other; rows without an id stay; of rows with one id and one text, one stays.
+    Null and blank texts are copies of each other; rows without an id stay; of rows with one id and one text, one stays, and of rows with one id and
+    different texts those that are copies of no smaller id's.
     """
     groups = near_copies(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id", "mark").distinct()
+    kept = docs.join(gone, (docs.doc_id == gone.doc_id) & (F.xxhash64(docs.text) == gone.mark), "left_anti")
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # else no text has to move for this
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs.columns)

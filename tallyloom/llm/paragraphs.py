@@ -14,8 +14,8 @@ sets share a band, in two chunks, one band in 16 million takes them for one set
 
 Bands are tuned: the fewest hash functions whose bands find a pair at the threshold with at least the wanted probability.
 A bucket of over BUCKET sets is split by hash; two of its sets, the hubs, are in every part, so that a family of variants mostly
-comes together through them. What of such a bucket is still outside its largest component is then compared with the whole bucket,
-in blocks of about BUCKET by BUCKET sets, so that all pairs that share a band are compared or already joined.
+comes together through them. What of such a bucket is still outside its largest component is then compared with all sets of the bucket that are near it in
+size, in blocks of about BUCKET by BUCKET sets, so that all pairs that share a band are compared, or already joined, or can't be similar.
 
 Defined results: null, empty and short paragraphs (fewer than WORDS words) are in no class; a null id sorts behind all others; repeated rows are
 repeated paragraphs; an empty table gives an empty table; input columns other than id and text are dropped.
@@ -23,6 +23,7 @@ repeated paragraphs; an empty table gives an empty table; input columns other th
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -38,6 +39,8 @@ from tallyloom.llm.lm import joined_hashes
 from tallyloom.storage import Workspace
 
 WORDS, LONG, BUCKET, STRETCH, SALTS = 5, 48, 1024, 20, 8
+#: Shingles that are compared as a group, about.
+BLOCK_BYTES = 16 << 20
 _KEY_KIND = 1000
 
 
@@ -156,7 +159,8 @@ def similar_roots(sets: list[np.ndarray], threshold: float) -> list[int]:
     """For each set the first of its component, where sets with a Jaccard similarity of at least threshold are linked."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    values, edge = np.concatenate(sets), np.cumsum(size) - size
+    every, number = np.unique(np.concatenate(sets), return_inverse=True)
+    number, edge, asked = number.astype(np.int32), np.cumsum(size) - size, np.zeros(len(every), bool)
     root, left = [-1] * n, np.ones(n, bool)
     for i in range(n):
         if root[i] >= 0:
@@ -164,7 +168,10 @@ def similar_roots(sets: list[np.ndarray], threshold: float) -> list[int]:
         root[i], left[i], queue = i, False, [i]
         while queue and left.any():
             q = queue.pop()
-            common = np.add.reduceat(np.isin(values, sets[q]), edge)
+            own = number[edge[q] : edge[q] + size[q]]
+            asked[own] = True
+            common = np.add.reduceat(asked[number], edge, dtype=np.int64)
+            asked[own] = False
             near = np.flatnonzero(left & (common >= threshold * (size + size[q] - common) - 1e-12))
             for j in near.tolist():
                 root[j] = i
@@ -199,13 +206,16 @@ def _left_links(buckets: DataFrame, bands: DataFrame, comp: DataFrame, threshold
     sets = buckets.join(bands, "band", "left_semi").groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
     sets = sets.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     sets = ws.cut(sets)
-    n = sets.groupBy("band", "component").agg(F.count("*").alias("m"))
-    n = n.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"))
-    parts, chunks = (F.ceil(x / BUCKET).cast("int") for x in (F.col("n"), F.col("n") - F.col("most")))
+    # similar sets are similar in size: those of a class of sizes are compared with each other and with the next class
+    sized = sets.withColumn("class", F.floor(F.log(F.octet_length("shingles") / 8) / F.lit(-math.log(threshold))).cast("int"))
+    sized = sized.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("band", F.xxhash64("band", "class"))
+    n = sized.groupBy("band", "component").agg(F.count("*").alias("m"), F.sum(F.octet_length("shingles")).alias("b"))
+    n = n.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"), F.sum("b").alias("b"))
+    parts, chunks = (F.ceil(F.greatest(x / BUCKET, F.col("b") * x / F.col("n") / BLOCK_BYTES)).cast("int") for x in (F.col("n"), F.col("n") - F.col("most")))
     n = ws.cut(n.where("most < n").select("band", "main", parts.alias("parts"), chunks.alias("chunks")))
     if n.isEmpty():
         return None
-    open_ = sets.join(n, "band").withColumns({"part": F.pmod(F.xxhash64("key", "band"), "parts").cast("int"), "chunk": F.pmod(F.xxhash64("band", "key"), "chunks").cast("int")})
+    open_ = sized.join(n, "band").withColumns({"part": F.pmod(F.xxhash64("key", "band"), "parts").cast("int"), "chunk": F.pmod(F.xxhash64("band", "key"), "chunks").cast("int")})
     every = open_.withColumns({"stray": F.lit(False), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
     strays = open_.where("component <> main").withColumns({"stray": F.lit(True), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
     columns = ["band", "part", "chunk", "stray", "key", "component", "shingles"]
@@ -240,8 +250,8 @@ def joined_sets(buckets: DataFrame, threshold: float) -> DataFrame:
     ws = Workspace(buckets.sparkSession, "joined-sets")
     given = buckets
     buckets = given.groupBy("band", "key").agg(F.first("shingles").alias("shingles"))
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("hub0"), F.max("key").alias("hub1")).where("n > 1")
-    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"), F.min("key").alias("hub0"), F.max("key").alias("hub1")).where("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") / BUCKET, F.when(F.col("n") > 2, F.col("bytes") / BLOCK_BYTES).otherwise(F.lit(0.0)))).cast("int")
     part = F.when(F.col("key").isin(F.col("hub0"), F.col("hub1")), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "band"), parts).cast("int")))
     split = buckets.join(sizes, "band").select("band", "key", "shingles", F.explode(part).alias("part"), (parts > 1).alias("large"))
 

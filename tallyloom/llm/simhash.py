@@ -7,9 +7,8 @@ further level of masks, inside the bits that are still free, so that no task eve
 the fingerprints stand in order of Gray rank; runs of them are factored into inner nodes (shared bits, and a mask of where
 they are shared), and pairs of inner nodes whose accumulated differences exceed `most` are pruned with all that is below them.
 
-near_copies() is for corpora that are to be thinned out: fingerprints of five-word shingles, several of each text with
-independent hashes, and a radius that finds most texts of a Jaccard similarity of 0.8 (a fingerprint's bits differ by the angle between two texts);
-whatever meets is then compared by its shingles, exactly.
+near_copies() is for corpora that are to be thinned out: fingerprints of five-word shingles, linked as above, and MinHash bands beside them, for pairs whose
+fingerprints differ in more bits than an index can bridge; whatever meets is then compared by its shingles, exactly.
 
 Defined results: null, empty or blank text has fingerprint zero, linked like any other; fewer words than a shingle are one
 shingle; equal fingerprints link; repeated ids are one node; a row whose id is null has a null component; an empty
@@ -163,47 +162,6 @@ def _search(most: int):
     return scan
 
 
-def _families(most: int, group: int):
-    """Links within nodes of up to `group` fingerprints, and of all others to the least of their node; rows are ordered by key and fp.
-
-    At most a batch and `group` rows are held.
-    """
-
-    def out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    def settle(fp: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The links of whole nodes."""
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-        large = np.repeat(size > group, size)
-        yield out(fp[large], np.repeat(fp[first], size)[large])
-        yield out(*_links_of(fp[~large], key[~large], most))
-
-    def scan(batches):
-        held_fp, held_key, family = np.empty(0, np.uint64), np.empty(0, np.int64), None
-        for rows in batches:
-            fp, key = np.r_[held_fp, rows.column(0).to_numpy().view(np.uint64)], np.r_[held_key, rows.column(1).to_numpy()]
-            if family is not None and len(key):
-                n = int(np.searchsorted(key, family[0], "right"))
-                yield out(fp[:n], np.full(n, family[1]))
-                fp, key, family = fp[n:], key[n:], family if n == len(key) else None
-            if not len(key):
-                held_fp, held_key = fp, key
-                continue
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last node may go on
-            if cut:
-                yield from settle(fp[:cut], key[:cut])
-            held_fp, held_key = fp[cut:], key[cut:]
-            if len(held_key) > group:
-                yield out(held_fp[1:], np.full(len(held_fp) - 1, held_fp[0]))
-                family, held_fp, held_key = (held_key[0], held_fp[0]), held_fp[:0], held_key[:0]
-        if len(held_key):
-            yield from settle(held_fp, held_key)
-
-    return scan
-
-
 def links(fps: DataFrame, most: int = 2, group: int = GROUP) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that join all that differ in at most `most` bits.
 
@@ -239,25 +197,6 @@ def links(fps: DataFrame, most: int = 2, group: int = GROUP) -> DataFrame:
         free_of = {m % (1 << 64): (1 << 64) - 1 & ~(m % (1 << 64)) for m in present}
 
 
-def candidate_links(fps: DataFrame, most: int, group: int = GROUP) -> DataFrame:
-    """(u, v): links between fingerprints that join all of one table that differ in at most `most` bits, and maybe more.
-
-    fps: (t, fp), distinct: the fingerprints of several independent tables t, which are searched at once. One level of masks, as wide as a
-    table asks for: `kept` stretches of `most` + `kept` stand in a mask, so that a node has 64 fingerprints or fewer if they lie at random. A
-    larger node than `group` is then a family of texts, all of which become candidates of its least fingerprint, as they stream by;
-    callers compare candidates themselves.
-    """
-    ship(fps.sparkSession)
-    ws = Workspace(fps.sparkSession, "simhash-wide")
-    largest = fps.groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    wanted = max(1, largest // 64).bit_length()
-    kept = next(k for k in range(2, 64) if 64 * k // (most + k) >= min(wanted, 40))
-    masks = F.array(*[F.lit(signed(m)) for m in level_masks((1 << 64) - 1, most + kept, kept)])
-    nodes = fps.select("t", "fp", F.explode(masks).alias("mask")).select("fp", F.xxhash64("t", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    found = nodes.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_families(most, group), "u long, v long")
-    return ws.cut(found.distinct())
-
-
 def _shingles(text: bytes, words: int) -> np.ndarray:
     """XXH64 of a text's shingles, repeats included; those of an empty text are none."""
     w = text.lower().split()
@@ -290,61 +229,83 @@ def _stir(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, most: int = 5, tables: int = 6) -> DataFrame:
-    """(id, component_id) per row of docs: texts whose sets of shingles have a Jaccard similarity of at least threshold are linked.
+def bands_of(h: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(sets, bands): MinHash bands of sets of `sizes` hashes each (at least one), one after the other in h; bands of different places differ."""
+    out, edge = np.zeros((len(sizes), bands), np.uint64), np.cumsum(sizes) - sizes
+    low = h ^ (h >> np.uint64(31))
+    for b in range(bands):
+        for r in range(rows):
+            # shingles are hashes already: one multiplication orders them anew
+            seed = _stir(np.array([b * rows + r + 1], np.uint64), 4242)[0] | np.uint64(1)
+            out[:, b] = _stir(out[:, b] ^ np.minimum.reduceat((low ^ seed) * seed, edge), b + 500)
+    return out
+
 
-    A component is named by its smallest id. Texts with equal sets always meet; a pair at a similarity of 0.95, 0.9, 0.85, 0.8 meets, with 6 fingerprints
-    and 5 bits, with a probability of 1.00, 0.91, 0.62 and 0.33, alone; families of copies have more ways to come together. A wider radius finds more,
-    at a price that grows steeply with the table: 8 bits take 45 masks for each fingerprint of a small table, and 12,870 for one of 10^10 texts; 5 bits take 21 and 252.
-    A row without an id has no component.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.995, most: int = 2) -> DataFrame:
+    """(id, mark, component_id) per row of docs: texts whose sets of shingles have a Jaccard similarity of at least threshold are linked.
+
+    Texts meet if their fingerprints differ in at most `most` bits (see links), or in a MinHash band: 64 bits of SimHash alone can't tell a pair at 0.8,
+    which differs in some 10 bits, from others, unless by masks whose number grows steeply with the corpus. Bands are tuned to meet a pair at the threshold with a
+    probability of `recall` at least, alone (0.995; at 0.85 1 - 10^-4, at 0.9 1 - 10^-6); families of copies have more ways to come together. What meets at all is compared by its
+    shingles, exactly, so that only texts that are similar are ever joined; texts with equal sets always are.
+
+    A component is named by its smallest id. mark is a hash of the text, by which rows with one id and different texts are told apart. A row without an
+    id has no component; null and blank texts are one set.
     """
-    from tallyloom.llm.paragraphs import joined_sets
+    from tallyloom.llm.paragraphs import joined_sets, tune_bands
 
     ship(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "near-copies")
     kind = docs.schema[id_col].dataType
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    names = [f"fp{k}" for k in range(tables)]
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    n_bands, n_rows = tune_bands(threshold, recall, 128)
 
     def scan(batches):
-        for rows, texts in pieces(batches, "text"):
+        for rows, texts in pieces(batches, "text", 1 << 20):
             sets = [np.unique(_shingles(t, words)) for t in texts]
             full = np.flatnonzero([len(s) > 0 for s in sets])
-            made = {n: np.zeros(len(sets), np.uint64) for n in ("key", *names)}  # an empty text has zero throughout
+            key, fp, bands = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.zeros((len(sets), n_bands), np.uint64)  # zeros: an empty text
             if len(full):
                 h, sizes = np.concatenate([sets[i] for i in full.tolist()]), np.array([len(sets[i]) for i in full.tolist()])
-                made["key"][full] = np.add.reduceat(_stir(h, 999), np.cumsum(sizes) - sizes)
-                for k, n in enumerate(names):
-                    made[n][full] = majorities(_stir(h, k + 1), sizes)
-            yield with_columns(rows, ["text"], **{n: pa.array(v.view(np.int64)) for n, v in made.items()})
-
-    long = [T.StructField(n, T.LongType()) for n in ("key", *names)]
-    made = ws.cut(plain.mapInArrow(scan, T.StructType([T.StructField("id", kind), *long])))
-    sets = ws.cut(made.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(n).alias(n) for n in names]))
-    tables_of = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col(n).alias("fp")) for k, n in enumerate(names)]))
-    each = sets.select("key", tables_of.alias("x")).select("key", "x.t", "x.fp")
-    found = candidate_links(each.select("t", "fp").distinct(), most)
-    # a fingerprint stands for the least set that has it
-    first = ws.cut(each.groupBy("fp").agg(F.min("key").alias("first")))
-    equal = each.join(first, "fp").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+                key[full] = np.add.reduceat(_stir(h, 999), np.cumsum(sizes) - sizes)
+                fp[full] = majorities(_stir(h, 1), sizes)
+                bands[full] = bands_of(h, sizes, n_bands, n_rows)
+            edge = pa.array((np.arange(len(sets) + 1) * n_bands).astype(np.int32))
+            yield with_columns(rows, ["text"], key=pa.array(key.view(np.int64)), fp=pa.array(fp.view(np.int64)), bands=pa.ListArray.from_arrays(edge, pa.array(bands.ravel().view(np.int64))))
+
+    fields = [T.StructField("id", kind), T.StructField("mark", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    made = ws.cut(plain.mapInArrow(scan, T.StructType(fields)))
+    row = F.when(F.col("id").isNotNull(), F.struct("id", "mark"))
+    sets = ws.cut(made.groupBy("key").agg(F.min(row).alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    # everything that meets in a band, or by its fingerprint, is linked to the least set there
+    each = sets.select("key", F.explode("bands").alias("band"))
+    hubs = each.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top")
+    banded = each.join(hubs, "band").where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
+    first = ws.cut(sets.where("key <> 0").groupBy("fp").agg(F.min("key").alias("first")))
+    equal = sets.join(first, "fp").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+    found = links(first.select("fp"), most)
     meet = found.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
-    edges = ws.cut(equal.unionByName(meet.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct())
-    # what meets at all is compared by its shingles; the text of one row of each set is fetched again for that
+    edges = ws.cut(banded.unionByName(equal).unionByName(meet.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct())
+    ws.release()
+    # the text of one row of each set that met another is fetched again, and compared by its shingles
     clusters = connected_components(edges).withColumnRenamed("node", "key").join(sets.select("key", "rep"), "key").where("rep is not null")
-    fetched = plain.join(clusters.select(F.col("rep").alias("id"), "key", F.col("component").alias("band")), "id")
+    fetched = plain.join(clusters.select("rep.id", "rep.mark", "key", F.col("component").alias("band")), ["id", "mark"])
 
     def shingles(batches):
-        for rows, texts in pieces(batches, "text"):
-            yield with_columns(rows, ["id", "text"], shingles=pa.array([np.unique(_shingles(t, words)).tobytes() for t in texts], pa.binary()))
+        for rows, texts in pieces(batches, "text", 1 << 20):
+            sets = [np.unique(_shingles(t, words)) for t in texts]
+            keys = np.array([_stir(x, 999).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+            own = pa.array(keys == rows.column(0).to_numpy())  # texts of one id whose marks are equal by chance
+            yield with_columns(rows, ["text"], shingles=pa.array([x.tobytes() for x in sets], pa.binary())).filter(own)
 
-    buckets = ws.cut(fetched.select("id", "text", "key", "band").mapInArrow(shingles, "key long, band long, shingles binary"))
+    buckets = ws.cut(fetched.select("key", "band", "text").mapInArrow(shingles, "key long, band long, shingles binary"))
     ws.drop(first, edges)
     ws.release()
     same = joined_sets(buckets, threshold).withColumnRenamed("node", "key")
-    named = sets.select("key", "rep").join(same, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    # ids of the copies of a text are its set's: only sets with company are looked up
-    return made.select("id", "key").join(named.join(least, "c").select("key", "component_id"), "key").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = sets.select("key", "rep.id").join(same, "key", "left").select("key", "id", F.coalesce("component", "key").alias("c"))
+    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
+    by_key = named.join(least, "c").select("key", "component_id")
+    return made.select("id", "mark", "key").join(by_key, "key").select(F.col("id").alias(id_col), "mark", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 2) -> DataFrame:

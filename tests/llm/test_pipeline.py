@@ -24,6 +24,7 @@ def tables(spark, sf, tmp_path_factory):
         w[rng.randrange(len(w))] = "another"
         rows.append((6000 + i, " ".join(w)))
     rows += [(7000 + k, f"{long[14 + k][1]} {items[k][1]} and more words") for k in range(3)]
+    rows += [(7200, long[15][1]), (7200, "a text of its own that shares nothing but its id with the other")]
     rows += [(7100, long[17][1] + " Mr Žukov, a.b@mail.org"), (7101, None), (7102, ""), (None, long[18][1]), rows[3], (7103, long[19][1] * 20)]
     at = tmp_path_factory.mktemp("tables")
     docs = spark.createDataFrame([(i, t, len(t or ""), 0.5, "mine", 3, "s") for i, t in rows], COLUMNS)
@@ -43,22 +44,20 @@ def test_run(spark, tables):
     docs = spark.read.parquet(f"{at}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{at}/labels.parquet"), ~quality.held_out())
     kept = [(i, t) for i, t in rows if model.score(quality.features((t or "").encode())[None])[0] >= 0.3]
-    first = jaccard_components([(i, t) for i, t in kept if i is not None])
-    kept = [(i, t) for i, t in dict.fromkeys(kept) if i is None or first[i] == i]
+    kept = list(dict.fromkeys(kept))
+    first = jaccard_components([((i, n), t) for n, (i, t) in enumerate(kept) if i is not None])  # rows with one id are told apart
+    kept = [(i, t) for n, (i, t) in enumerate(kept) if i is None or first[i, n][0] == i]
     kept = [(i, t) for i, t in kept if decontaminate.brute_force(t, items)[1] == 0]
-    safe = {r.doc_id: r.text for r in pii.replace_checked(spark.createDataFrame(kept, "doc_id long, text string"), corpus_pipeline.queries.PII_KEY).collect()}
+    safe = {}
+    for r in pii.replace_checked(spark.createDataFrame(kept, "doc_id long, text string"), corpus_pipeline.queries.PII_KEY).collect():
+        safe.setdefault(r.doc_id, []).append(r.text)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = corpus_pipeline.run(spark, at)
-    # SimHash meets a pair at 0.83 with a probability of a half: and at 0.9 with one of 0.91: a few such copies may stay, none at 0.95 or more
-    closer = jaccard_components([(i, t) for i, t in rows if i is not None], threshold=0.95)
-    missed = {r.doc_id for r in out.select("doc_id").collect()} - {i for i, _ in kept}
-    assert len(missed) <= 4 and all(closer[i] == i for i in missed)
-    out = out.where(~F.coalesce(F.col("doc_id").isin(*missed, -1), F.lit(False)))
     assert out.columns == [*docs.columns, "token_ids"]
     got = out.collect()
     assert sorted((r.doc_id or -1) for r in got) == sorted((i or -1) for i, _ in kept)
     for r in got:
-        assert r.text == safe[r.doc_id] and (r.score, r.hit_spans, r.n_entities, r.source) == (0.5, "mine", 3, "s")
+        assert r.text in safe[r.doc_id] and (r.score, r.hit_spans, r.n_entities, r.source) == (0.5, "mine", 3, "s")
         assert r.n_chars == (None if r.text is None else len(r.text))
         assert list(r.token_ids) == library.encode(r.text or "", add_special_tokens=False).ids
     assert not any(x in r.text for r in got if r.text for x in ("Žukov", "a.b@mail.org"))
