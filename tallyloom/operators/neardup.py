@@ -3,17 +3,27 @@
 Equal token sequences (by SHA-256) are one vector, named by its smallest id, so copies never multiply pairs. Terms are ordered by
 document frequency, rare first. Let t be the first term that two unit vectors share: their cosine is at most |x from t on| * |y from t on|.
 So a pair that reaches the threshold shares a term at which the product of what remains of both does, and candidates are just such pairs.
-A term that many vectors have in their prefixes is dealt out by salt.
+A term that many vectors have in their prefixes is dealt out by salt. A vector is packed into one row, so that a pair is compared in one place;
+groups need links that join what is similar, not all pairs, so families are compared with leaders first.
+
+Terms are named by hashes of 64 bits. A null text has no tokens; texts without tokens are in no group; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.graph import connected_components
+from tallyloom.session import ship
 from tallyloom.storage import Workspace
 
+#: What rounding may take from a cosine.
+EPS = 1e-9
 #: Accent stripping as far as it is a character map: lower-case Latin letters and what remains of them.
 _ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -25,47 +35,178 @@ def tokens(c):
     return F.regexp_extract_all(plain, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 
-def grams(t):
-    """1-grams and 2-grams of an array of tokens."""
-    two = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(1))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(t, two)
+def gram_hashes(t):
+    """Hashes of the 1-grams and 2-grams of an array of tokens."""
+    two = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return F.concat(F.transform(t, lambda a: F.xxhash64(a)), two)
+
 
+def tfidf(texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """((id, vec) of every text with tokens, (vec, terms, weights, prefix) of every distinct vector).
 
-def tfidf(texts: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((id, vec) of every text with tokens, (vec, term, w, df) of every distinct vector): sublinear tf, smooth idf, unit length."""
+    Sublinear tf, smooth idf, unit length; a vector is a row, its terms (64-bit hashes) ascending with their weights. prefix has (term, rest) of the
+    terms from which on the vector can still reach the threshold: rest is the squared length of what remains from that term on, rare terms first.
+    """
+    ship(texts.sparkSession)
     ws = Workspace(texts.sparkSession, "tfidf")
     seq = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    ids = ws.cut(seq.withColumn("kind", F.sha2(F.array_join("t", " "), 256)))
-    kinds = ids.where(F.size("t") > 0).groupBy("kind").agg(F.count("*").alias("copies"), F.min("id").alias("vec"), F.first("t").alias("t"))
-    n = ids.count()
-    tf = kinds.select("vec", "copies", F.explode(grams(F.col("t"))).alias("term")).groupBy("vec", "copies", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    ids = ws.cut(seq.select("id", F.sha2(F.array_join("t", " "), 256).alias("kind"), gram_hashes(F.col("t")).alias("g")))
+    full, n = ids.where(F.size("g") > 0), ids.count()
+    kinds = full.groupBy("kind").agg(F.count("*").alias("copies"), F.min("id").alias("vec"), F.first("g").alias("g"))
+    vec = next(f for f in kinds.schema.fields if f.name == "vec")
+    counted = kinds.select("vec", "copies", "g").mapInArrow(_counted, T.StructType([vec, T.StructField("copies", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("terms", "times"))]))
+    tf = counted.select("vec", "copies", F.inline(F.arrays_zip("terms", "times"))).withColumnRenamed("terms", "term")
     df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
-    w = tf.join(df, "term").select("vec", "term", "df", (F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)).alias("w"))
-    norm = w.groupBy("vec").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    named = ids.groupBy("kind").agg(F.min("id").alias("vec"))
-    return ids.where(F.size("t") > 0).select("id", "kind").join(named, "kind").select("id", "vec"), ws.cut(w.join(norm, "vec").select("vec", "term", "df", (F.col("w") / F.col("norm")).alias("w")))
+    weight = (1 + F.log("times")) * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
+    rows = tf.select("vec", "term", "times").join(df, "term").select("vec", "term", "df", weight.alias("w")).repartition("vec").sortWithinPartitions("vec")
+    pairs = T.ArrayType(T.StructType([T.StructField("term", T.LongType()), T.StructField("rest", T.DoubleType())]))
+    schema = T.StructType([vec, T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("prefix", pairs)])
+    packed = ws.cut(rows.mapInArrow(lambda batches: map(lambda b: _packed(b, threshold), _whole(batches)), schema))
+    named = full.groupBy("kind").agg(F.min("id").alias("vec"))
+    return full.select("id", "kind").join(named, "kind").select("id", "vec"), packed
+
+
+def _counted(batches):
+    """(vec, copies, terms, times) of (vec, copies, a list of terms), each term once."""
+    for batch in batches:
+        lists = batch.column(2)
+        edge = lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+        term, row = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(edge))
+        order = np.lexsort((term, row))
+        term, row = term[order], row[order]
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])]) if len(term) else np.empty(0, np.int64)
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(row[first], minlength=batch.num_rows))].astype(np.int32))
+        made = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term[first], np.diff(np.r_[first, len(term)]))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["vec", "copies", "terms", "times"])
+
+
+def _whole(batches):
+    """Batches of rows that are ordered by their first column, cut anew so that rows of one value are in one batch."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0)
+        last = pc.index(pc.equal(key, key[-1]), True).as_py()  # the last value may go on
+        if last == 0 and (not held or held[-1].column(0)[-1] == key[-1]):
+            held.append(batch)
+            continue
+        if last == 0:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        else:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()[0]
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _packed(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
+    """(vec, terms, weights, prefix), a row for each vec, of rows (vec, term, df, w) that are ordered by vec."""
+    vec = batch.column(0)
+    edge = np.r_[0, 1 + np.flatnonzero(pc.not_equal(vec[1:], vec[:-1]).to_numpy(zero_copy_only=False)), batch.num_rows]
+    term, df, w = (x.to_numpy() for x in batch.columns[1:])
+    row, n = np.repeat(np.arange(len(edge) - 1), np.diff(edge)), len(edge) - 1
+    w = w / np.sqrt(np.add.reduceat(w * w, edge[:-1]))[row]
+    by_term = np.lexsort((term, row))
+    rare = np.lexsort((term, df, row))
+    square = (w * w)[rare]
+    upto = np.r_[0.0, np.cumsum(square)]
+    rest = upto[edge[1:]][row] - upto[:-1]  # row is the same in either order
+    held = rest >= threshold * threshold - EPS
+    pairs = pa.StructArray.from_arrays([pa.array(term[rare][held]), pa.array(rest[held])], names=["term", "rest"])
+    ends, prefix_ends = pa.array(edge.astype(np.int32)), pa.array(np.r_[0, np.cumsum(np.bincount(row[held], minlength=n))].astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [vec.take(pa.array(edge[:-1])), pa.ListArray.from_arrays(ends, pa.array(term[by_term])), pa.ListArray.from_arrays(ends, pa.array(w[by_term])), pa.ListArray.from_arrays(prefix_ends, pairs)],
+        names=["vec", "terms", "weights", "prefix"],
+    )
+
+
+def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, cosine) of the pairs (u, v) whose vectors have a cosine of at least threshold: a pair meets both vectors in one row."""
+
+    def compare(batches):
+        for batch in batches:
+            u, v, *lists = batch.columns
+            terms_u, terms_v = (x.flatten().to_numpy() for x in lists[::2])
+            weights_u, weights_v = (x.flatten().to_numpy() for x in lists[1::2])
+            ends_u, ends_v = (x.offsets.to_numpy() - x.offsets.to_numpy()[0] for x in lists[::2])
+            cosine = np.zeros(batch.num_rows)
+            for i in range(batch.num_rows):
+                a, b = slice(ends_u[i], ends_u[i + 1]), slice(ends_v[i], ends_v[i + 1])
+                x, y = terms_u[a], terms_v[b]
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                same = x[at] == y
+                cosine[i] = weights_u[a][at[same]] @ weights_v[b][same]
+            out = pa.RecordBatch.from_arrays([u, v, pa.array(cosine)], names=["u", "v", "cosine"])
+            yield out.filter(pa.array(cosine >= threshold - EPS))
+
+    side = lambda c: vectors.select(F.col("vec").alias(c), F.col("terms").alias(f"terms_{c}"), F.col("weights").alias(f"weights_{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "terms_u", "weights_u", "terms_v", "weights_v")
+    return both.mapInArrow(compare, T.StructType([*pairs.select("u", "v").schema.fields, T.StructField("cosine", T.DoubleType())]))
+
+
+def _met(vectors: DataFrame, part: int) -> DataFrame:
+    """(term, vec, rest, parts): the prefix terms that several vectors have; a term in n prefixes is dealt out to n / part tasks."""
+    prefix = vectors.select("vec", F.inline("prefix"))
+    common = prefix.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    return prefix.join(common, "term")
+
+
+def _pairs(some: DataFrame, every: DataFrame, threshold: float, differ=None) -> DataFrame:
+    """(u, v), u < v: of two tables of prefix terms the vectors that share a term from which on both can reach the threshold."""
+    left = every.withColumn("salt", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int")).drop("parts")
+    right = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left, right = left.alias("a"), right.alias("b")
+    on = (F.col("a.term") == F.col("b.term")) & (F.col("a.salt") == F.col("b.salt"))
+    near = (F.col("a.vec") != F.col("b.vec")) & (F.col("a.rest") * F.col("b.rest") >= threshold * threshold - EPS)
+    met = left.join(right, on).where(near if differ is None else near & differ)
+    return met.select(F.least("a.vec", "b.vec").alias("u"), F.greatest("a.vec", "b.vec").alias("v")).distinct()
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = 0.8, part: int = 512) -> DataFrame:
-    """(u, v, cosine) of distinct vectors with a cosine of at least threshold, u < v; vectors: as tfidf gives them.
+    """(u, v, cosine) of all distinct vectors with a cosine of at least threshold, u < v; vectors: as tfidf gives them.
 
-    A term in n prefixes is compared in n / part tasks' worth of rows: one side is dealt by salt, the other goes to every salt.
+    A family of n variants has up to n^2 / 2 pairs, which this lists; components need fewer, see vector_components.
     """
+    _check(threshold)
+    met = Workspace(vectors.sparkSession, "similar").cut(_met(vectors, part))
+    return verified(_pairs(met, met, threshold), vectors, threshold)
+
+
+def vector_components(vectors: DataFrame, threshold: float = 0.8, part: int = 512) -> DataFrame:
+    """(node, component): the components of vectors with a cosine of at least threshold, for vectors that have company.
+
+    Where vectors share a prefix term, all are first compared with two leaders. What is then outside a term's largest component is
+    compared with all of the term's vectors in other components. So a family of n variants takes some n comparisons, and pairs that
+    what is known doesn't join are all compared.
+    """
+    _check(threshold)
+    ws = Workspace(vectors.sparkSession, "linked")
+    met = ws.cut(_met(vectors, part))
+    row, by = F.struct("vec", "rest"), F.xxhash64("vec")
+    lead = met.groupBy("term").agg(F.array(F.min_by(row, by), F.max_by(row, by)).alias("lead"))
+    led = met.join(lead, "term").select("vec", "rest", F.explode("lead").alias("l")).where((F.col("vec") != F.col("l.vec")) & (F.col("rest") * F.col("l.rest") >= threshold * threshold - EPS))
+    pairs = led.select(F.least("vec", "l.vec").alias("u"), F.greatest("vec", "l.vec").alias("v")).distinct()
+    comp = ws.cut(connected_components(verified(pairs, vectors, threshold).select("u", "v")))
+    open_ = ws.cut(_open(met, comp))
+    main = open_.groupBy("term", "component").agg(F.count("*").alias("m")).groupBy("term").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
+    strays = open_.join(main, "term").where("component <> main").drop("main")
+    rest = ws.cut(verified(_pairs(strays, open_, threshold, F.col("a.component") != F.col("b.component")), vectors, threshold))
+    if rest.isEmpty():
+        return comp
+    return connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest.select("u", "v")))
+
+
+def _open(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of prefix terms whose vectors are of several components, with their component."""
+    known = met.join(comp.select(F.col("node").alias("vec"), "component"), "vec", "left").withColumn("component", F.coalesce("component", "vec"))
+    several = known.groupBy("term").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("term")
+    return known.join(several, "term").select("term", "vec", "rest", "parts", "component")
+
+
+def _check(threshold: float) -> None:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    eps = 1e-9
-    least = threshold * threshold - eps
-    tail = Window.partitionBy("vec").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(tail)).where(F.col("rest") >= least).select("vec", "term", "rest")
-    # a prefix term that one vector has meets no other
-    common = prefix.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    hot = prefix.join(common, "term")
-    left = hot.select("term", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("salt"), F.col("vec").alias("u"), F.col("rest").alias("ru"))
-    right = hot.select("term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("vec").alias("v"), F.col("rest").alias("rv"))
-    pairs = left.join(right, ["term", "salt"]).where((F.col("u") < F.col("v")) & (F.col("ru") * F.col("rv") >= least)).select("u", "v").distinct()
-    left, right = vectors.select(F.col("vec").alias("u"), "term", F.col("w").alias("a")), vectors.select(F.col("vec").alias("v"), "term", F.col("w").alias("b"))
-    scored = pairs.join(left, "u").join(right, ["v", "term"]).groupBy("u", "v").agg(F.sum(F.col("a") * F.col("b")).alias("cosine"))
-    return scored.where(F.col("cosine") >= threshold - eps)
 
 
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, id_col: str = "review_id", order_col: str = "source_row_index", text_col: str = "review_text") -> DataFrame:
@@ -74,9 +215,8 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, id_col: str
     Groups are numbered from 0 in the order of their first member; the representative is the longest text, the first of
     those. Texts without tokens are in no group.
     """
-    ids, vectors = tfidf(texts, id_col, text_col)
-    links = similar_vectors(vectors, threshold)
-    comp = connected_components(links.select("u", "v"))
+    ids, vectors = tfidf(texts, id_col, text_col, threshold)
+    comp = vector_components(vectors, threshold)
     member = ids.join(comp.withColumnRenamed("node", "vec"), "vec", "left").select(F.col("id").alias(id_col), F.coalesce("component", "vec").alias("c"))
     facts = member.join(texts.select(id_col, order_col, F.char_length(text_col).alias("_len")), id_col)
     groups = facts.groupBy("c").agg(F.count("*").alias("near_dup_group_size"), F.min(order_col).alias("_first"), F.max_by(id_col, F.struct("_len", -F.col(order_col))).alias("_rep")).where("near_dup_group_size > 1")

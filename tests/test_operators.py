@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,97 @@ def test_near_duplicates_brute_force(spark):
     assert set(got) == near and {g[1] for g in got.values()} == {len(near)} and sum(g[2] for g in got.values()) == 1
 
 
+def brute_components(texts, threshold):
+    """Row -> least row of its component, by all pairs."""
+    import math
+    import re
+    from collections import Counter
+
+    cut = [re.findall(r"\b\w\w+\b", t.lower()) for t in texts]
+    grams = [Counter([*t, *zip(t, t[1:], strict=False)]) for t in cut]
+    dfs, n = Counter(g for c in grams for g in c), len(texts)
+    vec = []
+    for c in grams:
+        v = {g: (1 + math.log(k)) * (math.log((1 + n) / (1 + dfs[g])) + 1) for g, k in c.items()}
+        z = math.sqrt(sum(x * x for x in v.values())) or 1
+        vec.append({g: x / z for g, x in v.items()})
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = set()
+    for i in range(n):
+        for j in range(i):
+            if vec[i] and sum(x * vec[j].get(g, 0) for g, x in vec[i].items()) >= threshold - 1e-9:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                pairs.add((j, i))
+    return [find(i) for i in range(n)], pairs
+
+
+def made_texts(seed, n=160):
+    """Families of variants, chains that drift away from their first text, and texts that share a long common passage."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts, common = [], [word() for _ in range(12)]
+    for _ in range(6):
+        base = [word() for _ in range(rng.randint(5, 40))]
+        now = list(base)
+        for k in range(12):
+            v = list(base)
+            for _ in range(rng.randint(0, 4)):
+                v[rng.randrange(len(v))] = word()
+            now[k % len(now)] = word()
+            texts += [" ".join(v), " ".join(now)]
+    texts += [" ".join(common + [word() for _ in range(rng.randint(1, 12))]) for _ in range(n - len(texts) - 4)]
+    texts += ["", "x", texts[0], texts[3]]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "threshold", "part"), [(1, 0.8, 512), (2, 0.6, 3), (3, 0.9, 5)])
+def test_vector_components_and_pairs_equal_brute_force(spark, seed, threshold, part):
+    texts = made_texts(seed)
+    want, pairs = brute_components(texts, threshold)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
+    ids, vectors = neardup.tfidf(df, "i", "t", threshold)
+    vec = {r.id: r.vec for r in ids.collect()}
+    comp = {r.node: r.component for r in neardup.vector_components(vectors, threshold, part).collect()}
+    for i in vec:
+        for j in vec:
+            assert (comp.get(vec[i], vec[i]) == comp.get(vec[j], vec[j])) == (want[i] == want[j])
+    named = {tuple(sorted((vec[i], vec[j]))) for i, j in pairs if vec[i] != vec[j]}
+    assert {(r.u, r.v) for r in neardup.similar_vectors(vectors, threshold, part).collect()} == named
+
+
+def test_a_family_is_compared_with_leaders_not_in_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(1500):
+        v = list(base)
+        v[rng.randrange(150)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id long, review_text string").withColumn("source_row_index", F.col("review_id"))
+    asked, plain = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *a: (asked.append(pairs.count()), plain(pairs, *a))[1])
+    got = neardup.near_duplicate_groups(df, 0.6)
+    assert got.count() == 1500 and got.select("near_dup_group_id").distinct().count() == 1
+    assert sum(asked) < 20 * 1500, asked  # of 1,124,250 pairs
+
+
+def test_near_duplicates_of_awkward_tables(spark):
+    schema = "review_id string, review_text string, source_row_index long, vec int, term int, id int"
+    rows = [("a", None, 0, 1, 1, 1), ("b", "", 1, 1, 1, 1), ("c", "one word more", 2, 1, 1, 1), ("d", "One word, more!", 3, 1, 1, 1), ("e", "word " * 20000, 4, 1, 1, 1), ("f", "word", 5, 1, 1, 1)]
+    got = neardup.near_duplicate_groups(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.review_id, r.near_dup_group_id, r.is_near_dup_representative) for r in got) == [("c", 0, False), ("d", 0, True)]
+    assert neardup.near_duplicate_groups(spark.createDataFrame([], schema)).count() == 0
+    with pytest.raises(ValueError, match="threshold"):
+        neardup.vector_components(spark.createDataFrame([], schema), 0.0)
+
+
 def test_keyed_store(spark, tmp_path):
     s = tables.KeyedStore(spark, str(tmp_path / "s"), "m1", "value string")
     s.add(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), 1)
