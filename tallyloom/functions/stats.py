@@ -8,6 +8,8 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from tallyloom.ordered import at_ranks
 from pyspark.sql import types as T
 
 ALPHA = 0.05
@@ -100,14 +102,9 @@ def months_needed(total: Column, monthly: Column) -> Column:
 
 
 def floor_percentile(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """The sorted values at positions min(int(n * f), n - 1): found by running counts of the distinct values, not by collecting them."""
-    by = by or []
-    d = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
-    fam = Window.partitionBy(*by, "_all")
-    counts = d.groupBy(*by, "_all", F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    run = counts.withColumn("_to", F.sum("_n").over(fam.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_m", F.sum("_n").over(fam))
-    at = lambda f: F.least(F.floor(F.col("_m") * F.lit(f)), F.col("_m") - 1)
-    return run.groupBy(*by, "_all").agg(*[F.min(F.when(F.col("_to") > at(f), F.col("_v"))).alias(f"p{round(f * 100):02d}") for f in shares]).drop("_all")
+    """The sorted values at positions min(int(n * f), n - 1), by running counts over range partitions (see ordered.at_ranks)."""
+    at = {f"p{round(f * 100):02d}": F.least(F.floor(F.col("_m") * F.lit(f)), F.col("_m") - 1) for f in shares}
+    return at_ranks(df, value, at, by or []).drop("_m")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.ordered import numbers_within
 
 CLEAN_COLUMNS = [
     "review_id", "source_row_index", "platform", "rating", "rating_bucket", "review_date", "year", "month", "year_month", "review_raw",
@@ -62,14 +63,14 @@ def annotate(raw: DataFrame, formats: Sequence[str], min_chars: int = 10, cap: i
 
 
 def number_collisions(df: DataFrame, base: str = "base_id", order: str = "source_row_index", out: str = "review_id") -> DataFrame:
-    """The first of equal ids keeps it, the others get -1, -2, ..."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1
-    return df.withColumn("_n", n).withColumn(out, F.when(F.col("_n") > 0, F.concat(base, F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(base))).drop("_n", base)
+    """The first of equal ids keeps it, the others get -1, -2, ...; an id that many rows have is numbered by many tasks."""
+    n = F.col("_n") - 1
+    return numbers_within(df, [base], [order], "_n").withColumn(out, F.when(n > 0, F.concat(base, F.lit("-"), n.cast("string"))).otherwise(F.col(base))).drop("_n", base)
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str], out: str = "is_first") -> DataFrame:
-    """Whether a row is the first of its key."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+    """Whether a row is the first of its key; a key that many rows have is dealt out by its order."""
+    return numbers_within(df, keys, order, "_n").withColumn(out, F.col("_n") == 1).drop("_n")
 
 
 def build_clean(raw: DataFrame, formats: Sequence[str], threshold: float = 0.8, **options) -> DataFrame:

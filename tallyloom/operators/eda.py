@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import ratio
+from tallyloom.ordered import linear_percentiles
 
 #: Words of text analysis that say nothing about a subject; a fixed list, of two or more letters.
 # Words that are no terms, unless a caller brings a list.
@@ -95,12 +96,14 @@ def top_terms(r: DataFrame, text: str, n: int = 25, stopwords: list[str] = STOPW
 
 def length_stats(r: DataFrame) -> DataFrame:
     """A15."""
-    return r.groupBy("platform").agg(F.percentile("char_len", F.lit(0.5)).alias("median_chars"), F.avg("char_len").alias("mean_chars"), (F.avg(F.col("is_truncated").cast("double")) * 100).alias("pct_truncated"))
+    means = r.groupBy("platform").agg(F.avg("char_len").alias("mean_chars"), (F.avg(F.col("is_truncated").cast("double")) * 100).alias("pct_truncated"))
+    median = linear_percentiles(r, "char_len", {"median_chars": 0.5}, ["platform"]).withColumnRenamed("platform", "_p")
+    return means.join(median, F.col("platform").eqNullSafe(F.col("_p")), "left").select("platform", "median_chars", "mean_chars", "pct_truncated")
 
 
 def length_tails(r: DataFrame) -> DataFrame:
     """P10: rows at or below the 5th, or at or above the 95th percentile of length, with `tail`."""
-    cut = r.agg(F.percentile("char_len", F.lit(0.05)).alias("_lo"), F.percentile("char_len", F.lit(0.95)).alias("_hi"))
+    cut = linear_percentiles(r, "char_len", {"_lo": 0.05, "_hi": 0.95})
     tail = F.when(F.col("char_len") <= F.col("_lo"), "short").when(F.col("char_len") >= F.col("_hi"), "long")
     return r.crossJoin(F.broadcast(cut)).withColumn("tail", tail).where("tail is not null").drop("_lo", "_hi")
 

@@ -81,12 +81,13 @@ def _stored(store: KeyedStore, reviews: DataFrame) -> DataFrame:
 
 def enrich_corpus(
     reviews: DataFrame, system: str, tax: Taxonomy, provider: Provider, store: KeyedStore | None = None, size: int = 5, concurrency: int = 8,
-    waves: int = 1, attempts: int = 3, limit: int = 5, retry_missing: bool = True, read_through: bool = True,
+    save_every: int = 25, attempts: int = 3, limit: int = 5, retry_missing: bool = True, read_through: bool = True,
 ) -> Enriched:
     """Payloads for reviews (review_id, review_text), each id once.
 
     What the store has is not asked again (read_through=False asks all, and still stores). `concurrency` tasks send the requests of a
-    wave; after each wave its payloads are stored, so that a run that is started again goes on from there. A task stops sending after
+    wave, `save_every` each at most; after each wave its payloads are stored, so that a run that is started again goes on from there, and a job that dies loses
+    `save_every` requests of each task. Requests are packed by range partitions, however many rows there are. A task stops sending after
     `limit` fatal errors in a row; the run then stores what it has and raises RunAborted. Reviews without a payload are asked
     once more, one to a request, unless an error was fatal.
     """
@@ -98,10 +99,12 @@ def enrich_corpus(
     parts: list[Enriched] = []
     requests = 0
 
-    def ask(pending: DataFrame, size: int, waves: int) -> bool:
+    def ask(pending: DataFrame, size: int) -> bool:
         nonlocal requests
         fatal = False
-        asked = ws.cut(chunk(pending, size, concurrency).withColumn("_wave", F.pmod(F.xxhash64("group_id"), F.lit(waves))))
+        asked = ws.cut(chunk(pending, size))
+        waves = max(1, -(-asked.select("group_id").distinct().count() // (save_every * concurrency)))
+        asked = ws.cut(asked.withColumn("_wave", F.pmod(F.xxhash64("group_id"), F.lit(waves))))
         for wave in range(waves):
             now = asked.where(F.col("_wave") == wave)
             messages = user_messages(now).repartition(concurrency, "group_id")
@@ -117,11 +120,11 @@ def enrich_corpus(
                 raise RunAborted(f"{n.fatal} requests failed for good, {n.unsent} weren't sent: {n.why}")
         return fatal
 
-    fatal = ask(pending, size, waves)
+    fatal = ask(pending, size)
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     missing = ws.cut(pending.join(union([p.items.select("review_id") for p in parts]), "review_id", "left_anti"))
     if retry_missing and not fatal and not missing.isEmpty():
-        ask(missing, 1, 1)
+        ask(missing, 1)
     items = _stored(store, texts) if use else union([p.items for p in parts])
     return Enriched(items, union([p.issues for p in parts]), texts.select("review_id").join(items.select("review_id"), "review_id", "left_anti"), hits, requests)
 
@@ -139,9 +142,9 @@ class BatchClient(Protocol):
         """Where the lines are: group_id, outcome ("succeeded" or another), reply, detail, in any order."""
 
 
-def submit_batch(reviews: DataFrame, system: str, client: BatchClient, folder: str, size: int = 5, groups: int = 8) -> str:
+def submit_batch(reviews: DataFrame, system: str, client: BatchClient, folder: str, size: int = 5) -> str:
     """Write the requests and which reviews each has into the folder, submit them; returns the batch's id."""
-    chunk(reviews.select("review_id", "review_text"), size, groups).select("group_id", "member", "review_id", "review_text").write.mode("overwrite").parquet(f"{folder}/asked")
+    chunk(reviews.select("review_id", "review_text"), size).select("group_id", "member", "review_id", "review_text").write.mode("overwrite").parquet(f"{folder}/asked")
     asked = reviews.sparkSession.read.parquet(f"{folder}/asked")
     user_messages(asked).select("group_id", "message").write.mode("overwrite").json(f"{folder}/requests")
     return client.submit(f"{folder}/requests", system)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import jaccard, ratio, wilson
 from tallyloom.functions.text import first_percent
+from tallyloom.ordered import hash_order
 from tallyloom.operators.labels import schema_valid, stratified_sample, taxonomy_issues, with_grounding
 from tallyloom.sources.config import Taxonomy
 
@@ -134,8 +135,8 @@ def gold_sample(reviews: DataFrame, disagree: DataFrame, n_random: int = 100, n_
     """A stratified random part and a disjoint part of hard cases, with `stratum`, in shuffled order."""
     base = stratified_sample(reviews, n_random, by or ["platform", "rating_bucket"], seed=seed).withColumn("stratum", F.lit("random"))
     hard = reviews.join(disagree, "review_id", "left_semi").join(base.select("review_id"), "review_id", "left_anti")
-    hard = hard.orderBy(F.xxhash64(F.lit(seed + 1), "review_id"), "review_id").limit(n_hard).withColumn("stratum", F.lit("disagreement"))
-    return base.unionByName(hard).orderBy(F.xxhash64(F.lit(seed + 2), "review_id"), "review_id")
+    hard = hard.orderBy(hash_order("review_id", seed + 1), "review_id").limit(n_hard).withColumn("stratum", F.lit("disagreement"))
+    return base.unionByName(hard).orderBy(hash_order("review_id", seed + 2), "review_id")
 
 
 TEMPLATE_FIELDS = ["labels", "sentiment", "severity", "customer_intent", "support_escalation", "notes"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import ratio
 from tallyloom.functions.text import grounding, outermost_json
+from tallyloom.ordered import hash_order, hash_sample
 from tallyloom.sources.config import Taxonomy
 
 AREA = "struct<product_area:string,issue_type:string,strength_type:string,evidence_span:string,confidence:double>"
@@ -124,20 +125,22 @@ def run_report(requested: DataFrame, reviews: DataFrame, issues: DataFrame) -> D
 
 def stratified_sample(df: DataFrame, n: int, by: list[str], id_col: str = "review_id", seed: int = 42) -> DataFrame:
     """About n rows, every stratum in proportion (share rounded half to even), in hash order: the same rows every time."""
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
     sizes = df.groupBy(*by).agg(F.count("*").alias("_m"))
     total = df.agg(F.count("*").alias("_t"))
     quota = sizes.crossJoin(F.broadcast(total)).select(*by, F.bround(F.col("_m") * F.least(F.lit(1.0), F.lit(float(n)) / F.col("_t"))).alias("_q"))
-    picked = df.join(quota, by).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(h, id_col))).where("_r <= _q").drop("_r", "_q")
-    return picked.orderBy(h, id_col).limit(n)
+    return hash_sample(df, quota, by, id_col, seed).orderBy(hash_order(id_col, seed), id_col).limit(n)
 
 
-def chunk(df: DataFrame, size: int, groups: int, id_col: str = "review_id") -> DataFrame:
-    """Df with (group_id, member): ids hashed into groups, each cut into requests of at most `size`; no order over all rows is made."""
-    d = df.withColumn("_g", F.pmod(F.xxhash64(id_col), F.lit(groups)))
-    n = F.row_number().over(Window.partitionBy("_g").orderBy(id_col)) - 1
-    d = d.withColumn("_n", n)
-    return d.withColumn("group_id", F.concat_ws("-", "_g", F.floor(F.col("_n") / size))).withColumn("member", F.col("_n") % size).drop("_g", "_n")
+def chunk(df: DataFrame, size: int, id_col: str = "review_id") -> DataFrame:
+    """Df with (group_id, member): rows in the order of their ids, cut into requests of `size` within each range partition (its last may be smaller).
+
+    A row's place in its partition is what Spark numbers as it streams by, so requests are packed by as many tasks as there are partitions, without
+    a window. Which rows share a request depends on the partitions: write the result before it is used twice.
+    """
+    place = F.monotonically_increasing_id()  # the partition in the upper bits, the place in it in the lower 33
+    d = df.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("_at", place)
+    part, at = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.withColumn("group_id", F.concat_ws("-", part, F.floor(at / size))).withColumn("member", at % size).drop("_at")
 
 
 def system_prompt(tax: Taxonomy, noun: str = "review") -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.graph import connected_components
+from tallyloom.ordered import dense_numbers
 from tallyloom.session import ship
 from tallyloom.storage import Workspace
 
@@ -222,16 +223,3 @@ def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, id_col: str
     groups = facts.groupBy("c").agg(F.count("*").alias("near_dup_group_size"), F.min(order_col).alias("_first"), F.max_by(id_col, F.struct("_len", -F.col(order_col))).alias("_rep")).where("near_dup_group_size > 1")
     numbered = dense_numbers(groups, "_first", "near_dup_group_id")
     return facts.join(numbered, "c").select(id_col, "near_dup_group_id", "near_dup_group_size", (F.col(id_col) == F.col("_rep")).alias("is_near_dup_representative"))
-
-
-def dense_numbers(df: DataFrame, order: str, out: str) -> DataFrame:
-    """0, 1, 2, ... in the order of a unique column, without a single-task window: a range sort, then an offset for each range.
-
-    The offsets are one row for each range partition, which bounds what is broadcast.
-    """
-    ws = Workspace(df.sparkSession, "numbers")
-    ranged = ws.cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    offset = sizes.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return ranged.withColumn("_row", local).join(F.broadcast(offset), "_part").withColumn(out, (F.col("_offset") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_offset")

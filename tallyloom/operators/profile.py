@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import floor_percentile, ratio
+from tallyloom.ordered import linear_percentiles
 
 SENTINELS = ["nan", "null", "none", "na", "n/a"]
 
@@ -20,11 +21,15 @@ def dataset_profile(r: DataFrame) -> DataFrame:
 
 
 def describe(r: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Min, p10, median, mean, p90, p99, max with linear interpolation."""
-    v = F.col(value)
-    p = lambda f: F.percentile(v, F.lit(f))
-    aggs = [F.min(v).alias("min"), p(0.1).alias("p10"), p(0.5).alias("median"), F.avg(v).alias("mean"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max(v).alias("max")]
-    return r.groupBy(*by).agg(*aggs) if by else r.agg(*aggs)
+    """Min, p10, median, mean, p90, p99, max with linear interpolation; a group without values has nulls."""
+    by, v = by or [], F.col(value)
+    ends = r.groupBy(*by).agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    found = linear_percentiles(r, value, {"p10": 0.1, "median": 0.5, "p90": 0.9, "p99": 0.99}, by)
+    found = found.withColumnsRenamed({c: f"_by_{i}" for i, c in enumerate(by)})
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
+    return ends.join(found, on, "left").select(*by, "min", "p10", "median", "mean", "p90", "p99", "max")
 
 
 def describe_floor(r: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

@@ -663,7 +663,15 @@ def label_pairs(spark, sf_dir):
     return labels.label_pairs(item_labels(spark, sf_dir))
 
 
-@query()
+def sample_sql(source: str, n: int, by: str, seed: int = 42) -> str:
+    """Rows of a sample in proportion, in md5 order, as tables quota and picked."""
+    same = " AND ".join(f"o.{c} IS NOT DISTINCT FROM q.{c}" for c in by.split(", "))
+    return f"""quota AS (SELECT {by}, round_even(count(*) * least(CAST(1 AS DOUBLE), CAST({n} AS DOUBLE) / (SELECT count(*) FROM {source})), 0) AS quota FROM {source} GROUP BY ALL),
+ o AS (SELECT *, md5(concat_ws(':', '{seed}', review_id)) AS h FROM {source}),
+ picked AS (SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY h, review_id) AS place FROM o) o JOIN quota q ON {same} WHERE place <= quota ORDER BY h, review_id LIMIT {n})"""
+
+
+@query(with_(REVIEWS, sample_sql("reviews", 100, "platform, sentiment")) + "SELECT review_id, platform, sentiment FROM picked")
 def stratified_sample(spark, sf_dir):
     """M10."""
     return labels.stratified_sample(reviews(spark, sf_dir).select("review_id", "platform", "sentiment"), 100, ["platform", "sentiment"])
@@ -790,7 +798,9 @@ def fault_summary(spark, sf_dir):
     return evaluation.fault_summary(evaluation.fault_study(payloads(spark, sf_dir), reviews(spark, sf_dir), TAX, 100))
 
 
-@query()
+@query(_SETS + ", bucketed AS (SELECT *, CASE WHEN rating <= 2 THEN 'negative' ELSE 'other' END AS rating_bucket FROM reviews), " + sample_sql("bucketed", 100, "platform, rating_bucket") + """,
+ hard AS (SELECT review_id FROM reviews WHERE review_id IN (SELECT review_id FROM p WHERE a <> b) AND review_id NOT IN (SELECT review_id FROM picked) ORDER BY md5(concat_ws(':', '43', review_id)), review_id LIMIT 50)
+ SELECT review_id, 'random' AS stratum FROM picked UNION ALL SELECT review_id, 'disagreement' FROM hard""")
 def gold_sample(spark, sf_dir):
     """G01-G03."""
     r = reviews(spark, sf_dir).withColumn("rating_bucket", F.when(F.col("rating") <= 2, "negative").otherwise("other"))

@@ -222,8 +222,13 @@ def test_enrich_with_provider(spark):
 
 def test_chunk_and_messages(spark):
     df = spark.createDataFrame([(f"r{i}", f"t{i}") for i in range(23)], "review_id string, review_text string")
-    c = labels.chunk(df, 5, 2)
+    c = labels.chunk(df, 5)
     assert c.groupBy("group_id").count().agg(F.max("count")).first()[0] <= 5
+    assert "Window" not in c._jdf.queryExecution().executedPlan().toString()
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("review_id")).repartition(40)
+    sizes = [r["count"] for r in labels.chunk(many, 7).groupBy("group_id").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) == 7 and sum(n < 7 for n in sizes) <= 8  # only the last of a partition is smaller
+    assert labels.chunk(many.limit(0), 7).count() == 0
     assert sum(len(r.ids) for r in labels.user_messages(c).collect()) == 23
 
 
@@ -366,7 +371,7 @@ def test_enrich_corpus_retries_and_store(spark, tmp_path, reply_of):
 
     reviews = corpus(spark, 23)
     store = tables.KeyedStore(spark, str(tmp_path / "s"), "m", enrichment.STORED, enrichment.STORED_KEY)
-    got = enrichment.enrich_corpus(reviews, "s", TAX, provider, store, size=23, concurrency=1, waves=2)
+    got = enrichment.enrich_corpus(reviews, "s", TAX, provider, store, size=23, concurrency=1, save_every=1)
     assert {r.review_id for r in got.items.collect()} == {f"r{i:02d}" for i in range(23)} and got.items.count() == 23
     assert got.failed.count() == 0 and got.cache_hits == 0 and got.requests == 3
     assert [(r.review_id, r.kind) for r in got.issues.collect()] == [("r05!", "unexpected_review_id")]
@@ -382,6 +387,33 @@ def test_enrich_corpus_retries_and_store(spark, tmp_path, reply_of):
     assert enrichment.enrich_corpus(corpus(spark, 0), "s", TAX, never).items.count() == 0
 
 
+def test_a_run_that_dies_keeps_what_its_waves_have_stored(spark, tmp_path, reply_of):
+    seen = tmp_path / "seen"
+
+    def provider(system, message):
+        with open(seen, "a") as f:
+            f.write("x")
+        if seen.stat().st_size > 8:
+            import os
+
+            os._exit(1)  # the worker dies, and so does the job
+        return reply_of(message)
+
+    store = tables.KeyedStore(spark, str(tmp_path / "s"), "m", enrichment.STORED, enrichment.STORED_KEY)
+    with pytest.raises(Exception, match="."):
+        enrichment.enrich_corpus(corpus(spark, 30), "s", TAX, provider, store, size=2, concurrency=1, save_every=4)
+    kept = store.read().count()
+    assert 2 <= kept <= 16
+    asked = spark.sparkContext.accumulator(0)
+
+    def goes_on(system, message):
+        asked.add(message.count("<review id"))
+        return reply_of(message)
+
+    got = enrichment.enrich_corpus(corpus(spark, 30), "s", TAX, goes_on, store, size=2, concurrency=1, save_every=4)
+    assert got.cache_hits == kept and got.items.count() == 30 and asked.value == 30 - kept
+
+
 def test_enrich_corpus_breaker(spark, tmp_path, reply_of):
     def provider(system, message):
         if "r00" in message:
@@ -425,7 +457,7 @@ def test_batch(spark, tmp_path, reply_of):
             return str(tmp_path / "out")
 
     client, seen = Client(), []
-    b = enrichment.submit_batch(corpus(spark, 12), "s", client, str(tmp_path / "in"), size=3, groups=1)
+    b = enrichment.submit_batch(corpus(spark, 12), "s", client, str(tmp_path / "in"), size=3)
     assert enrichment.poll_batch(client, b, interval=0, on_poll=seen.append) == "ended" and seen == ["running"] * 2
     got = enrichment.collect_batch(spark, client, b, str(tmp_path / "in"), TAX)
     assert got.items.count() == 9 and got.failed.count() == 3 and [r.kind for r in got.issues.collect()] == ["batch_failure"]
