@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.labels import ITEM, NOT_SENT, Provider, chunk, enrich, explode_items, parse_replies, payload_ok, taxonomy_issues, user_messages, with_grounding
 from tallyloom.sources.config import Taxonomy
-from tallyloom.sources.tables import KeyedStore
+from tallyloom.sources.stores import KeyedStore
 from tallyloom.storage import Workspace
 
 FIELDS = ["review_id", "areas", "pain_point", "sentiment", "severity", "customer_intent", "support_escalation", "overall_confidence"]

@@ -10,6 +10,7 @@ from tallyloom.functions.text import first_percent
 from tallyloom.ordered import hash_order
 from tallyloom.operators.labels import schema_valid, stratified_sample, taxonomy_issues, with_grounding
 from tallyloom.sources.config import Taxonomy
+from tallyloom.sources.tables import numbered_csv
 
 _SET = "array<string>"
 
@@ -246,12 +247,8 @@ def score_gold_fields(gold: DataFrame, prov: DataFrame, reviews: DataFrame, fiel
 def load_gold_csv(spark: SparkSession, path: str, tax: Taxonomy) -> DataFrame:
     """load_gold over a CSV that annotators filled in; raises if a column misses."""
     need = ["review_id", "labels", *tax.attributes, "support_escalation"]
-    rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    lost = [c for c in need if c not in rows.columns]
-    if lost:
-        raise ValueError(f"columns missing from {path}: {lost}")
-    # one file over several lines isn't split: its rows are numbered in order
-    return load_gold(rows.na.fill("").where(F.trim("review_id") != "").withColumn("row_no", F.monotonically_increasing_id()), tax)
+    rows = numbered_csv(spark, path, need, "row_no")
+    return load_gold(rows.where(F.trim("review_id") != ""), tax)
 
 
 # --- faults --------------------------------------------------------------------------------------------------------

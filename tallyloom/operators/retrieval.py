@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.stats import dot, l2_normalise, ratio
 from tallyloom.functions.text import cut
 from tallyloom.operators.evaluation import rate
+from tallyloom.session import ship
+from tallyloom.sources.stores import KeyedStore
 
 OVERFETCH, CEILING = 12, 2000
 
@@ -20,6 +28,49 @@ def hashing_vector(text: Column, dims: int = 64) -> Column:
     return l2_normalise(v)
 
 
+class Encoder(Protocol):
+    """What encodes texts in a worker: anything that makes an array of one vector for each text."""
+
+    def encode(self, texts: list[str], batch_size: int): ...
+
+
+def encode_texts(texts: DataFrame, make_encoder: Callable[[], Encoder], batch_size: int = 64, id_col: str = "review_id", text_col: str = "review_text") -> DataFrame:
+    """(id, embedding array<float>) of every row, unit length (a zero vector stays one); null texts are encoded as empty ones.
+
+    make_encoder is called once for each worker's stream of batches, not for each batch. Raises if an encoder gives another number of vectors than it got texts:
+    a text is never paired with a neighbour's vector.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = None
+        for rows in batches:
+            encoder = encoder or make_encoder()
+            for start in range(0, len(rows), batch_size):
+                part = rows.iloc[start : start + batch_size]
+                made = np.asarray(encoder.encode(part["text"].fillna("").tolist(), batch_size), np.float64)
+                if made.ndim != 2 or len(made) != len(part):
+                    raise ValueError(f"{len(part)} texts, but the encoder's answer has the shape {made.shape}")
+                unit = (made / np.maximum(np.linalg.norm(made, axis=1), 1e-12)[:, None]).astype(np.float32)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": list(unit)})
+
+    ship(texts.sparkSession)
+    plain = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = plain.mapInPandas(scan, T.StructType([T.StructField("id", texts.schema[id_col].dataType), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    return made.withColumnRenamed("id", id_col)
+
+
+def embed_reviews(reviews: DataFrame, make_encoder: Callable[[], Encoder], order: str, store: KeyedStore | None = None, batch_size: int = 64, version: int = 1) -> DataFrame:
+    """Reviews (review_id, review_text and more) with `embedding`, in the caller's order; what the store has isn't encoded again.
+
+    store: a KeyedStore with the key review_id and the value embedding. Rows of one id get one vector, that of its first text in the order.
+    """
+    texts = reviews.groupBy("review_id").agg(F.min_by("review_text", order).alias("review_text"))
+    if store is None:
+        return reviews.join(encode_texts(texts, make_encoder, batch_size), "review_id").orderBy(order)
+    store.add(encode_texts(store.missing(texts), make_encoder, batch_size), version)
+    return store.lookup(reviews, order)
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows with the highest inner product with one query; ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])

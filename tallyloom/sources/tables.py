@@ -9,38 +9,57 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.sources.stores import KeyedStore as KeyedStore
+from tallyloom.storage import Workspace, _path
+
 log = logging.getLogger(__name__)
 RAW = ["rating", "date", "review", "platform"]
 
 
-def read_raw(spark: SparkSession, path: str, required: Sequence[str] = RAW) -> DataFrame:
-    """A CSV, all strings, quoted fields over several lines, nothing read as missing, rows numbered. Raises if a column misses."""
+def numbered_csv(spark: SparkSession, path: str, required: Sequence[str], out: str = "source_row_index") -> DataFrame:
+    """A CSV, all strings, quoted fields over several lines, nothing read as missing; rows are numbered 0, 1, 2, ... through all files, in the order
+    of their names. Raises ValueError if a column misses.
+
+    Spark numbers the rows of a split as they stream by; a split's first number is the sum of the rows of those before, by file and offset: a row for
+    each split is all that is put in order. A file may have a column of any name but `out`.
+    """
     head = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
     missing = [c for c in required if c not in head.columns]
     if missing:
         raise ValueError(f"columns missing from {path}: {missing}")
-    numbered = head.na.fill("").withColumn("_id", F.monotonically_increasing_id())
-    return numbered.withColumn("source_row_index", F.col("_id")).drop("_id")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")]
+    rows = Workspace(spark, "csv").cut(head.select("*", *place))
+    splits = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_file", "_start")) - F.col("_n")
+    splits = splits.select("_file", "_start", "_first", before.alias("_before"))
+    numbered = rows.na.fill("").join(splits, ["_file", "_start"]).withColumn(out, (F.col("_before") + F.col("_at") - F.col("_first")).cast("long"))
+    return numbered.drop("_file", "_start", "_at", "_first", "_before")
+
+
+def read_raw(spark: SparkSession, path: str, required: Sequence[str] = RAW) -> DataFrame:
+    """The raw CSV with source_row_index, consecutive from 0 (see numbered_csv)."""
+    return numbered_csv(spark, path, required)
 
 
-def checksum(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a file, read by Spark (any store it can open)."""
-    got = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).collect()
-    if not got:
+def checksum(spark: SparkSession, path: str, block: int = 1 << 20) -> str:
+    """SHA-256 of a file of any size in any store that Spark can open, streamed in blocks by the JVM."""
+    jvm = spark.sparkContext._jvm
+    fs, at = _path(spark, path)
+    if not fs.exists(at) or fs.getFileStatus(at).isDirectory():
         raise FileNotFoundError(path)
-    return got[0].h
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    sink = jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(at), sink, block, True)
+    return bytes(digest.digest()).hex()
 
 
 def verify(spark: SparkSession, path: str, expected: str | None) -> str:
     """Missing raises, another checksum only warns; returns the checksum."""
-    try:
-        found = checksum(spark, path)
-    except PySparkException as e:
-        raise FileNotFoundError(path) from e
+    found = checksum(spark, path)
     if expected and found != expected:
         log.warning("checksum of %s is %s, not %s", path, found, expected)
     return found
@@ -87,45 +106,6 @@ def read_json(path: str | Path) -> dict:
         return {}
 
 
-class KeyedStore:
-    """A Parquet table keyed by `key`, partitioned by `model`; compute only what is missing, upsert by key.
-
-    Another model's entries are another partition, so they are neither read nor overwritten. A repeated write of a key keeps the last
-    `version`; read() resolves that, compact() makes it permanent.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, model: str, value_schema: str, key_schema: str = "key string"):
-        self.spark, self.path, self.model = spark, path, model
-        self.key = key_schema.split()[0]
-        self.schema = T.StructType.fromDDL(f"{key_schema}, {value_schema}, version long, model string")
-
-    def read(self) -> DataFrame:
-        df = read_table(self.spark, self.path, self.schema)
-        df = df.where(F.col("model") == self.model)
-        values = [f.name for f in self.schema.fields if f.name not in (self.key, "model")]
-        latest = df.groupBy(self.key).agg(F.max_by(F.struct(*values), "version").alias("v"))
-        return latest.select(self.key, "v.*").drop("version")
-
-    def missing(self, keys: DataFrame) -> DataFrame:
-        """Rows of keys (a frame with the key column) that the store doesn't have."""
-        return keys.join(self.read().select(self.key), self.key, "left_anti")
-
-    def add(self, rows: DataFrame, version: int) -> None:
-        """Append rows (key, values...); a null key is refused."""
-        if not rows.where(F.col(self.key).isNull()).isEmpty():
-            raise ValueError(f"null {self.key}")
-        rows.withColumns({"version": F.lit(version).cast("long"), "model": F.lit(self.model)}).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]).write.mode("append").partitionBy("model").parquet(self.path)
-
-    def lookup(self, wanted: DataFrame, order: str) -> DataFrame:
-        """wanted (key, order) with values, in the caller's order; raises KeyError if one is absent."""
-        got = wanted.join(self.read(), self.key, "left")
-        value = next(f.name for f in self.schema.fields if f.name not in (self.key, "model", "version"))
-        lost = got.where(F.col(value).isNull()).select(self.key).limit(1).collect()
-        if lost:
-            raise KeyError(lost[0][0])
-        return got.orderBy(order)
-
-
 def pipeline_state(artefacts: list[tuple[str, str, str]]) -> dict[str, Any]:
     """(name, path, command) of each artefact -> which are there, and the commands for the others, each once."""
     there = {name: Path(path).exists() for name, path, _ in artefacts}

@@ -150,16 +150,112 @@ def test_near_duplicates_of_awkward_tables(spark):
 
 
 def test_keyed_store(spark, tmp_path):
-    s = tables.KeyedStore(spark, str(tmp_path / "s"), "m1", "value string")
-    s.add(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), 1)
-    s.add(spark.createDataFrame([("b", "3")], "key string, value string"), 2)
-    other = tables.KeyedStore(spark, str(tmp_path / "s"), "m2", "value string")
+    s = tables.KeyedStore(spark, str(tmp_path / "s"), "m1", "value string, other int")
+    put = lambda rows, version: s.add(spark.createDataFrame(rows, "key string, value string, other int"), version)
+    put([("a", "1", 1), ("b", "2", 2)], 1)
+    put([("b", "3", 3)], 2)
+    other = tables.KeyedStore(spark, str(tmp_path / "s"), "m2", "value string, other int")
     assert {r.key: r.value for r in s.read().collect()} == {"a": "1", "b": "3"} and other.read().count() == 0
-    keys = spark.createDataFrame([("b", 0), ("a", 1), ("c", 2)], "key string, pos int")
+    keys = spark.createDataFrame([("b", 0), ("a", 1), ("b", 2), ("c", 3)], "key string, pos int")
     assert [r.key for r in s.missing(keys).collect()] == ["c"]
-    assert [r.key for r in s.lookup(keys.where("pos < 2"), "pos").collect()] == ["b", "a"]
-    with pytest.raises(KeyError):
+    assert [(r.key, r.value, r.other) for r in s.lookup(keys.where("pos < 3"), "pos").collect()] == [("b", "3", 3), ("a", "1", 1), ("b", "3", 3)]
+    with pytest.raises(KeyError, match="1 keys.*c"):
         s.lookup(keys, "pos")
+    old = s.read()
+    s.compact()
+    put([("a", "9", 9)], 1)  # added behind the base: it wins whatever its version
+    assert {r.key: r.value for r in s.read().collect()} == {"a": "9", "b": "3"}
+    assert {r.key: r.value for r in old.collect()} == {"a": "1", "b": "3"}  # a reader keeps its snapshot
+    assert s.manifest()["base"] and len(s.manifest()["added"]) == 1
+    s.compact()
+    assert s.vacuum() == 4 and {r.key: r.value for r in s.read().collect()} == {"a": "9", "b": "3"}
+    for rows, what in (([("x", None, 1)], "value"), ([("x", "1", None)], "other"), ([(None, "1", 1)], "key"), ([("x", "1", 1), ("x", "2", 1)], "twice")):
+        with pytest.raises(ValueError, match=what):
+            put(rows, 5)
+    put([], 6)
+    assert s.manifest()["number"] == 5 and s.read().count() == 2 and s.vacuum() == 0
+
+
+def test_a_writer_that_dies_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    s = tables.KeyedStore(spark, str(tmp_path / "s"), "m", "value string")
+    rows = lambda *keys: spark.createDataFrame([(k, k) for k in keys], "key string, value string")
+    s.add(rows("a"), 1)
+    dies = F.udf(lambda k: 1 / 0 if k == "c" else k)
+    with pytest.raises(Exception, match="ZeroDivision"):  # within the job
+        s.add(rows("b", "c").withColumn("value", dies("key")), 2)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):  # when all is written, but not published
+        m.setattr(tables.KeyedStore, "_publish", killed)
+        s.add(rows("b"), 3)
+    assert [r.key for r in s.read().collect()] == ["a"] and [r.key for r in s.missing(rows("a", "b")).select("key").collect()] == ["b"]
+    s.add(rows("b"), 4)
+    assert sorted(r.key for r in s.read().collect()) == ["a", "b"]
+    assert s.vacuum() >= 1 and s.read().count() == 2
+    late = s.manifest()
+    s.add(rows("z"), 5)
+    with pytest.raises(RuntimeError, match="another writer"):
+        s._publish(late, None, [])
+
+
+def test_rows_are_numbered_through_files_and_splits(spark, tmp_path):
+    want = []
+    for f in range(3):
+        lines = [f"{f}-{i}" for i in range(400)] if f != 1 else ["a\nb", 'say ""x""', ""]
+        (tmp_path / f"{f}.csv").write_text("review_id,labels\n" + "".join(f'"{x}",{i}\n' for i, x in enumerate(lines)))
+        want += [x.replace('""', '"') for x in lines]
+    got = tables.numbered_csv(spark, str(tmp_path), ["review_id"]).orderBy("source_row_index").collect()
+    assert [r.source_row_index for r in got] == list(range(len(want))) and [r.review_id for r in got] == want
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("review_id,labels\n")
+    assert tables.numbered_csv(spark, str(tmp_path / "none"), ["labels"]).count() == 0
+
+
+def test_checksum_streams(spark, tmp_path):
+    import hashlib
+
+    data = random.Random(1).randbytes(5_000_001)
+    (tmp_path / "x").write_bytes(data)
+    assert tables.checksum(spark, str(tmp_path / "x"), 4096) == tables.checksum(spark, str(tmp_path / "x")) == hashlib.sha256(data).hexdigest()
+    with pytest.raises(FileNotFoundError):
+        tables.checksum(spark, str(tmp_path))
+
+
+def test_encoder_batches_order_and_store(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    made = spark.sparkContext.accumulator(0)
+
+    class Lengths:
+        def __init__(self):
+            made.add(1)
+
+        def encode(self, texts, batch_size):
+            assert len(texts) <= batch_size
+            calls.add(len(texts))
+            return [[len(t), 1.0, 0.0] for t in texts]
+
+    rows = [(f"r{i}", "x" * (i % 7), 100 - i) for i in range(40)] + [("r3", "other", 500), ("n", None, 501)]
+    df = spark.createDataFrame(rows, "review_id string, review_text string, pos int").coalesce(1)
+    store = tables.KeyedStore(spark, str(tmp_path / "e"), "lengths", "embedding array<float>", "review_id string")
+    for n in (41, 41):  # the second time all come from the store
+        got = retrieval.embed_reviews(df, Lengths, "pos", store, batch_size=8).collect()
+        assert calls.value == n and [r.pos for r in got] == sorted(r[2] for r in rows)
+    by = {r.pos: r.embedding for r in got}
+    for i, t, pos in rows:
+        n = len("xxx" if i == "r3" else t or "")
+        assert by[pos] == pytest.approx([n / (n * n + 1) ** 0.5, 1 / (n * n + 1) ** 0.5, 0.0], rel=1e-6)
+    assert made.value <= 8
+    assert [r.embedding for r in retrieval.embed_reviews(df, Lengths, "pos").collect()] == [r.embedding for r in got]
+
+    class Short(Lengths):
+        def encode(self, texts, batch_size):
+            return [[1.0]] * (len(texts) - 1)
+
+    with pytest.raises(Exception, match="the encoder's answer"):
+        retrieval.encode_texts(df, Short).count()
+    assert retrieval.encode_texts(df.limit(0), Lengths).count() == 0
 
 
 def test_tolerant_sources(spark, tmp_path):
