@@ -165,3 +165,13 @@ def format_percent(rate: Column) -> Column:
 
 def format_optional(value: Column, digits: int = 3) -> Column:
     return F.when(value.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def significance_label(significant: Column) -> Column:
+    """the verdict of a test in words; a missing verdict establishes nothing."""
+    return F.when(F.coalesce(significant, F.lit(False)), "established").otherwise("not established")
+
+
+def scoring_mode(scored: Column) -> Column:
+    """F30, an aggregate: `rice` if any row is scored with its effort, `ric` if none is, `none` without rows."""
+    return F.when(F.count("*") == 0, "none").when(F.coalesce(F.bool_or(scored), F.lit(False)), "rice").otherwise("ric")

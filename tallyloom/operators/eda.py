@@ -134,13 +134,22 @@ def sparse_tail(r: DataFrame, before: str, column: str, values: list) -> DataFra
     return pivot_counts(r.withColumn("year_month", month), "year_month", column, values)
 
 
-def reconcile(r: DataFrame, report: dict) -> list[tuple[str, bool]]:
-    """Named checks of a table against its cleaning report (a dict of scalars)."""
+def reconcile(r: DataFrame, report: DataFrame) -> DataFrame:
+    """(check_name, seen, reported, ok): a table against the cleaning report that came with it, a row of scalars; what isn't reported isn't ok."""
     c = F.col
     seen = r.agg(
         F.count("*").alias("rows_out"), F.count_if("is_truncated").alias("truncated"), F.count_if(c("near_dup_group_id") >= 0).alias("near_dup_members"),
         F.count_distinct(F.when(c("near_dup_group_id") >= 0, c("near_dup_group_id"))).alias("near_dup_groups"), F.count_if("in_comparable_window").alias("in_window"),
         F.min("review_date").alias("first_date"), F.max("review_date").alias("last_date"), F.count_distinct("review_id").alias("ids"),
-    ).first().asDict()
-    checks = [(k, seen[k] == report.get(k)) for k in ("rows_out", "truncated", "near_dup_members", "near_dup_groups", "in_window", "first_date", "last_date")]
-    return [*checks, ("ids_unique", seen["ids"] == seen["rows_out"])]
+    )
+    names = ("rows_out", "truncated", "near_dup_members", "near_dup_groups", "in_window", "first_date", "last_date")
+    told = report.select(*[(c(k) if k in report.columns else F.lit(None)).cast("string").alias(f"reported_{k}") for k in names])
+    check = lambda name, a, b: F.struct(F.lit(name).alias("check_name"), a.cast("string").alias("seen"), b.cast("string").alias("reported"))
+    rows = F.array(*[check(k, c(k), c(f"reported_{k}")) for k in names], check("ids_unique", c("ids"), c("rows_out")))
+    return seen.crossJoin(F.broadcast(told)).select(F.inline(rows)).withColumn("ok", c("seen").eqNullSafe(c("reported")) & c("reported").isNotNull())  # one row each
+
+
+def corpus_summary(r: DataFrame) -> DataFrame:
+    """Reviews, platforms and months of a corpus, in one row."""
+    window = F.when(F.col("in_comparable_window"), F.col("year_month"))
+    return r.agg(F.count("*").alias("reviews"), F.count_distinct("platform").alias("platforms"), F.count_distinct("year_month").alias("months"), F.count_distinct(window).alias("comparable_months"))

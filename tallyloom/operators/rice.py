@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import score as S
 from tallyloom.functions.stats import months_needed, sample_per_arm, target_rate
-from tallyloom.functions.text import outermost_json
+from tallyloom.functions.text import outermost_json, strip_code_fences
 from tallyloom.operators.labels import enrich
 from tallyloom.operators.painpoints import KEYS
 from tallyloom.storage import Workspace
@@ -91,13 +94,15 @@ def check_opportunities(df: DataFrame) -> DataFrame:
 
 
 OPPORTUNITY = "struct<title:string,change:string,addresses_hypothesis:string,primary_metric:string,expected_direction:string,risk_if_wrong:string>"
-HYPOTHESIS = "struct<hypothesis:string,mechanism:string,supporting_review_ids:array<string>,disconfirming_evidence:string,confidence:string>"
+HYPOTHESIS = "struct<hypothesis:string,mechanism:string,supporting_review_ids:array<string>,disconfirming_evidence:string,proposed_check:string,confidence:double>"
 
 
 def parse_list(reply: Column, name: str, element: str) -> Column:
-    """The list under `name` in a reply's JSON, or the JSON itself if that is a list; null if there is neither."""
-    j = outermost_json(reply)
-    return F.when(j.startswith("["), F.from_json(j, f"array<{element}>")).when(j.startswith("{"), F.from_json(j, f"{name} array<{element}>")[name])
+    """The list under `name` in a reply's JSON, or the JSON itself if that is a list, words around it or not; null if there is neither."""
+    j, whole = outermost_json(reply), strip_code_fences(reply)
+    found = F.when(j.startswith("["), F.from_json(j, f"array<{element}>")).when(j.startswith("{"), F.from_json(j, f"{name} array<{element}>")[name])
+    bare = F.regexp_extract(whole, r"(?s)(\[.*\])", 1)
+    return F.coalesce(found, F.when(~whole.startswith("{") & (bare != ""), F.from_json(bare, f"array<{element}>")))
 
 
 def hypotheses_of(points: DataFrame, hypotheses: DataFrame) -> DataFrame:
@@ -120,12 +125,9 @@ def opportunity_prompt(n: int = 3) -> str:
 
 def opportunity_messages(points: DataFrame) -> DataFrame:
     """(group_id, message) for each point with hypotheses; what wasn't measured is `unknown`."""
-    percent = lambda c: F.coalesce(F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%")), F.lit("unknown"))
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    signal = F.concat(F.lit("reviews "), plain("volume"), F.lit(", mean severity (1 to 4) "), plain("mean_severity"), F.lit(", asked for support "), percent("escalation_rate"), F.lit(", mean to leave "), percent("churn_rate"))
     against = lambda h: F.when(F.trim(F.coalesce(h.disconfirming_evidence, F.lit(""))) != "", F.concat(F.lit("\n  but: "), h.disconfirming_evidence))
     cause = F.transform("hypotheses", lambda h: F.concat(F.lit("- "), F.coalesce(h.hypothesis, F.lit("")), F.lit("\n  how: "), F.coalesce(h.mechanism, F.lit("")), F.coalesce(against(h), F.lit(""))))
-    head = F.concat(F.lit("Pain point: "), F.concat_ws(" / ", *KEYS), F.lit("\nSignal: "), signal, F.lit("\nCauses:\n"), F.array_join(cause, "\n"))
+    head = F.concat(F.lit("Pain point: "), F.concat_ws(" / ", *KEYS), F.lit("\nSignal: "), signal_of(), F.lit("\nCauses:\n"), F.array_join(cause, "\n"))
     return points.where(F.size("hypotheses") > 0).select(F.concat_ws("/", *KEYS).alias("group_id"), head.alias("message"))
 
 
@@ -147,6 +149,63 @@ def generate_opportunities(points: DataFrame, hypotheses: DataFrame, provider: C
     return checked.where("issue is null").drop("issue"), issues.unionByName(checked.where("issue is not null").select(*KEYS, "issue", F.col("title").alias("detail")))
 
 
+def signal_of() -> Column:
+    """The measured facts of a pain point, as a line; what wasn't measured is `unknown`."""
+    percent = lambda c: F.coalesce(F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%")), F.lit("unknown"))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    return F.concat(F.lit("reviews "), plain("volume"), F.lit(", mean severity (1 to 4) "), plain("mean_severity"), F.lit(", asked for support "), percent("escalation_rate"), F.lit(", mean to leave "), percent("churn_rate"))
+
+
+def hypothesis_prompt(n: int = 3) -> str:
+    """The instructions for a model."""
+    return (
+        f"Give at most {n} possible causes of one pain point, each a mechanism within the product that explains as many reviews as were counted.\n"
+        "Argue from the reviews that are quoted and from nothing else: supporting_review_ids are ids in brackets, as they stand there; a cause without any is refused.\n"
+        "disconfirming_evidence says what in the reviews speaks against the cause, proposed_check how the company could test it; confidence is from 0 to 1.\n"
+        "Answer with JSON only, by this schema: " + json.dumps(hypothesis_schema(n), sort_keys=True)
+    )
+
+
+def hypothesis_schema(n: int = 3) -> dict:
+    """The JSON schema of a reply."""
+    kinds = {"supporting_review_ids": {"type": "array", "items": {"type": "string"}}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}}
+    fields = [f.name for f in T.StructType.fromDDL(f"h {HYPOTHESIS}")["h"].dataType.fields]
+    item = {"type": "object", "properties": {f: kinds.get(f, {"type": "string"}) for f in fields}, "required": fields, "additionalProperties": False}
+    return {"type": "object", "properties": {"hypotheses": {"type": "array", "maxItems": n, "items": item}}, "required": ["hypotheses"], "additionalProperties": False}
+
+
+def hypothesis_messages(points: DataFrame) -> DataFrame:
+    """(group_id, message) for each point with quotes (an array of evidence_rank, review_id, quote)."""
+    quotes = F.array_join(F.transform("quotes", lambda q: F.concat(F.lit("["), q.review_id, F.lit("] "), F.coalesce(q.quote, F.lit("")))), "\n")
+    message = F.concat(F.lit("Pain point: "), F.concat_ws(" / ", *KEYS), F.lit("\nSignal: "), signal_of(), F.lit("\nReviews:\n"), quotes)
+    return points.where(F.size("quotes") > 0).select(F.concat_ws("/", *KEYS).alias("group_id"), message.alias("message"))
+
+
+def generate_hypotheses(points: DataFrame, evidence: DataFrame, provider: Callable[[str, str], str], n: int = 3, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(hypotheses whose citations hold, issues (keys, issue, detail)) for each pain point; a bad reply is an issue, never an error.
+
+    points: keys, volume, mean_severity, escalation_rate, churn_rate. evidence: keys, evidence_rank, review_id, quote, a few rows for each point. A reply is a list of
+    hypotheses, bare or under that name, perhaps with words around it; a field that is missing or of a wrong kind makes the whole reply a
+    violation, as the schema does. A hypothesis that cites what wasn't quoted, or nothing, goes; one that names nothing against itself stays, and is an issue too.
+    """
+    given = evidence.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("evidence_rank", "review_id", "quote"))).alias("quotes"))
+    p = points.join(given, KEYS, "left").withColumn("group_id", F.concat_ws("/", *KEYS))
+    ws = Workspace(points.sparkSession, "hypotheses")
+    p = ws.cut(p)
+    replies = ws.cut(enrich(hypothesis_messages(p), hypothesis_prompt(n), provider, attempts))
+    r = p.select(*KEYS, "group_id", F.transform("quotes", lambda q: q.review_id).alias("supplied_ids")).join(replies, "group_id", "left")
+    r = r.withColumn("found", F.slice(parse_list(F.col("reply"), "hypotheses", HYPOTHESIS), 1, n))
+    texts = ("mechanism", "supporting_review_ids", "disconfirming_evidence", "proposed_check")
+    bad = lambda h: h.isNull() | (F.coalesce(F.trim(h.hypothesis), F.lit("")) == "") | reduce(lambda a, c: a | h[c].isNull(), texts, F.lit(False)) | ~F.coalesce(h.confidence.between(0, 1), F.lit(False))
+    issue = F.when(F.col("supplied_ids").isNull(), "no_evidence").when(F.col("error").isNotNull(), "api_error").when(F.col("found").isNull(), "unparseable_response").when(F.exists("found", bad), "schema_violation")
+    r = r.withColumn("issue", issue)
+    good = r.where("issue is null")
+    checked = check_citations(good.select(*KEYS, F.inline("found")), good.select(*KEYS, "supplied_ids"), KEYS).drop("supplied_ids")
+    of_points = r.where("issue is not null").select(*KEYS, "issue", F.substring(F.coalesce("error", "reply", F.lit("")), 1, 200).alias("detail"))
+    issues = of_points.unionByName(checked.where("issue is not null").select(*KEYS, "issue", F.substring("hypothesis", 1, 120).alias("detail")))
+    return checked.where("kept").drop("invented", "issue", "kept"), issues
+
+
 def check_citations(hypotheses: DataFrame, supplied: DataFrame, key: list[str]) -> DataFrame:
     """Hypotheses (key, supporting_review_ids, disconfirming_evidence) with `invented`, `issue` and `kept`. supplied: (key, supplied_ids)."""
     d = hypotheses.join(supplied, key, "left")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as X
+from tallyloom.functions.stats import dot
 from tallyloom.operators import clean, cluster, discovery, eda, enrichment, evaluation, labels, neardup, painpoints, profile, retrieval, rice, trends
 from tallyloom.plans.bindings import ITEM_LABELS, ORDER_REVIEWS, REVIEWS, item_labels, order_reviews, reviews, table, with_
 from tallyloom.sources.config import load_taxonomy
@@ -354,12 +356,26 @@ def template_groups(spark, sf_dir):
     return eda.template_groups(reviews(spark, sf_dir).withColumn("near_dup_group_id", F.col("source_row_index") % 50))
 
 
-@query(with_(REVIEWS) + "SELECT check_name, true AS ok FROM (VALUES ('rows_out'), ('truncated'), ('near_dup_members'), ('near_dup_groups'), ('in_window'), ('first_date'), ('last_date'), ('ids_unique')) t(check_name) WHERE (SELECT count(*) FROM reviews) >= 0")
+# the report is of all reviews, the table lacks some: both sides are counted by the SQL as well
+_RECONCILE = """t AS (SELECT * FROM reviews WHERE source_row_index % 50 <> 49), c(check_name, seen, reported) AS (
+ SELECT 'rows_out', CAST((SELECT count(*) FROM t) AS VARCHAR), CAST((SELECT count(*) FROM reviews) AS VARCHAR)
+ UNION ALL SELECT 'truncated', CAST((SELECT count(*) FROM t WHERE is_truncated) AS VARCHAR), CAST((SELECT count(*) FROM reviews WHERE is_truncated) AS VARCHAR)
+ UNION ALL SELECT 'near_dup_members', CAST((SELECT count(*) FROM t WHERE source_row_index % 3 = 0) AS VARCHAR), NULL
+ UNION ALL SELECT 'near_dup_groups', CAST((SELECT count(DISTINCT source_row_index % 9) FROM t WHERE source_row_index % 3 = 0) AS VARCHAR), CAST((SELECT count(DISTINCT source_row_index % 9) FROM reviews WHERE source_row_index % 3 = 0) AS VARCHAR)
+ UNION ALL SELECT 'in_window', CAST((SELECT count(*) FROM t WHERE in_comparable_window) AS VARCHAR), CAST((SELECT count(*) FROM reviews WHERE in_comparable_window) AS VARCHAR)
+ UNION ALL SELECT 'first_date', CAST((SELECT min(review_date) FROM t) AS VARCHAR), CAST((SELECT min(review_date) FROM reviews) AS VARCHAR)
+ UNION ALL SELECT 'last_date', CAST((SELECT max(review_date) FROM t) AS VARCHAR), CAST((SELECT max(review_date) FROM reviews) AS VARCHAR)
+ UNION ALL SELECT 'ids_unique', CAST((SELECT count(DISTINCT review_id) FROM t) AS VARCHAR), CAST((SELECT count(*) FROM t) AS VARCHAR))"""
+
+
+@query(with_(REVIEWS, _RECONCILE) + "SELECT *, coalesce(seen = reported, false) AS ok FROM c")
 def reconcile(spark, sf_dir):
-    """A table against the report made of it."""
-    r = reviews(spark, sf_dir).withColumn("near_dup_group_id", F.lit(-1))
-    seen = r.agg(F.count("*").alias("rows_out"), F.count_if("is_truncated").alias("truncated"), F.count_if(WIN).alias("in_window"), F.min("review_date").alias("first_date"), F.max("review_date").alias("last_date")).first().asDict()
-    return spark.createDataFrame(eda.reconcile(r, seen | {"near_dup_members": 0, "near_dup_groups": 0}), "check_name string, ok boolean")
+    """A table that lost some rows against the report of the whole, in which a count is missing."""
+    k = F.col("source_row_index")
+    r = reviews(spark, sf_dir).withColumn("near_dup_group_id", F.when(k % 3 == 0, k % 9).otherwise(-1))
+    groups = F.when(F.col("near_dup_group_id") >= 0, F.col("near_dup_group_id"))
+    report = r.agg(F.count("*").alias("rows_out"), F.count_if("is_truncated").alias("truncated"), F.count_if(WIN).alias("in_window"), F.count_distinct(groups).alias("near_dup_groups"), F.min("review_date").alias("first_date"), F.max("review_date").alias("last_date"))
+    return eda.reconcile(r.where(k % 50 != 49), report)
 
 
 # --- probes --------------------------------------------------------------------------------------------------------
@@ -434,12 +450,6 @@ def compare_platforms(spark, sf_dir):
     return trends.compare_platforms(order_reviews(spark, sf_dir))
 
 
-@query(with_(ORDER_REVIEWS, f"m AS ({metrics_sql('order_reviews', 'platform')})", _COMPARE) + "SELECT metric, platform_a, platform_b FROM r WHERE k <= coalesce((SELECT max(k) FROM r WHERE p_value <= 0.05 * k / n), 0)")
-def significant_only(spark, sf_dir):
-    """P12."""
-    return trends.compare_platforms(order_reviews(spark, sf_dir)).where("significant").select("metric", "platform_a", "platform_b")
-
-
 _AREA_CI = interval_sql("mentions", "reviews")
 _AREA_Z = "((mentions / CAST(reviews AS DOUBLE) - (m - mentions) / CAST(n - reviews AS DOUBLE)) / nullif(sqrt(m / CAST(n AS DOUBLE) * (1 - m / CAST(n AS DOUBLE)) * (1.0 / reviews + 1.0 / (n - reviews))), 0))"
 _AREAS = with_(ORDER_REVIEWS, ITEM_LABELS) + f""", tot AS (SELECT platform, count(*) AS reviews FROM order_reviews GROUP BY 1), c AS (SELECT product_area, platform, count(DISTINCT review_id) AS mentions FROM item_labels WHERE polarity = 'issue' GROUP BY ALL),
@@ -453,6 +463,13 @@ def area_rates(spark, sf_dir):
     return trends.area_rates(item_labels(spark, sf_dir), order_reviews(spark, sf_dir))
 
 
+@query(_AREAS + "SELECT product_area, platform, mentions, lift, p_value, 'established' AS verdict FROM r WHERE k <= coalesce((SELECT max(k) FROM r WHERE p_value <= 0.6 * k / cnt), 0)", "lift p_value")
+def significant_only(spark, sf_dir):
+    """What is accepted at a false discovery rate of 0.6 (the tables are random: at 0.05 nothing should be)."""
+    found = trends.area_rates(item_labels(spark, sf_dir), order_reviews(spark, sf_dir), alpha=0.6)
+    return found.select("product_area", "platform", "mentions", "lift", "p_value", X.significance_label(F.col("significant")).alias("verdict")).where("verdict = 'established'")
+
+
 _MONTHLY = with_(ORDER_REVIEWS, f"m0 AS ({metrics_sql('order_reviews', 'platform, year_month')})", f"m AS (SELECT *, {interval_sql()} FROM m0 WHERE reviews >= 30)")
 
 
@@ -640,13 +657,18 @@ def flatten_labels(spark, sf_dir):
     return labels.flatten(items, r.select("review_id", "platform", "year_month"))[1].groupBy("review_id").agg(F.count("*").alias("n_labels"))
 
 
-@query("SELECT count(*) AS requested, count(*) AS enriched, 1.0 AS mean_grounding, 1.0 AS fully_grounded, 1.0 AS coverage FROM documents", "mean_grounding fully_grounded coverage")
+@query(with_(REVIEWS) + f""", d AS (SELECT source_row_index AS k, ({_NHITS}) > 0 AS hit, rating FROM reviews WHERE source_row_index % 4 <> 0), g AS (SELECT *, CASE WHEN k % 6 = 1 AND hit THEN 0.0 ELSE 1.0 END AS rate FROM d)
+ SELECT (SELECT count(*) FROM reviews) AS requested, count(*) AS enriched, avg(rate) AS mean_grounding, avg(CAST(rate = 1 AS INTEGER)) AS fully_grounded, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM reviews) AS coverage,
+   (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT 'unknown_area:' || sum(areas) AS x FROM (SELECT """ + _NHITS + """ AS areas FROM reviews WHERE source_row_index % 4 <> 0 AND source_row_index % 6 = 2))) AS issues FROM g""", "mean_grounding fully_grounded coverage")
 def run_report(spark, sf_dir):
-    """Probes quote what they matched, so that everything is grounded."""
-    r = reviews(spark, sf_dir)
-    items = labels.with_grounding(payloads(spark, sf_dir), r)
-    made, _ = labels.flatten(items, r.select("review_id", "platform"))
-    return labels.run_report(r, made, labels.taxonomy_issues(items, TAX)).drop("issues")
+    """A quarter of the reviews has no payload, a sixth of the others quotes what isn't there, a sixth names areas that aren't."""
+    r, k = reviews(spark, sf_dir), F.col("review_id").cast("long")
+    spoilt = F.transform("areas", lambda a: a.withField("evidence_span", F.lit("nobody wrote this at all")))
+    made = payloads(spark, sf_dir).where(k % 4 != 0).withColumns({"areas": F.when(k % 6 == 1, spoilt).when(k % 6 == 2, F.transform("areas", lambda a: a.withField("product_area", F.lit("nowhere")))).otherwise(F.col("areas"))})
+    items = labels.with_grounding(made, r)
+    found, _ = labels.flatten(items, r.select("review_id", "platform"))
+    report = labels.run_report(r, found, labels.taxonomy_issues(items, TAX))
+    return report.withColumn("issues", F.array_join(F.transform("issues", lambda x: F.concat(x.kind, F.lit(":"), x.n)), ","))
 
 
 @query("SELECT review_id, count(*) AS n_labels, bool_and(grounded) AS grounded FROM (" + " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS review_id, true AS grounded FROM documents WHERE regexp_matches(text, '(?i){p}')" for p in PROBES.values()) + ") GROUP BY 1")
@@ -889,5 +911,68 @@ def cluster_summary(spark, sf_dir):
 @query(with_(REVIEWS) + "SELECT count(*) AS reviews, count(DISTINCT platform) AS platforms, count(DISTINCT year_month) AS months, count(DISTINCT year_month) FILTER (WHERE in_comparable_window) AS comparable_months FROM reviews")
 def corpus_summary(spark, sf_dir):
     """A35."""
-    r = reviews(spark, sf_dir)
-    return r.agg(F.count("*").alias("reviews"), F.count_distinct("platform").alias("platforms"), F.count_distinct("year_month").alias("months"), F.count_distinct(F.when(F.col(WIN), F.col("year_month"))).alias("comparable_months"))
+    return eda.corpus_summary(reviews(spark, sf_dir))
+
+
+class LetterCounts:
+    """An encoder that any engine can follow: how often a text has each of eight letters."""
+
+    def encode(self, texts, batch_size):
+        return [[t.count(c) for c in "aehinost"] for t in texts]
+
+
+_COUNTS = "[" + ", ".join(f"length({{0}}) - length(replace({{0}}, '{c}', ''))" for c in "aehinost") + "]"
+_UNIT = "list_transform(c, lambda x: CAST(x / greatest(sqrt(list_sum(list_transform(c, lambda y: CAST(y * y AS DOUBLE)))), 1e-12) AS FLOAT))"
+
+
+@query("WITH d AS (SELECT doc_id, " + _COUNTS.format("text") + " AS c FROM documents), e AS (SELECT doc_id, " + _UNIT + " AS v FROM d), q AS (SELECT " + _UNIT + " AS q FROM (SELECT " + _COUNTS.format("'the station on the east side'") + """ AS c))
+ SELECT doc_id, list_sum(list_transform(range(1, 9), lambda i: CAST(v[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))) AS score FROM e, q ORDER BY round(score, 9) DESC, doc_id LIMIT 20""", "score")
+def encoded_search(spark, sf_dir):
+    """Documents encoded by an encoder that workers make, searched with an encoded text."""
+    d = table(spark, sf_dir, "documents")
+    made = retrieval.encode_texts(d, LetterCounts, 64, "doc_id", "text")
+    asked = retrieval.encode_texts(spark.createDataFrame([(0, "the station on the east side")], "id int, t string"), LetterCounts, 1, "id", "t").first().embedding
+    scored = made.select("doc_id", dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in asked])).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(20)
+
+
+@query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 1e-12)) AS v FROM embeddings),
+ d AS (SELECT a.vec_id, a.label, b.label AS other, 1 - list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) AS far FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+ m AS (SELECT vec_id, label, other, avg(far) AS far FROM d GROUP BY ALL), ab AS (SELECT vec_id, label, max(far) FILTER (other = label) AS a, min(far) FILTER (other <> label) AS b FROM m GROUP BY ALL)
+ SELECT label, count(*) AS size, avg(coalesce((b - a) / greatest(a, b), 0)) AS silhouette FROM ab GROUP BY 1""", "silhouette")
+def label_silhouette(spark, sf_dir):
+    """C01's measure, over all vectors, for given clusters; the SQL takes all pairs."""
+    e = table(spark, sf_dir, "embeddings")
+    return cluster.silhouette(e, e.select("vec_id", "label"), cluster_col="label")
+
+
+def causes_by_rule(system, message):
+    """A provider whose replies go wrong by issue type, as models' do."""
+    import json
+    import re
+
+    issue = message.split("\n")[0].split(" / ")[-1]
+    ids = re.findall(r"(?m)^\[([^\]]+)\] ", message)
+    one = {"hypothesis": "h", "mechanism": "m", "supporting_review_ids": ids, "disconfirming_evidence": "little", "proposed_check": "c", "confidence": 0.5}
+    if issue == "SMALL":
+        return "I can't say."
+    if issue == "MEDIUM":
+        return json.dumps([one | {"confidence": 7}])
+    change = {"PROMO": {"supporting_review_ids": [*ids, "nobody"]}, "ECONOMY": {"supporting_review_ids": []}, "LARGE": {"disconfirming_evidence": " "}}.get(issue, {})
+    return "Here: " + json.dumps({"hypotheses": [one, one | change]}) + " Done."
+
+
+@query(_PP + """, n AS (SELECT product_area, issue_type, CASE WHEN issue_type IN ('SMALL', 'MEDIUM') THEN 0 WHEN issue_type IN ('PROMO', 'ECONOMY') THEN 1 ELSE 2 END AS kept, CASE issue_type WHEN 'SMALL' THEN 'unparseable_response' WHEN 'MEDIUM' THEN 'schema_violation' WHEN 'PROMO' THEN 'invented_citation' WHEN 'ECONOMY' THEN 'uncited_hypothesis' WHEN 'LARGE' THEN 'no_disconfirming_evidence' END AS issue FROM pp),
+ ev AS (SELECT product_area, issue_type, review_id FROM (SELECT *, row_number() OVER (PARTITION BY product_area, issue_type ORDER BY confidence DESC NULLS LAST, review_id, label_no) AS k FROM item_labels WHERE polarity = 'issue') WHERE k <= 3),
+ c AS (SELECT product_area, issue_type, array_to_string(list_sort(list(DISTINCT review_id)), ',') AS cited FROM ev GROUP BY ALL)
+ SELECT product_area, issue_type, kept, coalesce(issue, '') AS issue, CASE WHEN kept > 0 THEN cited ELSE '' END AS cited FROM n JOIN c USING (product_area, issue_type)""")
+def root_causes(spark, sf_dir):
+    """Prompt, reply, tolerant parse, schema and citation check for every pain point."""
+    lab, rev = item_labels(spark, sf_dir), order_reviews(spark, sf_dir)
+    pts = painpoints.pain_points(lab, rev, 100)
+    kept, issues = rice.generate_hypotheses(pts, painpoints.evidence(lab), causes_by_rule)
+    cited = F.array_sort(F.array_distinct(F.flatten(F.collect_list("supporting_review_ids"))))
+    n = kept.groupBy(*painpoints.KEYS).agg(F.count("*").cast("int").alias("kept"), F.array_join(cited, ",").alias("cited"))
+    what = issues.groupBy(*painpoints.KEYS).agg(F.array_join(F.array_sort(F.collect_set("issue")), ",").alias("issue"))
+    out = pts.select(*painpoints.KEYS).join(n, painpoints.KEYS, "left").join(what, painpoints.KEYS, "left")
+    return out.select(*painpoints.KEYS, F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("issue", F.lit("")).alias("issue"), F.coalesce("cited", F.lit("")).alias("cited"))

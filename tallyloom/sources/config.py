@@ -33,15 +33,37 @@ def load_dataset(path: str | Path | None = None) -> dict[str, Any]:
     return d
 
 
-def load_models(path: str | Path) -> dict[str, dict[str, Any]]:
-    """Model id -> profile (provider, prices per million tokens, batch discount)."""
-    d = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    models = {m["id"]: m for m in d["models"]}
+def load_models(path: str | Path | None = None) -> dict[str, dict[str, Any]]:
+    """Model id -> profile (provider, prices per million tokens, batch discount, effort); by default those of config/models.yaml."""
+    d = yaml.safe_load(Path(path or CONFIG / "models.yaml").read_text(encoding="utf-8"))
+    models = {m["id"]: {"batch_discount": 1.0, "effort": None} | m for m in d["models"]}
     if len(models) != len(d["models"]):
         raise ConfigError("model ids must be unique")
+    for m in models.values():
+        lost = [k for k in ("provider", "input_per_million", "output_per_million") if k not in m]
+        if lost or min(m["input_per_million"], m["output_per_million"]) < 0 or not 0 < m["batch_discount"] <= 1 or m["effort"] not in (None, *EFFORT):
+            raise ConfigError(f"model {m['id']}: {f'{lost} missing' if lost else 'a price, discount or effort is out of range'}")
     return models
 
 
+#: Output tokens for each one that is read, by effort: models that think are billed for it.
+EFFORT = {"low": 1.5, "medium": 2.0, "high": 3.0}
+
+
+def corpus_cost(profile: dict[str, Any], reviews: int, prompt_chars: int, size: int = 5, review_tokens: float = 90, output_tokens: float = 260, retry_rate: float = 0.1) -> dict[str, float]:
+    """requests, tokens and price of enriching a corpus, before it is sent; a planning figure.
+
+    Every request carries the instructions (4 characters to a token), `size` reviews at most. A share of the reviews is asked again by itself, instructions
+    included, and answered twice. Nothing is taken off for cached instructions.
+    """
+    if not 0 <= retry_rate < 1:
+        raise ValueError("retry_rate must be in [0, 1)")
+    groups, again, prompt = max(1, -(-reviews // size)), round(reviews * retry_rate), prompt_chars // 4
+    sent = groups * prompt + reviews * review_tokens + again * (prompt + review_tokens)
+    got = (reviews + again) * output_tokens * EFFORT.get(profile.get("effort") or "", 1.0)
+    return {"requests": groups + again, "input_tokens": sent, "output_tokens": got, "usd": estimate_cost(profile, sent, got), "usd_batch": estimate_cost(profile, sent, got, True)}
+
+
 def estimate_cost(profile: dict[str, Any], input_tokens: float, output_tokens: float, batch: bool = False) -> float:
     """the price of a run in the profile's currency."""
     usd = input_tokens / 1e6 * profile["input_per_million"] + output_tokens / 1e6 * profile["output_per_million"]

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import clean, enrichment, evaluation, labels, neardup, painpoints, retrieval, rice, trends
+from tallyloom.operators import clean, cluster, enrichment, evaluation, labels, neardup, painpoints, retrieval, rice, trends
 from tallyloom.sources import config, tables
 
 TAX = config.load_taxonomy()
@@ -628,3 +628,101 @@ def test_orders_and_index(spark, tmp_path):
     hits = spark.createDataFrame([("a", ["x"], "high", True), ("b", ["y"], None, True), ("c", ["x"], "low", False)], "review_id string, product_areas array<string>, severity string, in_comparable_window boolean")
     ids = lambda **f: [r.review_id for r in hits.where(retrieval.post_filter(**f)).collect()]
     assert ids() == ["a", "b", "c"] and ids(exclude=["a"], areas=["x"]) == ["c"] and ids(severities=["high"]) == ["a"] and ids(window=True) == ["a", "b"]
+
+
+def blobs(seed=3, n=120, dims=8, kinds=5):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centre = np.eye(dims)[:kinds] * 4
+    label = rng.integers(0, kinds, n)
+    return label, centre[label] + rng.normal(0, 0.3, (n, dims))
+
+
+def test_choose_k_finds_what_is_planted_and_its_silhouette_is_the_plain_one(spark):
+    import numpy as np
+
+    label, x = blobs()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (999, None)], "vec_id long, embedding array<double>").repartition(5)
+    choice, assigned = cluster.fit_clusters(df, 2, 8, inits=3)
+    own = {r.vec_id: r.cluster for r in assigned.collect()}
+    assert choice.k == 5 and set(own) == set(range(len(x)))
+    assert len({(label[i], own[i]) for i in own}) == 5  # the same parts under other names
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    far = 1 - unit @ unit.T
+    c = np.array([own[i] for i in range(len(x))])
+    mean = np.array([[far[i][(c == k) & (np.arange(len(x)) != i)].mean() for k in range(5)] for i in range(len(x))])
+    a = mean[np.arange(len(x)), c]
+    b = np.where(np.arange(5) == c[:, None], np.inf, mean).min(axis=1)
+    s = (b - a) / np.maximum(a, b)
+    assert choice.silhouette == choice.scores[5] == pytest.approx(s.mean(), abs=1e-9)
+    got = {r.cluster: (r["size"], r.silhouette) for r in cluster.silhouette(df, assigned).collect()}
+    assert got == {k: (int((c == k).sum()), pytest.approx(s[c == k].mean(), abs=1e-9)) for k in range(5)}
+    again = cluster.choose_k(df.repartition(2), 2, 8, inits=3)
+    assert again.k == 5 and again.scores == pytest.approx(choice.scores)
+
+
+def test_clusters_of_odd_tables(spark):
+    one = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too few"):
+        cluster.choose_k(one, 3, 24)
+    assert cluster.choose_k(one, 2, 24).scores == {2: pytest.approx(2 / 3)}  # two equal vectors, and a cluster of one
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert set(cluster.choose_k(same, 3, 4).scores.values()) == {-1.0}
+    given = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "vec_id long, cluster int")
+    assert {r.cluster: r["size"] for r in cluster.silhouette(one, given).collect()} == {1: 2, 2: 1}
+
+
+def test_cluster_summary_with_labels_and_exemplars(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "review_id string, embedding array<double>")
+    given = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "review_id string, cluster int")
+    facts = spark.createDataFrame([("a", "low", True, "negative", 1, "x"), ("b", None, False, "positive", 5, "y"), ("c", "high", False, "negative", 2, "x")], "review_id string, severity string, support_escalation boolean, sentiment string, rating int, platform string")
+    lab = spark.createDataFrame([("a", "p", "i"), ("a", "q", None), ("b", "p", "j"), ("b", "p", "j")], "review_id string, product_area string, issue_type string")
+    got = {r.cluster: r for r in cluster.cluster_summary(given, facts, "review_id", labels=lab, vectors=vectors, n_exemplars=1).collect()}
+    assert (got[1].dominant_area, got[1].dominant_issue, got[1].exemplars, got[1].top_platform) == ("p", "j", ["a"], "x")
+    assert (got[2].dominant_area, got[2].dominant_issue, got[2].exemplars, got[2].share) == (None, None, ["c"], pytest.approx(1 / 3))
+
+
+def test_hypotheses(spark):
+    points = spark.createDataFrame([(a, "i", 10, 2.5, 0.25, None) for a in ("good", "bare", "broken", "wrong", "fails", "alone", "partly")], "product_area string, issue_type string, volume int, mean_severity double, escalation_rate double, churn_rate double")
+    quotes = spark.createDataFrame([(a, "i", k, f"r{k}", f"quote {k}") for a in ("good", "bare", "broken", "wrong", "fails", "partly") for k in (1, 2)], "product_area string, issue_type string, evidence_rank int, review_id string, quote string")
+    one = {"hypothesis": "h", "mechanism": "m", "supporting_review_ids": ["r1", "r1"], "disconfirming_evidence": "d", "proposed_check": "c", "confidence": 0.5}
+
+    def provider(system, message):
+        area = message.split("\n")[0].split(": ")[1].split(" / ")[0]
+        assert "[r1] quote 1\n[r2] quote 2" in message and "asked for support 25%, mean to leave unknown" in message and '"maxItems": 3' in system
+        if area == "fails":
+            raise RuntimeError("HTTP 401")
+        return {
+            "good": "```json\n" + json.dumps({"hypotheses": [one] * 5}) + "\n```", "bare": "So: " + json.dumps([one | {"hypothesis": "b"}]), "broken": "no idea", "wrong": json.dumps([{k: v for k, v in one.items() if k != "proposed_check"}]),
+            "partly": json.dumps([one | {"supporting_review_ids": ["r9"]}, one | {"supporting_review_ids": []}, one | {"disconfirming_evidence": " "}]),
+        }[area]
+
+    kept, issues = rice.generate_hypotheses(points, quotes, provider)
+    assert sorted((r.product_area, r.hypothesis) for r in kept.collect()) == [("bare", "b"), ("good", "h"), ("good", "h"), ("good", "h"), ("partly", "h")]
+    assert sorted((r.product_area, r.issue) for r in issues.collect()) == [("alone", "no_evidence"), ("broken", "unparseable_response"), ("fails", "api_error"), ("partly", "invented_citation"), ("partly", "no_disconfirming_evidence"), ("partly", "uncited_hypothesis"), ("wrong", "schema_violation")]
+    schema = rice.hypothesis_schema(2)["properties"]["hypotheses"]
+    assert schema["maxItems"] == 2 and schema["items"]["required"] == list(one) and schema["items"]["properties"]["confidence"]["maximum"] == 1
+    assert rice.generate_hypotheses(points.limit(0), quotes, provider)[0].count() == 0
+
+
+def test_costs_models_and_words(spark, tmp_path):
+    from tallyloom.functions import text as X
+
+    models = config.load_models()
+    assert models["offline"]["effort"] is None and config.corpus_cost(models["offline"], 1000, 4000)["usd"] == 0
+    c = config.corpus_cost(models["small"], 1001, 4000, size=5, retry_rate=0.1)
+    assert c["requests"] == 201 + 100 and c["input_tokens"] == 201 * 1000 + 1001 * 90 + 100 * 1090 and c["output_tokens"] == 1101 * 260
+    assert c["usd"] == pytest.approx(c["input_tokens"] * 0.2e-6 + c["output_tokens"] * 0.6e-6) and c["usd_batch"] == pytest.approx(c["usd"] / 2)
+    assert config.corpus_cost(models["reasoning"], 10, 0, retry_rate=0)["output_tokens"] == 10 * 260 * 3
+    with pytest.raises(ValueError, match="retry_rate"):
+        config.corpus_cost(models["small"], 1, 1, retry_rate=1.0)
+    bad = tmp_path / "m.yaml"
+    for text in ("models: [{id: a, provider: x, input_per_million: 1}]", "models: [{id: a, provider: x, input_per_million: 1, output_per_million: -1}]", "models: [{id: a, provider: x, input_per_million: 1, output_per_million: 1, effort: huge}]"):
+        bad.write_text(text)
+        with pytest.raises(config.ConfigError):
+            config.load_models(bad)
+    df = spark.createDataFrame([(True,), (False,), (None,)], "s boolean")
+    assert [r[0] for r in df.select(X.significance_label(F.col("s"))).collect()] == ["established", "not established", "not established"]
+    assert [f.agg(X.scoring_mode(F.col("s"))).first()[0] for f in (df, df.where("not s"), df.limit(0))] == ["rice", "ric", "none"]
