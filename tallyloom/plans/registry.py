@@ -383,11 +383,12 @@ def reconcile(spark, sf_dir):
 
 @query(with_(REVIEWS, f"h AS ({HIT_ROWS})", """c AS (SELECT area, platform, avg(CAST(hit AS INTEGER)) * 100 AS share FROM h GROUP BY ALL), s AS (SELECT area, max(share) / greatest(min(share), 0.1) AS platform_spread FROM c GROUP BY 1),
  a AS (SELECT area, count(*) FILTER (WHERE hit) AS matched, 100.0 * avg(CAST(hit AS INTEGER)) AS share_pct, coalesce(100.0 * avg(CAST(hit AS INTEGER)) FILTER (WHERE rating <= 2), 0) AS share_negative_pct, coalesce(100.0 * avg(CAST(hit AS INTEGER)) FILTER (WHERE rating >= 4), 0) AS share_positive_pct,
-  coalesce(avg(CAST(support AS INTEGER)) FILTER (WHERE hit) / nullif(avg(CAST(support AS INTEGER)), 0), 0) AS support_lift FROM h GROUP BY 1)""") + "SELECT a.*, CASE WHEN share_negative_pct > 0 THEN share_positive_pct / share_negative_pct ELSE CAST('inf' AS DOUBLE) END AS pos_neg_ratio, platform_spread, share_pct AS representative_share_pct, 0.0 AS near_dup_inflation_pp FROM a JOIN s USING (area)",
+  coalesce(avg(CAST(support AS INTEGER)) FILTER (WHERE hit) / nullif(avg(CAST(support AS INTEGER)), 0), 0) AS support_lift FROM h GROUP BY 1)""") + "SELECT a.*, CASE WHEN share_negative_pct > 0 THEN share_positive_pct / share_negative_pct ELSE CAST('inf' AS DOUBLE) END AS pos_neg_ratio, platform_spread, representative_share_pct, share_pct - representative_share_pct AS near_dup_inflation_pp FROM a JOIN s USING (area) JOIN (SELECT area, 100.0 * avg(CAST(hit AS INTEGER)) AS representative_share_pct FROM h WHERE CAST(review_id AS BIGINT) % 3 <> 0 GROUP BY 1) USING (area)",
     "share_pct share_negative_pct share_positive_pct support_lift pos_neg_ratio platform_spread representative_share_pct near_dup_inflation_pp")
 def discovery_stats(spark, sf_dir):
-    """A24, F10."""
-    return discovery.area_statistics(reviews(spark, sf_dir), PROBES, TAX.special["support_area"])
+    """A24, F10; two of three reviews count as representatives."""
+    r = reviews(spark, sf_dir).withColumn("is_representative", F.col("source_row_index") % 3 != 0)
+    return discovery.area_statistics(r, PROBES, TAX.special["support_area"], representative="is_representative")
 
 
 _NHITS = " + ".join(f"CAST({h} AS INTEGER)" for h in HITS.values())
@@ -525,25 +526,25 @@ def evidence_topn(spark, sf_dir):
 # --- prioritisation ------------------------------------------------------------------------------------------------
 
 _RICE = _PP + """, cited AS (SELECT product_area, issue_type, review_id FROM (SELECT *, row_number() OVER (PARTITION BY product_area, issue_type ORDER BY confidence DESC, review_id, label_no) AS k FROM item_labels WHERE polarity = 'issue') WHERE k <= 3),
- gr AS (SELECT product_area, issue_type, avg(grounding_rate) AS g FROM cited JOIN order_reviews USING (review_id) GROUP BY ALL), x AS (SELECT pp.*, coalesce(g, (SELECT avg(grounding_rate) FROM order_reviews)) AS g, issue_type = 'PROMO' OR product_area IN ('Brand#1', 'Brand#2') AS mech,
+ gr AS (SELECT product_area, issue_type, avg(grounding_rate) AS g FROM cited JOIN order_reviews USING (review_id) GROUP BY ALL), x AS (SELECT pp.*, coalesce(g, (SELECT avg(grounding_rate) FROM order_reviews)) AS g, issue_type = 'PROMO' OR product_area IN ('Brand#1', 'Brand#2') AS mech, product_area IN (SELECT product_area FROM (""" + _AREAS + """SELECT product_area FROM r WHERE k <= coalesce((SELECT max(k) FROM r WHERE p_value <= 0.6 * k / cnt), 0))) AS comp,
  CASE WHEN CAST(regexp_extract(product_area, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN CAST(regexp_extract(product_area, '(\\d+)', 1) AS INTEGER) / 2.0 END AS effort FROM pp LEFT JOIN gr USING (product_area, issue_type)),
  b AS (SELECT *, CASE WHEN mean_severity >= 3.5 THEN 4 WHEN mean_severity >= 3 THEN 3 WHEN mean_severity >= 2.5 THEN 2 WHEN mean_severity >= 2 THEN 1 ELSE 0 END AS base FROM x),
  st AS (SELECT *, least(4, base + CASE WHEN churn_rate >= 0.02 THEN 1 WHEN escalation_rate >= 0.5 AND base < 2 THEN 1 ELSE 0 END) AS step FROM b),
  cf AS (SELECT *, [0.25, 0.5, 1.0, 2.0, 3.0][step + 1] AS impact, ['minimal', 'low', 'medium', 'high', 'massive'][step + 1] AS impact_label, volume / 6.0 AS reach, CASE WHEN effort > 0 THEN effort END AS eff,
-   0.30 * least(1, greatest(0, g)) + 0.25 * least(1.0, volume / 300.0) + 0.20 * least(1, greatest(0, mean_confidence)) + 0.15 * CAST(mech AS INTEGER) AS conf FROM st),
+   0.30 * least(1, greatest(0, g)) + 0.25 * least(1.0, volume / 300.0) + 0.20 * least(1, greatest(0, mean_confidence)) + 0.15 * CAST(mech AS INTEGER) + 0.10 * CAST(comp AS INTEGER) AS conf FROM st),
  o AS (SELECT product_area, issue_type, round(reach, 2) AS reach_per_month, impact, impact_label, round(conf, 4) AS confidence, eff AS effort_person_weeks, round(reach * impact * conf, 2) AS ric, round(reach * impact * conf / eff, 2) AS rice, eff IS NOT NULL AS scored, reach * impact * conf AS exact FROM cf)
  SELECT * EXCLUDE (exact), CAST(row_number() OVER (ORDER BY scored DESC, CASE WHEN scored THEN rice ELSE ric END DESC, product_area, issue_type) AS INTEGER) AS rank FROM o"""
 
 
 @query("SELECT * REPLACE (CAST(impact AS DOUBLE) AS impact, CAST(effort_person_weeks AS DOUBLE) AS effort_person_weeks) FROM (" + _RICE + ")")
 def rice_scores(spark, sf_dir):
-    """M16, F17-F20, J15-J18, W05, P14. Root causes and efforts are given by rules on the keys."""
+    """M16, F17-F20, J15-J18, W05, P14. Root causes and efforts are given by rules on the keys; areas stand out at a false discovery rate of 0.6."""
     lab, rev = item_labels(spark, sf_dir), order_reviews(spark, sf_dir)
     pts = painpoints.pain_points(lab, rev, 100)
     n = F.regexp_extract("product_area", r"(\d+)", 1).cast("int")
     causes = pts.where((F.col("issue_type") == "PROMO") | F.col("product_area").isin("Brand#1", "Brand#2")).select(*painpoints.KEYS)
     effort = pts.where(n % 2 == 0).select(*painpoints.KEYS, (n / 2.0).alias("effort_person_weeks")).where("effort_person_weeks > 0")
-    r = rice.rice(pts, painpoints.evidence(lab).select(*painpoints.KEYS, "review_id"), rev, 6, causes, None, effort)
+    r = rice.rice(pts, painpoints.evidence(lab).select(*painpoints.KEYS, "review_id"), rev, 6, causes, trends.area_rates(lab, rev, alpha=0.6), effort)
     return r.select(*[c for c in r.columns if not c.startswith("confidence_")])
 
 
@@ -584,11 +585,12 @@ def citation_check(spark, sf_dir):
     return rice.check_citations(d, supplied, ["doc_id"]).select("doc_id", "issue", "kept")
 
 
-@query(_BASE + f", o AS (SELECT * FROM (VALUES ('faster answers', 'escalation_rate'), ('kinder words', 'negative_share'), ('magic', 'delight')) v(title, primary_metric)), j AS (SELECT title, primary_metric, baseline AS b, CASE WHEN baseline - 0.03 > 0 THEN baseline - 0.03 ELSE baseline + 0.03 END AS t FROM o LEFT JOIN bl ON primary_metric = metric) SELECT title, b AS baseline, {_PER} AS per_arm, CASE primary_metric WHEN 'escalation_rate' THEN 'negative_share' WHEN 'negative_share' THEN 'praise_share' END AS guardrail_metric FROM j", "baseline")
+@query(_BASE + f", o AS (SELECT * FROM (VALUES ('faster answers', 'escalation_rate'), ('kinder words', 'negative_share'), ('less pain', 'severe_share'), ('more praise', 'praise_share'), ('magic', 'delight')) v(title, primary_metric)), j AS (SELECT title, primary_metric, baseline AS b, CASE WHEN baseline - 0.03 > 0 THEN baseline - 0.03 ELSE baseline + 0.03 END AS t FROM o LEFT JOIN bl ON primary_metric = metric), n AS (SELECT *, {_PER} AS per_arm FROM j) SELECT title, b AS baseline, per_arm, CASE primary_metric WHEN 'negative_share' THEN 'praise_share' WHEN 'delight' THEN NULL ELSE 'negative_share' END AS guardrail_metric, 2 * per_arm / 5000.0 AS months_required, array_to_string(list_filter([CASE WHEN 2 * per_arm / 5000.0 > 2 THEN 'not practical at the observed volume' END, CASE WHEN b < 0.02 THEN 'baseline below 2%: a small move is most of it' END, CASE WHEN b IS NULL THEN 'no baseline for this metric' END], lambda x: x IS NOT NULL), '; ') AS notes FROM n", "baseline months_required")
 def experiment_plans(spark, sf_dir):
     """M15, J20."""
-    o = spark.createDataFrame([("faster answers", "escalation_rate"), ("kinder words", "negative_share"), ("magic", "delight")], "title string, primary_metric string")
-    return rice.experiment_plans(o, rice.baseline_rate(trends.platform_metrics(order_reviews(spark, sf_dir))), 500).select("title", "baseline", "per_arm", "guardrail_metric")
+    o = spark.createDataFrame([("faster answers", "escalation_rate"), ("kinder words", "negative_share"), ("less pain", "severe_share"), ("more praise", "praise_share"), ("magic", "delight")], "title string, primary_metric string")
+    plans = rice.experiment_plans(o, rice.baseline_rate(trends.platform_metrics(order_reviews(spark, sf_dir))), 5000, most_months=2)
+    return plans.select("title", "baseline", "per_arm", "guardrail_metric", "months_required", F.array_join("notes", "; ").alias("notes"))
 
 
 # --- labels: payloads built from documents by rules ----------------------------------------------------------------
@@ -649,12 +651,19 @@ def grounding(spark, sf_dir):
     return d.select("doc_id", rate(F.col("text"), spans).alias("grounding_rate"))
 
 
-@query("SELECT review_id, count(*) AS n_labels FROM (" + " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS review_id FROM documents WHERE regexp_matches(text, '(?i){p}')" for p in PROBES.values()) + ") GROUP BY 1")
+_LABELS = " UNION ALL ".join(
+    f"SELECT review_id, platform, year_month, {i} AS place, '{a}' AS product_area, CASE WHEN rating <= 2 THEN '{x['issue_types'][0]}' END AS issue_type, CASE WHEN rating > 2 THEN '{x['strength_types'][0]}' END AS strength_type, regexp_extract(review_text, '(?i)({x['probe']})', 1) AS evidence_span FROM reviews WHERE regexp_matches(review_text, '(?i){x['probe']}')"
+    for i, (a, x) in enumerate(TAX.areas.items())
+)
+
+
+@query(with_(REVIEWS, f"l AS ({_LABELS})") + "SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY place) - 1 AS INTEGER) AS label_no, product_area, issue_type, strength_type, evidence_span, CASE WHEN issue_type IS NULL THEN 'strength' ELSE 'issue' END AS polarity, platform, year_month FROM l")
 def flatten_labels(spark, sf_dir):
-    """M08, J01, J02, and the offline provider of M09."""
+    """M08, J01, J02, and the offline provider of M09: every label with what it carries."""
     r = reviews(spark, sf_dir)
     items = labels.with_grounding(payloads(spark, sf_dir), r)
-    return labels.flatten(items, r.select("review_id", "platform", "year_month"))[1].groupBy("review_id").agg(F.count("*").alias("n_labels"))
+    made = labels.flatten(items, r.select("review_id", "platform", "year_month"))[1]
+    return made.select("review_id", "label_no", "product_area", "issue_type", "strength_type", "evidence_span", "polarity", "platform", "year_month")
 
 
 @query(with_(REVIEWS) + f""", d AS (SELECT source_row_index AS k, ({_NHITS}) > 0 AS hit, rating FROM reviews WHERE source_row_index % 4 <> 0), g AS (SELECT *, CASE WHEN k % 6 = 1 AND hit THEN 0.0 ELSE 1.0 END AS rate FROM d)
