@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tallyloom.session import ship
 from tallyloom.storage import Workspace
 
-#: Queries that are broadcast at once (each block of queries is a scan of the candidates), and candidates to a dense array.
-QUERY_BLOCK, ROW_BLOCK = 2048, 2048
+#: Weights of queries that are broadcast at once (each block of queries is a scan of the candidates), candidates and queries to a dense array.
+QUERY_WEIGHTS, ROW_BLOCK, TILE = 1 << 20, 1024, 128
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -48,16 +48,20 @@ class Postings:
 
     def scores(self, query_terms: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         """Dense scores of n queries; query_terms has, for each term, the queries that hold it and their weights."""
-        out = np.zeros((n, len(self.ids)), np.int64)
-        for t, (queries, weights) in enumerate(query_terms[: len(self.edge) - 1]):
+        terms = min(len(query_terms), len(self.edge) - 1)
+        most = max((int(np.abs(w).max()) for _, w in query_terms[:terms] if len(w)), default=0) * int(np.abs(self.weight).max() if len(self.weight) else 0) * max(terms, 1)
+        kind = np.int32 if most < 1 << 31 else np.int64  # no sum can be larger
+        out, room = np.zeros((n, len(self.ids)), kind), np.empty((n, len(self.ids)), kind)
+        held = self.weight.astype(kind)
+        for t, (queries, weights) in enumerate(query_terms[:terms]):
             a, b = self.edge[t], self.edge[t + 1]
             if a == b or not len(queries):
                 continue
-            part = weights[:, None] * self.weight[a:b]
             if len(queries) == n and b - a == len(self.ids):
-                out += part
+                np.multiply(weights.astype(kind)[:, None], held[a:b], out=room)
+                out += room
             else:
-                out[queries[:, None], self.row[a:b]] += part
+                out[queries[:, None], self.row[a:b]] += weights.astype(kind)[:, None] * held[a:b]
         return out
 
 
@@ -79,18 +83,45 @@ def _by_term(queries: list[tuple[int, list[int]]]) -> list[tuple[np.ndarray, np.
     return out
 
 
+class Best:
+    """The k best candidates that a task has seen, for each query of a tile; what is worse than a query's k-th isn't looked at."""
+
+    def __init__(self, queries: list[tuple[int, list[int]]], k: int):
+        self.ids, self.k, self.by_term = np.array([q for q, _ in queries], np.int64), k, _by_term(queries)
+        self.least = np.full(len(queries), np.iinfo(np.int64).min)
+        self.held = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(queries)
+
+    def see(self, postings: Postings) -> None:
+        scores = postings.scores(self.by_term, len(self.ids))
+        good = scores >= self.least[:, None]
+        for i in np.flatnonzero(np.isin(self.ids, postings.ids)).tolist():
+            good[i] &= postings.ids != self.ids[i]
+        for i in np.flatnonzero(good.any(axis=1)).tolist():
+            at = np.flatnonzero(good[i])
+            ids, found = np.r_[self.held[i][0], postings.ids[at]], np.r_[self.held[i][1], scores[i, at].astype(np.int64)]
+            keep = best(found, ids, self.k)
+            self.held[i] = (ids[keep], found[keep])
+            if len(keep) == self.k:
+                self.least[i] = found[keep[-1]]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = [len(ids) for ids, _ in self.held]
+        return np.repeat(self.ids, n), np.concatenate([x for x, _ in self.held]), np.concatenate([x for _, x in self.held])
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows of each query. vectors: (vec_id, terms array<long>).
 
-    Queries are taken QUERY_BLOCK or so at a time and broadcast; candidates stay where they are scanned, and each
-    piece sends k rows a query to the merge.
+    Queries are taken as many at a time as have QUERY_WEIGHTS weights, and broadcast; candidates stay where they are scanned, and each
+    task sends k rows a query to the merge.
     """
     spark = vectors.sparkSession
     ship(spark)
     ws = Workspace(spark, "topk")
     vectors = ws.cut(vectors)
     queries = vectors.where(is_query)
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    weights = queries.agg(F.sum(F.size("terms") + 1)).first()[0] or 0
+    blocks = -(-weights // QUERY_WEIGHTS)
     found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     for b in range(blocks):
         part = [(r.vec_id, r.terms) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()]
@@ -98,43 +129,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
         def scan(batches, shared=shared):
             own = shared.value
-            tiles = [own[i : i + 256] for i in range(0, len(own), 256)]
-            tiles = [(t, _by_term(t)) for t in tiles]
+            tiles = [Best(own[i : i + TILE], k) for i in range(0, len(own), TILE)]
             for batch in batches:
                 for start in range(0, batch.num_rows, ROW_BLOCK):
                     rows = batch.slice(start, ROW_BLOCK)
-                    ids, terms = rows.column(0).to_numpy(), rows.column(1)
-                    values = terms.flatten().to_numpy()
-                    offsets = terms.offsets.to_numpy().astype(np.int64)
-                    postings = Postings(ids, values, offsets)
-                    q, v, s = [], [], []
-                    for tile, by_term in tiles:
-                        scores = postings.scores(by_term, len(tile))
-                        for i, (query, _) in enumerate(tile):
-                            # repeated ids among the candidates can hide the query's own rows only if those are left out first
-                            at = best(scores[i], ids, k) if query not in ids_set(ids) else _without(scores[i], ids, query, k)
-                            q.append(np.full(len(at), query))
-                            v.append(ids[at])
-                            s.append(scores[i][at])
-                    if q:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (q, v, s)], names=["query_id", "vec_id", "score"])
+                    terms = rows.column(1)
+                    postings = Postings(rows.column(0).to_numpy(), terms.flatten().to_numpy(), terms.offsets.to_numpy().astype(np.int64))
+                    for tile in tiles:
+                        tile.see(postings)
+            for tile in tiles:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in tile.rows()], names=["query_id", "vec_id", "score"])
 
         found = found.unionByName(ws.cut(vectors.mapInArrow(scan, "query_id long, vec_id long, score long")))
+        shared.unpersist()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-_sets: dict[int, tuple[np.ndarray, set]] = {}
-
-
-def ids_set(ids: np.ndarray) -> set:
-    """The ids of the block at hand as a set, made once a block."""
-    held = _sets.get(0)
-    if held is None or held[0] is not ids:
-        _sets[0] = held = (ids, set(ids.tolist()))
-    return held[1]
-
-
-def _without(scores: np.ndarray, ids: np.ndarray, query: int, k: int) -> np.ndarray:
-    others = np.flatnonzero(ids != query)
-    return others[best(scores[others], ids[others], k)]

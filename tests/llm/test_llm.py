@@ -423,6 +423,23 @@ def test_top_k(spark):
     assert topk.top_k(v.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_over_several_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.randrange(-3, 4) for _ in range(6)]) for i in range(400)] + [(7, [9] * 6), (500, []), (501, [10**12, 0])]
+    v = spark.createDataFrame(rows, "vec_id long, terms array<long>").repartition(3)
+    want = {}
+    for q, a in rows:
+        if q % 5 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in rows if c != q)
+            want[q] = [(r, c, -s) for r, (s, c) in enumerate(scored[:4], 1)]
+    for weights in (1 << 20, 100):
+        monkeypatch.setattr(topk, "QUERY_WEIGHTS", weights)
+        got = {}
+        for r in topk.top_k(v, F.col("vec_id") % 5 == 0, 4).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert got == want
+
+
 # 8
 def test_bpe_matches_the_library(spark, docs, no_docs):
     import public_tokenizers

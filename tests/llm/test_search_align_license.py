@@ -250,20 +250,3 @@ def test_radix_accumulation():
             want[k] += v
         assert got.tolist() == sorted(want) and sums.tolist() == [want[k] for k in sorted(want)]
     assert len(lexical.accumulate(np.empty(0, np.uint64), np.empty(0, np.int64))[0]) == 0
-
-
-@pytest.mark.parametrize("name", ["op11_license_scan", "op12_token_alignment", "op13_lexical_search"])
-def test_registered(spark, sf, name):
-    from tallyloom.llm import queries
-
-    got = queries.QUERIES[name](spark, sf)
-    assert got.count() and len(set(got.columns)) == len(got.columns)
-    if name in queries.ORACLES:
-        import duckdb
-
-        c = duckdb.connect()
-        for t in ("documents", "benchmark"):
-            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-        want = c.execute(queries.ORACLES[name])
-        names = [x[0] for x in want.description]
-        assert rows(got, names) == sorted(want.fetchall(), key=str)
