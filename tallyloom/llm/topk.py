@@ -57,8 +57,10 @@ class Postings:
             a, b = self.edge[t], self.edge[t + 1]
             if a == b or not len(queries):
                 continue
-            if len(queries) == n and b - a == len(self.ids):
-                np.multiply(weights.astype(kind)[:, None], held[a:b], out=room)
+            if 4 * len(queries) * (b - a) > n * len(self.ids):  # most are held: the others count as weights of zero
+                own, posted = np.zeros(n, kind), np.zeros(len(self.ids), kind)
+                own[queries], posted[self.row[a:b]] = weights, held[a:b]
+                np.multiply(own[:, None], posted, out=room)
                 out += room
             else:
                 out[queries[:, None], self.row[a:b]] += weights.astype(kind)[:, None] * held[a:b]
