@@ -97,13 +97,13 @@ def get_numbers(data: bytes) -> np.ndarray:
 class Chunks:
     """docs packed into chunks in shared storage: frame (chunk, blob), with the corpus's bytes and number of buckets."""
 
-    def __init__(self, docs: DataFrame, name: str, text_col: str = "text", marks: Callable[[pa.RecordBatch], dict[bytes, bytes]] | None = None):
-        """marks: what is to be kept with a chunk, made from its rows once (see the table's schema.metadata)."""
+    def __init__(self, docs: DataFrame, name: str, text_col: str = "text", marks: Callable[[pa.RecordBatch], dict[bytes, bytes]] | None = None, least_bytes: int | None = None):
+        """marks: what is to be kept with a chunk, made from its rows once (see the table's schema.metadata). least_bytes: text to a chunk, at least."""
         self.spark = docs.sparkSession
         ship(self.spark)
         self.ws = Workspace(self.spark, name)
         self.bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        self.chunk_bytes = min(MOST_BYTES, max(LEAST_BYTES, self.bytes // CHUNKS))
+        self.chunk_bytes = min(MOST_BYTES, max(least_bytes or LEAST_BYTES, self.bytes // CHUNKS))
         self.buckets = max(64, self.bytes // BUCKET_BYTES)
         most, at = self.chunk_bytes, docs.columns.index(text_col)
 

@@ -25,6 +25,8 @@ from xxhash import xxh64_intdigest
 from tallyloom.llm.exchange import Chunks, unpack_batch
 
 BACKOFF = 0.4
+#: Text to a chunk, at least: a larger chunk asks about an n-gram less often, and takes more memory.
+CHUNK_BYTES = 7 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +95,7 @@ class Grams:
 def score_documents(docs: DataFrame, order: int = 3, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, log_score, mean_log_score, n_backoffs) for each row of docs."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunks = Chunks(kept, "lm")
+    chunks = Chunks(kept, "lm", least_bytes=CHUNK_BYTES)
     kind = kept.schema["id"].dataType.simpleString()
     buckets = chunks.buckets
 
