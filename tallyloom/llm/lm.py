@@ -26,7 +26,7 @@ from tallyloom.llm.exchange import Chunks, unpack_batch
 
 BACKOFF = 0.4
 #: Text to a chunk, at least: a larger chunk asks about an n-gram less often, and takes more memory.
-CHUNK_BYTES = 7 << 20
+CHUNK_BYTES = 14 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
