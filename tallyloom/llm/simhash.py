@@ -246,7 +246,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts meet if their fingerprints differ in at most `most` bits (see links), or in a MinHash band: 64 bits of SimHash alone can't tell a pair at 0.8,
     which differs in some 10 bits, from others, unless by masks whose number grows steeply with the corpus. Bands are tuned to meet a pair at the threshold with a
-    probability of `recall` at least, alone (0.995; at 0.85 1 - 10^-4, at 0.9 1 - 10^-6); families of copies have more ways to come together. What meets at all is compared by its
+    probability of `recall` at least, alone (0.995; at 0.85 0.9998, at 0.9 0.999999); families of copies have more ways to come together. What meets at all is compared by its
     shingles, exactly, so that only texts that are similar are ever joined; texts with equal sets always are.
 
     A component is named by its smallest id. mark is a hash of the text, by which rows with one id and different texts are told apart. A row without an
