@@ -300,7 +300,10 @@ def test_quality(spark, no_docs):
     y = spark.read.parquet(f"{big}/labels.parquet")
     model = quality.train(d, y, ~quality.held_out())
     s = quality.score(d, model).join(y, "doc_id").where(quality.held_out()).select("predicted", "quality").toPandas()
-    assert (s.predicted == s.quality).mean() > 0.95
+    assert (s.predicted == s.quality).mean() > 0.97
+    # labels of held-out rows and labels other than 1 are never learned from
+    other = y.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).when(F.col("quality") == 1, 1))
+    assert np.abs(quality.train(d, other, ~quality.held_out()).weights - model.weights).max() < 1e-5
     odd = quality.score(spark.createDataFrame([(1, None), (2, ""), (3, "x" * 200000)], "doc_id long, text string"), model).collect()
     assert all(0 <= r.score <= 1 for r in odd) and odd[0].score == odd[1].score
     assert quality.score(no_docs, model).count() == 0
@@ -308,6 +311,47 @@ def test_quality(spark, no_docs):
     assert none.score(np.zeros((2, 5))).tolist() == [1.0, 1.0]
 
 
+def test_quality_risk_covers_all_documents(spark, docs):
+    """Sums over the table equal those of a plain loop; the Newton steps end near the least risk over all rows."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    good = [" ".join(rng.choice(words, 30)) for _ in range(60)]
+    bad = [" ".join(rng.choice(words, 30)).upper() + "!!!" for _ in range(30)]
+    texts = [(i, t) for i, t in enumerate(good + bad)] + [(None, None), (None, ""), (3, good[3]), (3, good[3])]
+    table = spark.createDataFrame([(i, t, "x", 9) for i, t in texts], "doc_id long, text string, features string, place int").repartition(5)
+    x = np.array([quality.features((t or "").encode()) for _, t in texts]).astype(np.float16).astype(np.float32)
+    pos, start = x[:40], x[20:80]
+    model = quality.fit(pos, start, 0.6, rounds=40)
+    rows = quality.feature_rows(table.select("doc_id", "text"))
+    n, loss, grad = quality.unlabelled_sums(rows, model)
+    g = (model.design(x) @ model.weights).astype(np.float64)
+    assert n == len(texts) and abs(loss - np.log1p(np.exp(g)).sum()) < 1e-3
+    assert np.allclose(grad, (1 / (1 + np.exp(-g))) @ model.design(x), atol=1e-3)
+
+    def plain(at):
+        g = (at.design(x) @ at.weights).astype(np.float64)
+        return len(x), float(np.logaddexp(0, g).sum()), quality._sigmoid(g) @ at.design(x)
+
+    def risk(w):
+        at, decay = quality.Model(0.6, model.mean, model.scale, w), max(1e-3, 12 / len(pos))
+        p = (at.design(pos) @ w).astype(np.float64)
+        return 0.6 * np.logaddexp(0, -p).mean() + max(0.0, plain(at)[1] / len(x) - 0.6 * np.logaddexp(0, p).mean()) + decay * float(w[1:] @ w[1:]) / 2
+
+    before, kept = risk(model.weights), model.weights.copy()
+    refined = quality.refine(model, pos, start, 0.6, lambda at: quality.unlabelled_sums(rows, at), passes=12)
+    assert refined.risk <= before and abs(refined.risk - risk(refined.weights)) < 1e-4
+    long = quality.refine(quality.Model(0.6, model.mean, model.scale, kept), pos, start, 0.6, plain, passes=200)
+    assert refined.risk - long.risk < 0.01
+    # a text that only unlabelled documents have changes the model; clashing names, nulls and repeated rows are no trouble
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    one = quality.train(table, labels, F.lit(True), passes=3)
+    two = quality.train(table.unionByName(spark.createDataFrame([(500 + i, "@@ ## " * 30, "x", 9) for i in range(20)], table.schema)), labels, F.lit(True), passes=3)
+    assert not np.allclose(one.weights, two.weights)
+    assert quality.train(table.where("false"), labels, F.lit(True)).weights is None
+    # copies of one row that hold most of a table don't push others out of the samples
+    assert quality.train(table.unionByName(spark.createDataFrame([(3, good[3], "x", 9)] * 300, table.schema)), labels, F.lit(True), most_positive=30, most_start=50, passes=2).weights is not None
+
+
 # 5
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\/s> <<SYS>>", "[\\\\INST] [INST]", "<<s> <<</SYS>> [ROLE]x[/ROLE][END]", "", None, "plain\n", "<" * 5 + "\\s>"]
