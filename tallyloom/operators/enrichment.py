@@ -173,6 +173,18 @@ def collect_batch(spark: SparkSession, client: BatchClient, batch_id: str, folde
     return got
 
 
+def resubmit_failed(got: Enriched, system: str, client: BatchClient, folder: str, again: str, size: int = 1) -> str | None:
+    """A batch of the reviews that a collected batch brought nothing for; its id, or None where nothing is missing.
+
+    folder is the collected batch's, `again` the new one's, which poll_batch and collect_batch take as any other. Requests are small by default, as a
+    request fails whole. Texts come from the asked table, so the corpus isn't read again.
+    """
+    spark = got.items.sparkSession
+    asked = spark.read.parquet(f"{folder}/asked").select("review_id", "review_text")
+    missing = Workspace(spark, "batch-again").cut(asked.join(got.failed.select("review_id").distinct(), "review_id", "left_semi"))
+    return None if missing.isEmpty() else submit_batch(missing, system, client, again, size)
+
+
 def load_model_cache(spark: SparkSession, path: str) -> DataFrame:
     """Payloads of a foreign cache file, one JSON object of them under keys of any kind, by the review_id that each has.
 

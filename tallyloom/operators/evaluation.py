@@ -277,7 +277,7 @@ def faults(tax: Taxonomy) -> dict[str, tuple[str, Column, dict[str, Column]]]:
         "fabricated_span": ("ungrounded_evidence", some, span(F.concat(F.lit("an unheard-of sentence numbered "), h.cast("string")))),
         "truncated_span": ("ungrounded_evidence", some & long_, span(F.array_join(F.filter(words, lambda w, i: i != cut), " "))),
         "stitched_span": ("unparseable_response", some & long_, span(F.concat(F.array_join(F.slice(words, 1, 2), " "), F.lit("..."), F.array_join(F.slice(words, -2, 2), " ")))),
-        "invented_area": ("unknown_area", some, {"areas": _first(lambda a: a.withField("product_area", F.lit(f"{sorted(tax.areas)[0]}_experience")))}),
+        "invented_area": ("unknown_area", some, {"areas": _first(lambda a: a.withField("product_area", F.lit(f"not_in_taxonomy_{sorted(tax.areas)[0]}")))}),
         "misfiled_issue_type": ("unknown_issue_type", some & F.map_contains_key(other, F.coalesce(first.issue_type, F.lit(""))), {"areas": _first(lambda a: a.withField("product_area", F.try_element_at(other, a.issue_type)))}),
         "conflicting_polarity": ("conflicting_polarity", some & real, {"areas": _first(lambda a: a.withField("issue_type", F.try_element_at(own_issue, a.product_area)).withField("strength_type", F.try_element_at(own_strength, a.product_area)))}),
         "missing_polarity": ("missing_polarity", some & real, {"areas": _first(lambda a: a.withField("issue_type", null).withField("strength_type", null))}),

@@ -537,26 +537,34 @@ def test_check_replies(spark):
 
 def test_batch(spark, tmp_path, reply_of):
     class Client:
-        polls = 0
+        polls, batches, lost = 0, 0, 1
 
         def submit(self, requests, system):
             lines = [(r.group_id, "succeeded", reply_of(r.message), None) for r in spark.read.json(requests).collect()]
-            lines[0] = (lines[0][0], "expired", None, None)
-            spark.createDataFrame(lines, "group_id string, outcome string, reply string, detail string").write.json(str(tmp_path / "out"))
-            return "b1"
+            lines = [(g, "expired", None, None) if n < self.lost else (g, *rest) for n, (g, *rest) in enumerate(lines)]
+            self.batches += 1
+            spark.createDataFrame(lines, "group_id string, outcome string, reply string, detail string").write.json(str(tmp_path / f"b{self.batches}"))
+            return f"b{self.batches}"
 
         def status(self, batch_id):
             self.polls += 1
             return "ended" if self.polls > 2 else "running"
 
         def results(self, batch_id):
-            return str(tmp_path / "out")
+            return str(tmp_path / batch_id)
 
     client, seen = Client(), []
     b = enrichment.submit_batch(corpus(spark, 12), "s", client, str(tmp_path / "in"), size=3)
     assert enrichment.poll_batch(client, b, interval=0, on_poll=seen.append) == "ended" and seen == ["running"] * 2
     got = enrichment.collect_batch(spark, client, b, str(tmp_path / "in"), TAX)
     assert got.items.count() == 9 and got.failed.count() == 3 and [r.kind for r in got.issues.collect()] == ["batch_failure"]
+    client.lost = 0
+    again = enrichment.resubmit_failed(got, "s", client, str(tmp_path / "in"), str(tmp_path / "in2"))
+    rest = enrichment.collect_batch(spark, client, again, str(tmp_path / "in2"), TAX)
+    ids = lambda df: {r.review_id for r in df.select("review_id").collect()}
+    assert ids(rest.items) == ids(got.failed) and not ids(rest.items) & ids(got.items) and rest.failed.count() == 0
+    assert spark.read.json(str(tmp_path / "in2" / "requests")).count() == 3
+    assert enrichment.resubmit_failed(rest, "s", client, str(tmp_path / "in2"), str(tmp_path / "in3")) is None and client.batches == 2
     client.polls = -99
     with pytest.raises(TimeoutError):
         enrichment.poll_batch(client, b, interval=0, timeout=-1)
