@@ -139,6 +139,22 @@ def test_a_family_is_compared_with_leaders_not_in_all_pairs(spark, monkeypatch):
     assert sum(asked) < 20 * 1500, asked  # of 1,124,250 pairs
 
 
+def test_what_near_duplicates_keep_on_disk_is_of_the_order_of_the_text(spark):
+    from pathlib import Path
+
+    from tallyloom.storage import shared_dir
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(300)) for _ in range(1000)]
+    texts[7] = texts[3] + " more"
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id long, review_text string").withColumn("source_row_index", F.col("review_id"))
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(root.iterdir()) if root.exists() else set()
+    assert {r.review_id for r in neardup.near_duplicate_groups(df).collect()} == {3, 7}
+    kept = sum(f.stat().st_size for d in set(root.iterdir()) - before for f in d.rglob("*.parquet"))
+    assert kept < 2 * sum(map(len, texts)), (kept, sum(map(len, texts)))
+
+
 def test_near_duplicates_of_awkward_tables(spark):
     schema = "review_id string, review_text string, source_row_index long, vec int, term int, id int"
     rows = [("a", None, 0, 1, 1, 1), ("b", "", 1, 1, 1, 1), ("c", "one word more", 2, 1, 1, 1), ("d", "One word, more!", 3, 1, 1, 1), ("e", "word " * 20000, 4, 1, 1, 1), ("f", "word", 5, 1, 1, 1)]
