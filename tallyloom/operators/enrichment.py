@@ -86,7 +86,7 @@ def enrich_corpus(
     """Payloads for reviews (review_id, review_text), each id once.
 
     What the store has is not asked again (read_through=False asks all, and still stores). `concurrency` tasks send the requests of a
-    wave, `save_every` each at most; after each wave its payloads are stored, so that a run that is started again goes on from there, and a job that dies loses
+    wave, `save_every` each at most (without a store there is one wave); after each wave its payloads are stored, so that a run that is started again goes on from there, and a job that dies loses
     `save_every` requests of each task. Requests are packed by range partitions, however many rows there are. A task stops sending after
     `limit` fatal errors in a row; the run then stores what it has and raises RunAborted. Reviews without a payload are asked
     once more, one to a request, unless an error was fatal.
@@ -103,21 +103,26 @@ def enrich_corpus(
         nonlocal requests
         fatal = False
         asked = ws.cut(chunk(pending, size))
-        waves = max(1, -(-asked.select("group_id").distinct().count() // (save_every * concurrency)))
-        asked = ws.cut(asked.withColumn("_wave", F.pmod(F.xxhash64("group_id"), F.lit(waves))))
+        # waves are there for what is stored between them
+        waves = 1 if store is None else max(1, -(-asked.select("group_id").distinct().count() // (save_every * concurrency)))
+        by_wave = asked if waves == 1 else ws.cut(asked.withColumn("_wave", F.pmod(F.xxhash64("group_id"), F.lit(waves))).repartition("_wave"), "_wave")
+        told, kept = [], []
         for wave in range(waves):
-            now = asked.where(F.col("_wave") == wave)
+            now = asked if waves == 1 else by_wave.where(F.col("_wave") == wave)
             messages = user_messages(now).repartition(concurrency, "group_id")
             replies = ws.cut(enrich(messages, system, provider, attempts, limit))
+            told.append(replies)
             n = replies.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").startswith("fatal: ")).alias("fatal"), F.count_if(F.col("error") == NOT_SENT).alias("unsent"), F.max(F.when(F.col("error").startswith("fatal: "), F.col("error"))).alias("why")).first()
-            got = check_replies(replies, now, tax)
-            got.items = ws.cut(got.items)
-            _keep(store, got.items)
-            parts.append(got)
+            if store is not None:
+                kept.append(ws.cut(check_replies(replies, now, tax).items))
+                _keep(store, kept[-1])
             requests += n.good
             fatal = fatal or n.fatal > 0
             if n.unsent or (n.fatal >= limit and not n.good):
                 raise RunAborted(f"{n.fatal} requests failed for good, {n.unsent} weren't sent: {n.why}")
+        got = check_replies(ws.together(told), asked, tax)
+        got.items = ws.together(kept) if kept else ws.cut(got.items)
+        parts.append(got)
         return fatal
 
     fatal = ask(pending, size)

@@ -43,16 +43,22 @@ class Workspace:
         self._n = 0
         self._at: dict[int, str] = {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """The same rows, read back from shared storage."""
+    def cut(self, df: DataFrame, *by: str) -> DataFrame:
+        """The same rows, read back from shared storage; a filter on columns `by` reads only the folders that it needs."""
         self._n += 1
         at = f"{self.root}/{self._n:03d}"
-        df.write.parquet(at)
+        (df.write.partitionBy(*by) if by else df.write).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         self._at[id(out)] = at
         out._tallyloom_keep = self
         return out
 
+    def together(self, frames: list[DataFrame]) -> DataFrame:
+        """The rows of tables of one schema that were cut here, as one read."""
+        out = self.spark.read.schema(frames[0].schema).parquet(*[self._at[id(f)] for f in frames])
+        out._tallyloom_keep = self
+        return out
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of jobs whose results are cut: it does when the driver's unused objects go."""
         gc.collect()

@@ -750,3 +750,18 @@ def test_costs_models_and_words(spark, tmp_path):
     df = spark.createDataFrame([(True,), (False,), (None,)], "s boolean")
     assert [r[0] for r in df.select(X.significance_label(F.col("s"))).collect()] == ["established", "not established", "not established"]
     assert [f.agg(X.scoring_mode(F.col("s"))).first()[0] for f in (df, df.where("not s"), df.limit(0))] == ["rice", "ric", "none"]
+
+
+def test_enrich_corpus_has_waves_only_for_a_store(spark, monkeypatch, tmp_path):
+    from tallyloom.sources.stores import KeyedStore
+
+    r = spark.createDataFrame([(f"r{i}", "license text with a token = here" if i % 2 else "nothing of note") for i in range(24)], "review_id string, review_text string")
+    waves, plain = [], enrichment.enrich
+    monkeypatch.setattr(enrichment, "enrich", lambda messages, *a: (waves.append(messages), plain(messages, *a))[1])
+    rows = lambda got: sorted((x.review_id, len(x.areas), x.grounding_rate) for x in got.items.collect())
+    ask = lambda **kw: enrichment.enrich_corpus(r, labels.system_prompt(TAX), TAX, enrichment.OfflineProvider(TAX), size=2, concurrency=2, save_every=2, **kw)
+    without = ask()
+    assert len(waves) == 1 and without.failed.count() == 0 and without.requests >= 12
+    store = KeyedStore(spark, str(tmp_path), "m", enrichment.STORED, enrichment.STORED_KEY)
+    stored = ask(store=store)
+    assert len(waves) >= 4 and rows(stored) == rows(without) and len(rows(stored)) == 24 and stored.issues.count() == without.issues.count()
