@@ -11,6 +11,7 @@ from tallyloom.ordered import hash_order
 from tallyloom.operators.labels import schema_valid, stratified_sample, taxonomy_issues, with_grounding
 from tallyloom.sources.config import Taxonomy
 from tallyloom.sources.tables import numbered_csv
+from tallyloom.storage import Workspace
 
 _SET = "array<string>"
 
@@ -306,6 +307,28 @@ def clean_pool(items: DataFrame, texts: DataFrame, tax: Taxonomy) -> DataFrame:
     return items.join(seen.where(F.size("kinds") == 0).select(F.col("case").alias("review_id")), "review_id", "left_semi")
 
 
+#: Payloads that clean_sample looks at in one step, at most about.
+STEP_ROWS = 100_000
+
+
+def clean_sample(items: DataFrame, texts: DataFrame, tax: Taxonomy, n: int, seed: int) -> DataFrame:
+    """The first n rows of clean_pool in hash order, as a table.
+
+    Payloads and texts are looked at a range of hashes at a time, from the first on, until n clean ones are found or all have been seen; a range has
+    four times as many rows as the one before, up to STEP_ROWS.
+    """
+    ws = Workspace(items.sparkSession, "clean")
+    h = F.xxhash64(F.lit(seed), "review_id")
+    total, low, rows, found, seen = items.count(), -(1 << 63), 4 * n, [], 0
+    while True:
+        high = min(low + (min(max(rows, 1), STEP_ROWS) << 64) // max(total, 1), (1 << 63) - 1)
+        found.append(ws.cut(clean_pool(items.where(h.between(low, high)), texts.where(h.between(low, high)), tax)))
+        seen += found[-1].count()
+        if seen >= n or high == (1 << 63) - 1:
+            return ws.cut(ws.together(found).orderBy(h, "review_id").limit(n))
+        low, rows = high + 1, rows * 4
+
+
 def clean_baseline(items: DataFrame, texts: DataFrame, tax: Taxonomy) -> tuple[DataFrame, DataFrame]:
     """What the validators say of payloads nobody changed: one row (examined, flagged, rate, ci_low, ci_high), and (kind, n)."""
     seen = detect(items.withColumns({"case": F.col("review_id"), "source_id": F.col("review_id")}), texts, tax)
@@ -318,7 +341,8 @@ def fault_study(items: DataFrame, texts: DataFrame, tax: Taxonomy, per_kind: int
     """(fault, expected, attempted, inapplicable, captured, attributed, capture_rate) over the same sample for every fault."""
     from functools import reduce
 
-    pool = clean_pool(items, texts, tax).orderBy(F.xxhash64(F.lit(seed), "review_id"), "review_id").limit(per_kind)
+    pool = clean_sample(items, texts, tax, per_kind, seed)
+    texts = Workspace(items.sparkSession, "faults").cut(texts.join(F.broadcast(pool.select("review_id").distinct()), "review_id", "left_semi").select("review_id", "review_text"))  # per_kind at most
     cols = [f.split(":")[0] for f in ("review_id", "areas", "pain_point", "sentiment", "severity", "customer_intent", "support_escalation", "overall_confidence")]
     made = []
     for name, (expected, applies, change) in faults(tax).items():

@@ -765,3 +765,18 @@ def test_enrich_corpus_has_waves_only_for_a_store(spark, monkeypatch, tmp_path):
     store = KeyedStore(spark, str(tmp_path), "m", enrichment.STORED, enrichment.STORED_KEY)
     stored = ask(store=store)
     assert len(waves) >= 4 and rows(stored) == rows(without) and len(rows(stored)) == 24 and stored.issues.count() == without.issues.count()
+
+
+@pytest.mark.parametrize(("every", "most"), [(1, 1000), (40, 3000)])
+def test_a_clean_sample_looks_at_ranges_of_hashes(spark, monkeypatch, every, most):
+    r = spark.createDataFrame([(f"r{i}", "license text with a token = here", 1 + i % 5) for i in range(3000)], "review_id string, review_text string, rating int")
+    items = labels.rule_labeller(r, TAX)
+    items = items.withColumn("sentiment", F.when(F.substring("review_id", 2, 9).cast("int") % every == 0, F.col("sentiment")).otherwise("odd"))
+    h = F.xxhash64(F.lit(3), "review_id")
+    want = [x.review_id for x in evaluation.clean_pool(items, r, TAX).orderBy(h, "review_id").limit(20).collect()]
+    seen, plain = [], evaluation.clean_pool
+    monkeypatch.setattr(evaluation, "clean_pool", lambda i, *a: (seen.append(i.count()), plain(i, *a))[1])
+    study = evaluation.fault_study(items, r, TAX, 20, 3).collect()
+    assert sum(seen) <= most and {x.attempted + x.inapplicable for x in study} == {20}
+    assert [x.review_id for x in evaluation.clean_sample(items, r, TAX, 20, 3).collect()] == want
+    assert evaluation.clean_sample(items, r, TAX, 4000, 3).count() == 3000 // every
