@@ -19,6 +19,10 @@ from tallyloom.storage import Workspace
 log = logging.getLogger(__name__)
 
 
+#: Vectors that are compared with all centres at once.
+BLOCK_ROWS = 512
+
+
 @dataclass(frozen=True)
 class ClusterChoice:
     k: int
@@ -52,6 +56,14 @@ def _matrix(column: pa.ListArray, n: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(n, -1)
 
 
+def _blocks(batches, column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, their vectors), BLOCK_ROWS at most: what is made of a block has a number for each row and centre, however large Spark's batches are."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK_ROWS):
+            rows = batch.slice(start, BLOCK_ROWS)
+            yield rows, _matrix(rows.column(column), rows.num_rows)
+
+
 def _start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k rows of x, each chosen with a probability that grows with the squared distance to those before (k-means++)."""
     at = [int(rng.integers(len(x)))]
@@ -70,10 +82,7 @@ def _sums(d: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.n
 
     def scan(batches):
         centres, out = shared.value, {}
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            x = _matrix(rows.column(0), rows.num_rows)
+        for _, x in _blocks(batches):
             for m, own, far in centres.nearest(x):
                 k = centres.starts[m + 1] - centres.starts[m]
                 n, total, cost = out.setdefault(m, [np.zeros(k), np.zeros((k, x.shape[1])), 0.0])
@@ -125,10 +134,9 @@ def assign(d: DataFrame, centres: np.ndarray) -> DataFrame:
     held = Centres([centres])
 
     def scan(batches):
-        for rows in batches:
-            if rows.num_rows:
-                _, own, _ = next(held.nearest(_matrix(rows.column(1), rows.num_rows)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(own.astype(np.int32))], names=["id", "cluster"])
+        for rows, x in _blocks(batches, 1):
+            _, own, _ = next(held.nearest(x))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(own.astype(np.int32))], names=["id", "cluster"])
 
     return d.select("id", "v").mapInArrow(scan, f"id {d.schema['id'].dataType.simpleString()}, cluster int")
 
@@ -141,10 +149,7 @@ def _silhouettes(d: DataFrame, models: list[np.ndarray]) -> list[float]:
     def scan(batches):
         centres, clusters = shared.value
         got, rows_seen = np.zeros(len(clusters)), 0
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            x = _matrix(rows.column(0), rows.num_rows)
+        for _, x in _blocks(batches):
             for m, own, _ in centres.nearest(x):
                 got[m] += silhouette_of(x, own, *clusters[m]).sum()
             rows_seen += len(x)

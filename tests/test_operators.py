@@ -780,3 +780,31 @@ def test_a_clean_sample_looks_at_ranges_of_hashes(spark, monkeypatch, every, mos
     assert sum(seen) <= most and {x.attempted + x.inapplicable for x in study} == {20}
     assert [x.review_id for x in evaluation.clean_sample(items, r, TAX, 20, 3).collect()] == want
     assert evaluation.clean_sample(items, r, TAX, 4000, 3).count() == 3000 // every
+
+
+def test_vectors_meet_all_centres_in_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked, plain = [], cluster.Centres.nearest
+    monkeypatch.setattr(cluster.Centres, "nearest", lambda self, x: (asked.append(len(x)), plain(self, x))[1])
+    np = cluster.np
+    x = np.repeat(np.eye(2), [4000, 1000], axis=0)
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64()))], names=["v"])
+
+    class Ran(Exception):
+        pass
+
+    class Frame:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, scan, _):
+            raise Ran([row for b in scan(iter([batch, batch.slice(0, 0)])) for row in b.to_pylist()])
+
+    with pytest.raises(Ran) as ran:
+        cluster._sums(Frame(), [np.eye(2)])
+    (row,) = ran.value.args[0]
+    assert np.frombuffer(row["n"]).tolist() == [4000, 1000] and np.frombuffer(row["total"]).tolist() == [4000, 0, 0, 1000] and row["cost"] == 0
+    assert sum(asked) == 5000 and max(asked) <= 1000, "a number for each row and centre"
